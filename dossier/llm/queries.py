@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.mixing import mix_sources
+from dossier.llm.neardup import near_duplicates
 from dossier.llm.pii import BASE_KINDS, find_personal_data
 from dossier.llm.quality import apply_policy, rule_ledger
 from dossier.llm.urls import filter_urls
@@ -46,7 +47,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count_of(k) for k in BASE_KINDS), F.sha2(digest(F.col("spans"), BASE_KINDS), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_ledger, op3_url_filter, op4_personal_data)}
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_ledger, op3_url_filter, op4_personal_data, op5_near_duplicates)}
 
 _OP1 = r"""
 WITH d AS (
