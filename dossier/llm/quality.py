@@ -41,6 +41,8 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 def _measure(texts: pa.Array, window: int) -> list[np.ndarray]:
     w = Words(texts)
     docs = len(w.count)
+    if not len(w.data):
+        return [np.zeros(docs, dtype=np.int64)] * len(MEASURES)
 
     def per_doc(mask: np.ndarray) -> np.ndarray:
         total = np.zeros(len(mask) + 1, dtype=np.int64)
