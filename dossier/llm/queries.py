@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.llm.langid import identify_languages, remainder, train
 from dossier.llm.mixing import mix_sources
 from dossier.llm.neardup import near_duplicates
 from dossier.llm.pii import BASE_KINDS, find_personal_data
 from dossier.llm.quality import apply_policy, rule_ledger
+from dossier.llm import secrets
 from dossier.llm.urls import filter_urls
 
 
@@ -51,7 +53,18 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_ledger, op3_url_filter, op4_personal_data, op5_near_duplicates)}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(count_of(k) for k in secrets.BASE_KINDS), F.sha2(digest(F.col("spans"), secrets.BASE_KINDS), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("fold", remainder("doc_id", 4))
+    found = identify_languages(docs, train(docs.where("fold <> 2")))
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_ledger, op3_url_filter, op4_personal_data, op5_near_duplicates, op6_secret_scan, op7_language_id)}
 
 _OP1 = r"""
 WITH d AS (
