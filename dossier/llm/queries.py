@@ -14,6 +14,7 @@ from dossier.llm.pii import BASE_KINDS, find_personal_data
 from dossier.llm.quality import apply_policy, rule_ledger
 from dossier.llm import secrets
 from dossier.llm.urls import filter_urls
+from dossier.llm.warc import capture_histories
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +65,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_ledger, op3_url_filter, op4_personal_data, op5_near_duplicates, op6_secret_scan, op7_language_id)}
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format(F.timestamp_seconds(F.lit(946684800) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    found = capture_histories(table(spark, sf_dir, "pages"), ts=day)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_ledger, op3_url_filter, op4_personal_data, op5_near_duplicates, op6_secret_scan, op7_language_id, op8_warc_index)}
 
 _OP1 = r"""
 WITH d AS (
@@ -109,4 +116,11 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op2_quality_ledger": _OP2}
+_OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS keeper FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND page_id < keeper AS again FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keeper END AS refers_to FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_warc_index": _OP8, "op1_mix_sources": _OP1, "op2_quality_ledger": _OP2}
