@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.llm import lm, secrets
 from dossier.llm.langid import identify_languages, remainder, train
 from dossier.llm.mixing import mix_sources
 from dossier.llm.neardup import near_duplicates
 from dossier.llm.pii import BASE_KINDS, find_personal_data
 from dossier.llm.quality import apply_policy, rule_ledger
-from dossier.llm import secrets
+
 from dossier.llm.urls import filter_urls
 from dossier.llm.warc import capture_histories
 
@@ -71,7 +72,14 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_ledger, op3_url_filter, op4_personal_data, op5_near_duplicates, op6_secret_scan, op7_language_id, op8_warc_index)}
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs.where(remainder("doc_id", 5) != 1))
+    held = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return lm.score_texts(docs, model).select("doc_id", held, "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_ledger, op3_url_filter, op4_personal_data, op5_near_duplicates, op6_secret_scan, op7_language_id, op8_warc_index, op9_lm_score)}
 
 _OP1 = r"""
 WITH d AS (
