@@ -3,15 +3,16 @@
 Each document's set is its distinct five-word shingles. 128 minima give 32 band keys of four minima each; of
 every minimum only two low bits stay, packed in four 64-bit numbers. Documents with one band key are candidates;
 bit counts of the exclusive or give the share of equal minima, corrected for the one in four that agree by
-chance; candidates whose estimate is under one half (over five standard deviations from 0.75) go. The others are
+chance; candidates whose estimate is under 0.53 (4.7 standard deviations from 0.75, one such pair in a million) go. The others are
 confirmed on their full sets.
 
 Chances: a pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 
-Pairs are never expanded within a group. Documents with equal sets are one class first. Then each class is
-compared with the smallest one in each of its buckets, and components are found. What is left are buckets in
-which several components meet; there, classes outside the first one's component are compared with the classes
-of other components, so that no link between components is lost. Links within a component would change nothing.
+Pairs are never expanded within a group. Documents with equal sets are one class first. Then each class is compared
+with the smallest one in each of its buckets, and components are found. What is left are buckets in which several
+components meet. There, by the packed bits, only classes stay that may be alike to one of another component; these
+get their full sets and are confirmed inside the join, which lets only links between components through, each
+once. Links within a component would change nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from dossier.llm.shared import Words, mix64, pieces, windows_hash, written
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 SIGNATURE = ("s0", "s1", "s2", "s3")
-#: Minima that may differ at most: an estimate of one half, 128 * (1 - (0.25 + 0.75 * 0.5)).
-MOST_DIFFERENT = 48
+#: Minima that may differ at most: an estimate of 0.53 (1 - 45 / 128 = 0.25 + 0.75 * 0.53), 4.7 standard deviations below 0.75.
+MOST_DIFFERENT = 45
 
 _LONG = pa.int64()
 
@@ -135,8 +136,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full sets have 100 * intersection >= 75 * union."""
     x = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     x = x.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return x.where(100 * both >= 75 * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+    return x.where(_alike(F.col("of_a"), F.col("of_b"))).select("a", "b")
+
+
+def _alike(a: F.Column, b: F.Column) -> F.Column:
+    """100 * intersection >= 75 * union, with the intersection named once so that it is computed once."""
+    return 7 * F.size(F.array_intersect(a, b)) >= 3 * (F.size(a) + F.size(b))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
@@ -155,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(classes, "classes")
     narrow = classes.select("node", "n_shingles", *SIGNATURE)
 
-    rows = classes.select("node", F.explode("bands").alias("key"))
+    rows = classes.select("node", F.posexplode("bands").alias("band", "key"))
     heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where(F.col("head") < F.col("last"))
     rows = written(rows.join(heads.select("key", "head"), "key"), "buckets")  # only what shares a key
     stars = rows.where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
@@ -165,25 +170,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.select("node", "fp0", "fp1", "rep")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        those = reps.join(ends, "node", "left_semi")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        those = reps.join(nodes.distinct(), "node", "left_semi")
         texts = source.join(those.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").union(source.where("doc_id IS NULL"))
         found = full_sets(texts, "doc_id", "text", size).join(those, ["fp0", "fp1"])
         return written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
-    links = _confirmed(stars, sets_of(stars))
+    links = _confirmed(stars, sets_of(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node")))))
     roots = connected_components(links)
 
-    # Buckets in which components meet.
+    # Buckets in which components meet. Rows that the packed bits compare with a row of another component stay,
+    # get their full sets, and are confirmed where they meet: what leaves the join are links only, each once.
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "node").alias("head_root")).where("low < high")
-    rows = rows.join(mixed.select("key", "head_root"), "key").join(narrow, "node")
-    rows = written(rows, "mixed")
-    others = rows.where("root != head_root").alias("x")
-    again = others.join(rows.where("node != head").alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("y.head_root"))) & _may_be_alike("x", "y"))
-    again = written(again.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "candidates")
-    more = _confirmed(again, sets_of(again))
+    rows = written(rows.join(mixed.select("key", "head_root"), "key").join(narrow, "node"), "mixed")
+    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _may_be_alike("x", "y")
+    some = written(rows.alias("x").join(rows.alias("y"), meets, "left_semi"), "candidates")
+    full = some.join(sets_of(some.select("node")), "node").join(classes.select("node", "bands"), "node")
+    full = written(full, "candidates")
+    x, y = full.where("root != head_root").alias("x"), full.where("node != head").alias("y")
+    once = (F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("y.head_root"))
+    equal = F.zip_with(F.slice("x.bands", 1, F.col("x.band")), F.slice("y.bands", 1, F.col("x.band")), lambda p, q: p == q)
+    again = x.join(y, meets & once & ~F.exists(equal, lambda e: e) & _alike(F.col("x.shingles"), F.col("y.shingles")))
+    more = again.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     joined = classes.select("fp0", "fp1", "node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
