@@ -80,12 +80,15 @@ def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 
 
 class Words:
-    """The words of a column: ``start`` and ``end`` in ``data``; text ``k`` has the words ``first[k]:first[k + 1]``."""
+    """The words of a column: ``start`` and ``end`` in ``data``; text ``k`` has the words ``first[k]:first[k + 1]``.
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    ``apart``: which bytes separate words, if not white space (ASCII bytes only).
+    """
+
+    def __init__(self, column: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE):
         self.data, self.offsets = text_bytes(column, lower)
         n = len(self.data)
-        inside = ~_SPACE[self.data]
+        inside = ~apart[self.data]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         before[self.offsets[self.offsets < n]] = False
