@@ -156,16 +156,17 @@ def viterbi(scores: np.ndarray, first: np.ndarray, prior: np.ndarray, penalty: f
     return label
 
 
-def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
+def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, carry: bool = False) -> DataFrame:
     """One row for each document: doc_id, lang_pred, score and ``spans`` (start, end, lang) in code points.
 
     ``lang_pred`` is the language of most letters and ``score`` its share of them, from 0 to 1. A text that is
     null or has no letter, or a model without languages, gives ``und``, score 0 and no spans. A text with
     letters always gets a learned language. Rows are handled one by one and whole, whatever their ids; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. With ``carry`` all columns of a row come along, as
+    the struct ``row`` in place of doc_id.
     """
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    text, first = F.col(text_col), "row" if carry else "doc_id"
+    rows = docs.select((F.struct(*docs.columns) if carry else F.col(id_col)).alias(first), text.cast("binary").alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times the languages at most
 
@@ -193,9 +194,9 @@ def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", tex
                 for c, e in zip(cut, last, strict=True):
                     if letters[doc[c]]:
                         spans[doc[c]].append({"start": int(begin[c]), "end": int(end[e]), "lang": langs[label[c]]})
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names), pa.array(share, type=pa.float64()), pa.array(spans, type=kind)], names=["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([piece.column(first), pa.array(names), pa.array(share, type=pa.float64()), pa.array(spans, type=kind)], names=[first, "lang_pred", "score", "spans"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans {SPANS}")
+    return rows.mapInArrow(run, f"{first} {rows.schema[first].dataType.simpleString()}, lang_pred string, score double, spans {SPANS}")
 
 
 def remainder(id_col: str, of: int) -> F.Column:
