@@ -494,9 +494,9 @@ def _(s):
     return audit.audit_not_null({"mappings": s.mappings(), "evidence": s.evidence()}, rules)
 
 
-@query("audit_lengths", _REPORT.format(t="requirements", r="length", k="'title'", n="count(*)", q="SELECT 1 FROM requirements WHERE length(title) > 12"))
+@query("audit_lengths", _REPORT.format(t="requirements", r="length", k="'code'", n="count(*)", q="SELECT 1 FROM requirements WHERE length(code) > 5"))
 def _(s):
-    return audit.audit_lengths({"requirements": s.requirements()}, {"requirements": {"title": 12, "code": 100}})
+    return audit.audit_lengths({"requirements": s.requirements()}, {"requirements": {"title": 255, "code": 5}})
 
 
 @query("audit_status_domain", _REPORT.format(t="text_documents", r="status", k="status", n="n", q="SELECT status, count(*) AS n FROM text_documents WHERE status NOT IN ('PENDING', 'PROCESSING', 'COMPLETED', 'FAILED') GROUP BY 1"))
