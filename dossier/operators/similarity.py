@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from dossier.plans.versions import version_as_of
 
@@ -15,53 +17,64 @@ from dossier.plans.versions import version_as_of
 BLOCK = 20_000
 
 
-def _top_k(queries: DataFrame, targets: list[tuple], carry: list[str], k: int, threshold: float, spark) -> DataFrame:
-    ids = [t[0] for t in targets]
-    matrix = np.array([t[1] for t in targets], dtype=np.float64).reshape(len(targets), -1)
-    norms = np.linalg.norm(matrix, axis=1)
-    usable = np.flatnonzero(norms > 0)
-    order = sorted(usable, key=lambda i: ids[i])
-    shared = spark.sparkContext.broadcast(([ids[i] for i in order], (matrix[order] / norms[order, None]).T if len(order) else matrix[order].T))
+def _best(x: np.ndarray, matrix: np.ndarray, k: int, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of ``x`` (norm one) the columns of its ``k`` greatest products, in order, ties to the first column."""
+    for i, s in enumerate(np.round(x @ matrix, 6)):
+        near = np.flatnonzero(s >= (max(threshold, np.partition(s, -k)[-k]) if len(s) > k else threshold))
+        best = near[np.argsort(-s[near], kind="stable")][:k]
+        yield i, best, s[best]
+
+
+def _top_k(queries: DataFrame, targets: list[tuple], carry: list[str], within: str | None, k: int, threshold: float, id_kind: DataType) -> DataFrame:
+    groups: dict = {}
+    for group, target, v in sorted(targets, key=lambda t: t[1]):
+        x = np.asarray(v, dtype=np.float64)
+        if np.linalg.norm(x) > 0:
+            groups.setdefault((group, len(x)), []).append((target, x / np.linalg.norm(x)))
+    shared = queries.sparkSession.sparkContext.broadcast({g: ([t for t, _ in rows], np.array([x for _, x in rows]).T) for g, rows in groups.items()})
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in carry) + ", requirement_id long, similarity_score double"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in carry) + f", requirement_id {id_kind.simpleString()}, similarity_score double"
+    id_type = to_arrow_type(id_kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                vectors = part.column("v").to_pylist()
-                good = [i for i, v in enumerate(vectors) if v is not None and ids and len(v) == matrix.shape[0] and np.linalg.norm(v) > 0]
+                asked: dict = {}
+                names = part.column(within).to_pylist() if within else [None] * part.num_rows
+                for i, (g, v) in enumerate(zip(names, part.column("v").to_pylist(), strict=True)):
+                    if v is not None and (g, len(v)) in shared.value and (norm := np.linalg.norm(v)) > 0:
+                        asked.setdefault((g, len(v)), []).append((i, np.asarray(v, dtype=np.float64) / norm))
                 rows, found, scores = [], [], []
-                if good:
-                    x = np.array([vectors[i] for i in good], dtype=np.float64)
-                    score = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ matrix, 6)
-                    for i, s in zip(good, score, strict=True):
-                        near = np.flatnonzero(s >= max(threshold, np.partition(s, -k)[-k]) if len(s) > k else s >= threshold)
-                        best = near[np.argsort(-s[near], kind="stable")][:k]  # ids are in order, so ties go to the smaller
-                        rows += [i] * len(best)
+                for g, some in asked.items():
+                    ids, matrix = shared.value[g]
+                    for i, best, score in _best(np.array([x for _, x in some]), matrix, k, threshold):
+                        rows += [some[i][0]] * len(best)
                         found += [ids[j] for j in best]
-                        scores += s[best].tolist()
+                        scores += score.tolist()
                 take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in carry), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=[*carry, "requirement_id", "similarity_score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in carry), pa.array(found, id_type), pa.array(scores, pa.float64())], names=[*carry, "requirement_id", "similarity_score"])
 
     return queries.select(*carry, "v").mapInArrow(run, schema)
 
 
-def nearest(queries: DataFrame, requirements: DataFrame, carry: list[str], k: int, threshold: float, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, requirements: DataFrame, carry: list[str], k: int, threshold: float, block: int = BLOCK, within: str | None = None) -> DataFrame:
     """The ``k`` requirements of greatest cosine (at least ``threshold``) for each query row; columns ``carry`` come along.
 
+    With ``within``, a column of both (and in ``carry``), only requirements with the query's value are compared.
     Scores are rounded to six places; ties go to the smaller id. Null, zero and misfit vectors match nothing.
     Requirements are compared in blocks, so that what a task holds is bounded; pairs are never materialised.
     """
-    spark, out, targets, passes = queries.sparkSession, None, [], 0
-    for r in requirements.select("requirement_id", "v").where("v IS NOT NULL AND requirement_id IS NOT NULL").toLocalIterator():
-        targets.append((r["requirement_id"], r["v"]))
+    out, targets, passes, id_kind = None, [], 0, requirements.schema["requirement_id"].dataType
+    group = F.col(within) if within else F.lit(None)
+    rows = requirements.where("v IS NOT NULL AND requirement_id IS NOT NULL").select(group.alias("g"), "requirement_id", "v")
+    for r in rows.toLocalIterator():
+        targets.append((r["g"], r["requirement_id"], r["v"]))
         if len(targets) == block:
-            part = _top_k(queries, targets, carry, k, threshold, spark)
+            part = _top_k(queries, targets, carry, within, k, threshold, id_kind)
             out, targets, passes = part if out is None else out.unionByName(part), [], passes + 1
     if targets or out is None:
-        part = _top_k(queries, targets, carry, k, threshold, spark)
+        part = _top_k(queries, targets, carry, within, k, threshold, id_kind)
         out, passes = part if out is None else out.unionByName(part), passes + 1
     if passes == 1:
         return out
@@ -85,17 +98,11 @@ def versioned_retrieval(queries: DataFrame, versions: DataFrame, requirements: D
     """For queries (query_id, organization_id, framework_id, as_of, v): the ``k`` nearest requirements of the version that held then.
 
     ``requirements`` has requirement_id, version_id and v; ``evidence_scope`` (organization_id) keeps the queries
-    of these tenants only. Queries are searched by version, each against that version's vectors.
+    of these tenants only. Each query is compared with the vectors of its own version.
     """
     if evidence_scope is not None:
         queries = queries.join(evidence_scope.select("organization_id"), "organization_id", "left_semi")
-    held = version_as_of(queries, versions).select("framework_id", "as_of", "version_id").where("version_id IS NOT NULL")
+    held = version_as_of(queries, versions).where("version_id IS NOT NULL").select("framework_id", "as_of", "version_id")
     asked = queries.join(held, ["framework_id", "as_of"])
-    names = sorted(r[0] for r in held.select("version_id").distinct().collect())  # as many as versions that hold
-    parts = [nearest(asked.where(F.col("version_id") == v), requirements.where(F.col("version_id") == v), ["query_id", "organization_id", "version_id"], k, threshold) for v in names]
-    if not parts:
-        return nearest(asked.limit(0), requirements.limit(0), ["query_id", "organization_id", "version_id"], k, threshold)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    needed = requirements.join(held.select("version_id").distinct(), "version_id", "left_semi")
+    return nearest(asked, needed, ["query_id", "organization_id", "version_id"], k, threshold, within="version_id")

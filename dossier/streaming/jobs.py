@@ -102,4 +102,4 @@ def stream_stuck_documents(log: DataFrame, limit_seconds: int = HARD_LIMIT_SECON
         state.update((since,))
         state.setTimeoutTimestamp(max(since // 1000 + limit + 1, state.getCurrentWatermarkMs() + 1))
 
-    return log.withWatermark("ts", delay).groupBy("document_id").applyInPandasWithState(follow, "document_id long, since timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+    return log.withWatermark("ts", delay).groupBy("document_id").applyInPandasWithState(follow, f"document_id {log.schema['document_id'].dataType.simpleString()}, since timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -157,6 +157,13 @@ def test_similarity_blocks_and_zero_vectors(spark):
     assert max(x.c for x in both) == 1.0
 
 
+def test_similarity_of_text_ids(spark):
+    e = spark.createDataFrame([("o", "e1", "v1", [1.0, 0.1]), ("o", "e2", "v2", [1.0, 0.1])], "organization_id string, evidence_id string, version_id string, v array<double>")
+    r = spark.createDataFrame([("r1", "v1", [1.0, 0.0]), ("r2", "v2", [0.0, 1.0]), ("r3", "v2", [1.0, 0.2])], "requirement_id string, version_id string, v array<double>")
+    got = similarity.nearest(e, r, ["evidence_id", "version_id"], 1, 0.0, within="version_id").collect()
+    assert {(x.evidence_id, x.requirement_id) for x in got} == {("e1", "r1"), ("e2", "r3")}
+
+
 def test_tables_and_objects(spark, tmp_path):
     root = str(tmp_path / "t")
     create_tables(spark, root)
