@@ -9,6 +9,7 @@ with the passage, and for a paraphrase also by the passage's answer (its last se
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,13 @@ FEATURES = 1 << 18
 #: Windows of a document: two blocks, moving by one.
 BLOCK = 32
 #: Latent dimensions at most, extra ones while factoring, and power rounds.
-RANK, EXTRA, ROUNDS = 256, 16, 2
+RANK, EXTRA, ROUNDS = 160, 16, 2
 #: Benchmark passages that one pass over the documents compares.
 PASSAGES_A_PASS = 4096
 MIN_COSINE = 0.2
+#: Features of many documents are left out of a window's coordinates as long as no passage has more than this share
+#: of its squared norm in them; a cosine changes by no more than that.
+COMMON_SHARE = 0.05
 #: Share of a passage's words in order that is a copy; that is a paraphrase, if the answer is there too.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 SHORT = 8
@@ -47,8 +51,9 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         sums, n = np.zeros(FEATURES, dtype=np.int64), 0
         for piece in pieces(batches, "text"):
             w = Words(piece.column("text"), apart=_APART)
-            own = np.unique(w.doc() * FEATURES + _features(w.hashes()))
-            sums += np.bincount(own % FEATURES, minlength=FEATURES)
+            own = w.doc() * FEATURES + _features(w.hashes())
+            own.sort()
+            sums += np.bincount(own[np.flatnonzero(np.diff(own, prepend=-1))] % FEATURES, minlength=FEATURES)
             n += piece.num_rows
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], n))], names=["feature", "n"])
@@ -149,14 +154,14 @@ class Passage:
         stops = [k for k in range(len(w.start) - 1) if w.data[w.end[k]] in b".!?"]
         last = stops[-1] + 1 if stops else 0
         self.answer = self.words[last:] if 0 < last <= len(self.words) - 3 else self.words[-5:]
-        self.bag = frozenset(self.words)
+        self.counts = Counter(self.words)
 
 
 def confirm(passage: Passage, words: list[int]) -> tuple[int, str] | None:
     """The common subsequence and ``copy`` or ``paraphrase``, or None. Passages under eight words must stand there word for word."""
-    n = len(passage.words)
-    if sum(x in passage.bag for x in words) < PARAPHRASE * n:
-        return None
+    n, there = len(passage.words), set(words)
+    if sum(c for x, c in passage.counts.items() if x in there) < PARAPHRASE * n:
+        return None  # no common subsequence is longer
     if n < SHORT:
         here = any(words[k : k + n] == passage.words for k in range(len(words) - n + 1))
         return (n, "copy") if here else None
@@ -183,6 +188,24 @@ class Retrieval:
         used, self.coordinates = factor(self.passages.select(F.col("text").cast("binary").alias("text")), self.idf)
         self.place = np.full(FEATURES, -1, dtype=np.int32)
         self.place[used] = np.arange(len(used))
+        self.place[self.idf < self.common_below()] = -1
+
+    def common_below(self) -> float:
+        """The greatest of some cuts of the inverse document frequency below which no passage has more than ``COMMON_SHARE``."""
+        cuts, idf = np.arange(0, 6, 0.25), self.spark.sparkContext.broadcast(self.idf)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worst = np.zeros(len(cuts))
+            for piece in pieces(batches, "text"):
+                a = Rows(piece.column("text"), idf.value)
+                for k, cut in enumerate(cuts):
+                    low = idf.value[a.feature] < cut
+                    worst[k] = max(worst[k], np.bincount(a.row[low], weights=a.value[low] ** 2, minlength=1).max())
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts))), pa.array(worst)], names=["cut", "share"])
+
+        texts = self.passages.select(F.col("text").cast("binary").alias("text"))
+        shares = texts.mapInArrow(run, "cut long, share double").groupBy("cut").agg(F.max("share").alias("share")).collect()
+        return max((cuts[r["cut"]] for r in shares if r["share"] <= COMMON_SHARE), default=0.0)
 
     def blocks(self) -> Iterator:
         """What the tasks of each pass over the documents get, broadcast: ``PASSAGES_A_PASS`` passages at most."""
@@ -258,6 +281,7 @@ def latent(known: list[Passage], place: np.ndarray, coordinates: np.ndarray, idf
     out = np.zeros((len(known), coordinates.shape[1]), dtype=np.float32)
     for k, p in enumerate(known):
         feature = _features(np.array(p.words, dtype=np.uint64))
+        feature = feature[place[feature] >= 0]
         out[k] = (idf[feature, None] * coordinates[place[feature]]).sum(axis=0)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
@@ -296,16 +320,16 @@ def search(texts: pa.Array, known: list[Passage], target: np.ndarray, place: np.
     block_of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(doc))))
     take = np.flatnonzero(inside & needed[:-1][block_of])
     sums = np.zeros((len(begins), coordinates.shape[1]), dtype=np.float32)
-    for cut in range(0, len(take), 1 << 16):
-        t = take[cut : cut + (1 << 16)]
+    for cut in range(0, len(take), 1 << 14):
+        t = take[cut : cut + (1 << 14)]
         b = block_of[t]
         first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         sums[b[first]] += np.add.reduceat(coordinates[at[t]] * weight[t, None], first, axis=0)
     windows = pair(sums)[likely]
     norm = np.sqrt(pair(mass)[likely])
     out: dict[tuple[int, int], tuple] = {}
-    for cut in range(0, len(likely), 1 << 13):
-        cosine = windows[cut : cut + (1 << 13)] @ target.T / norm[cut : cut + (1 << 13), None]
+    for cut in range(0, len(likely), 1 << 12):
+        cosine = windows[cut : cut + (1 << 12)] @ target.T / norm[cut : cut + (1 << 12), None]
         for i, k in zip(*np.nonzero(cosine >= min_cosine), strict=True):
             b, p = int(likely[cut + i]), known[k]
             d, span = int(block_doc[b]), max(16, len(p.words) // 2)
