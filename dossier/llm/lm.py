@@ -36,7 +36,7 @@ CODE_STEPS = 24  # codes for each power of ten
 DISCOUNT = 0.75
 END = _U(0x5EED0F7E47E4D0E1)
 #: Bytes of text for a shard, and tokens that a task gathers before it packs them.
-SHARD_BYTES, GATHER = 16 << 20, 3_000_000
+SHARD_BYTES, GATHER = 8 << 20, 1_500_000
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +62,16 @@ def level_keys(token: np.ndarray, place: np.ndarray, level: int, shards: int) ->
     return at, key, ((context & _U((1 << SUCCESSOR_BITS) - 1)) % _U(shards)).astype(np.int32)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in order, where one of each stands, and for each element the number of its value."""
+    by = np.argsort(x)
+    s = x[by]
+    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
+    back = np.empty(len(x), dtype=np.int64)
+    back[by] = np.cumsum(new) - 1
+    return s[new], by[new], back
+
+
 def places(count: np.ndarray) -> np.ndarray:
     """The place of each token in its text."""
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -84,16 +94,20 @@ def _grow(data: bytes) -> np.ndarray:
 def _packed_counts(docs: DataFrame, order: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
-            for level, parts in gathered.items():
-                keys, first, counts = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
-                shard = np.concatenate([p[1] for p in parts])[first].astype(np.uint16 if shards < 65536 else np.int32)
+            rows: list[tuple] = []
+            for level in list(gathered):
+                parts = gathered.pop(level)
+                shard = np.concatenate([p[1] for p in parts]).astype(np.uint16 if shards < 65536 else np.int32)
                 by = np.argsort(shard, kind="stable")
-                keys, counts, shard = keys[by], counts[by], shard[by]
-                cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
-                rows: list[tuple] = []
-                for a, b in zip(cuts, cuts[1:]):  # noqa: B905
-                    one = counts[a:b] == 1
-                    rows.append((level, int(shard[a]), _shrink(keys[a:b][one]), _shrink(keys[a:b][~one]), counts[a:b][~one].astype("<u4").tobytes()))
+                keys, cuts = np.concatenate([p[0] for p in parts])[by], np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+                del parts, by, shard
+                for s in np.flatnonzero(np.diff(cuts)):
+                    k = np.sort(keys[cuts[s] : cuts[s + 1]])
+                    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                    counts = np.diff(np.append(first, len(k)))
+                    k, one = k[first], counts == 1
+                    rows.append((level, int(s), _shrink(k[one]), _shrink(k[~one]), counts[~one].astype("<u4").tobytes()))
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["level", "shard", "ones", "more", "counts"])
 
         gathered: dict[int, list] = {}
@@ -231,7 +245,7 @@ class Trie:
 
     def counts(self, token: np.ndarray) -> np.ndarray:
         """Exact counts of tokens in the training texts."""
-        keys, back = np.unique(token, return_inverse=True)
+        keys, _, back = distinct(token)
         out = np.zeros(len(keys), dtype=np.int64)
         for s, at in self._by_shard((keys % _U(self.shards)).astype(np.int32)):
             if (1, s) in self.files:
@@ -242,7 +256,7 @@ class Trie:
 
     def shares(self, key: np.ndarray, shard: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each n-gram's last token after its context (0: none kept), and the context's rest."""
-        keys, first, back = np.unique(key, return_index=True, return_inverse=True)
+        keys, first, back = distinct(key)
         share, left = np.zeros(len(keys)), np.ones(len(keys))
         for s, at in self._by_shard(shard[first]):
             if (level, s) not in self.files:
