@@ -66,12 +66,12 @@ def looks_alive(value: Column) -> Column:
     return (F.length(value) >= 12) & (kinds >= 6) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("(?i)example|changeme|placeholder|your|dummy|sample|xxxx")
 
 
-def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", id_col: str = "doc_id", text_col: str = "text", most_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", id_col: str = "doc_id", text_col: str = "text", most_owners: int = 2, most_repos: int = 100) -> DataFrame:
     """One row for each document: doc_id, ``spans`` and ``live``, both arrays of (kind, start, end, value).
 
     ``spans`` has all spans of the fixed kinds and the tokens that are live. A candidate is live if it looks
-    alive and at most ``most_owners`` owners have it in the whole corpus, an unknown (null) owner counting as
-    one owner and an unknown repository as one repository. Offsets are in code points, end exclusive. Spans are
+    alive and the whole corpus has it with at most ``most_owners`` owners and in at most ``most_repos``
+    repositories (of all owners together); null owners count as one owner, null repositories as one of each owner. Offsets are in code points, end exclusive. Spans are
     by start, then kind. A null text is empty; rows are kept one by one whatever their ids; an empty table gives
     an empty result; other columns are ignored.
     """
@@ -83,10 +83,10 @@ def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "so
     each = each.select("uid", "repo", "owner", F.explode(F.concat(*KINDS)).alias("span"))
     each = each.withColumn("value", secret_part(F.col("span"))).withColumn("h", F.md5(F.col("value").cast("binary")))
     nothing = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
-    use = each.select("h", nothing("owner").alias("owner"), nothing("repo").alias("repo"))
-    # First by owner, so that a value of very many documents is summed before it meets in one task.
-    by_owner = use.groupBy("h", "owner").agg(F.approx_count_distinct("repo").alias("repos")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    rare = by_owner.where(F.col("owners") <= most_owners).select("h")
+    # First the distinct uses, then by owner, so that a value of very many documents never meets in one task.
+    uses = each.select("h", nothing("owner").alias("owner"), nothing("repo").alias("repo")).distinct()
+    owners = uses.groupBy("h", "owner").agg(F.count("*").alias("repos")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    rare = owners.where((F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)).select("h")
     live = each.where(looks_alive(F.col("value"))).join(rare, "h", "left_semi").groupBy("uid").agg(F.collect_set("span").alias("live"))
     out = rows.join(live, "uid", "left").withColumn("live", F.coalesce("live", F.array().cast(f"array<{SPAN}>")))
     base = F.concat(*BASE_KINDS)
