@@ -58,11 +58,11 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], n))], names=["feature", "n"])
 
-    table = rows.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    table = rows.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, found = table["feature"].to_numpy(), table["n"].to_numpy()
     df = np.zeros(FEATURES, dtype=np.int64)
-    real = table[table["feature"] >= 0]
-    df[real["feature"].to_numpy()] = real["n"].to_numpy()
-    return df, int(table.loc[table["feature"] < 0, "n"].sum())
+    df[feature[feature >= 0]] = found[feature >= 0]
+    return df, int(found[feature < 0].sum())
 
 
 class Rows:

@@ -93,19 +93,17 @@ def train(docs: DataFrame, max_rows: int = 20_000, seed: int = 11) -> dict:
             sums += np.bincount(key.astype(np.int64) * size + of_word[owner], minlength=len(sums))
             script = word_scripts(w)
             scripts += np.bincount(script[script >= 0].astype(np.int64) * size + of_word[script >= 0], minlength=len(scripts))
-        for name, x in (("gram", sums), ("script", scripts)):
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(x[at])], names=["what", "at", "n"])
-
-    found = sample.mapInArrow(count, "what string, at long, n long").groupBy("what", "at").agg(F.sum("n").alias("n")).toPandas()
-    tables = {}
-    for name, length in (("gram", BUCKETS * size), ("script", SCRIPTS * size)):
-        x, part = np.zeros(length), found[found["what"] == name]
-        x[part["at"].to_numpy()] = part["n"].to_numpy()
-        tables[name] = x.reshape(-1, size)
-    logs = np.log((tables["gram"] + 0.5) / (tables["gram"].sum(axis=0) + 0.5 * BUCKETS))
+        both = np.concatenate([sums, scripts])
+        at = np.flatnonzero(both)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(both[at])], names=["at", "n"])
+
+    found = sample.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    both = np.zeros((BUCKETS + SCRIPTS) * size)
+    both[found["at"].to_numpy()] = found["n"].to_numpy()
+    gram, script = both[: BUCKETS * size].reshape(-1, size), both[BUCKETS * size :].reshape(-1, size)
+    logs = np.log((gram + 0.5) / (gram.sum(axis=0) + 0.5 * BUCKETS))
     logs -= logs.mean(axis=1, keepdims=True)
-    seen = tables["script"] / np.maximum(tables["script"].sum(axis=0), 1) > 0.001
+    seen = script / np.maximum(script.sum(axis=0), 1) > 0.001
     seen[~seen.any(axis=1)] = True
     prior = np.array([r["count"] for r in by_lang]) / total
     return {"langs": langs, "weights": logs.astype(np.float32), "scripts": seen, "prior": np.log(prior).astype(np.float32)}
