@@ -3,12 +3,15 @@
 Texts are lower-cased and split at white space and punctuation. Words are hashed to ``FEATURES`` features; their document frequencies are counted over all documents. The
 benchmark's passages, as TF-IDF rows, are factored by a randomised SVD whose passes over the rows are Spark jobs.
 Every window of every document is folded in the same space, and windows whose cosine to a passage reaches a low
-threshold are candidates. A candidate is confirmed in the words themselves: by the longest common subsequence
-with the passage, and for a paraphrase also by the passage's answer (its last sentence).
+threshold are candidates. So are, whatever their cosine, the stretches of a document that hold enough of a passage's
+rarest words: the latent space keeps less of each passage as passages are added, and a window dilutes short ones. A
+candidate is confirmed in the words themselves: by the longest common subsequence with the passage, and for a
+paraphrase also by the passage's answer (its last sentence).
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +36,8 @@ COMMON_SHARE = 0.05
 #: Share of a passage's words in order that is a copy; that is a paraphrase, if the answer is there too.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 SHORT = 8
+#: Rare words found in texts, each times the passages that have it, that are compared at a time.
+HITS_A_TIME = 1 << 20
 
 
 #: Bytes between words here: white space, controls and ASCII punctuation. Texts are lower-cased by Spark.
@@ -173,6 +178,77 @@ def confirm(passage: Passage, words: list[int]) -> tuple[int, str] | None:
     return None
 
 
+class Anchors:
+    """The rarest words of each passage, enough of them that a text without ``need`` of these cannot be confirmed.
+
+    A confirmed text has at least the share ``PARAPHRASE`` of a passage's words, so ``spare`` words may be missing.
+    Of the rarest words, ``spare`` and a fifth of the passage more, it has all but ``spare``. Nothing is lost by
+    leaving the others out.
+    """
+
+    def __init__(self, known: list[Passage], idf: np.ndarray):
+        posts: list[tuple[int, int, int]] = []
+        need, size = np.zeros(len(known), dtype=np.int64), np.array([len(p.words) for p in known], dtype=np.int64)
+        for k, p in enumerate(known):
+            n, taken = len(p.words), 0
+            if n < SHORT:
+                continue
+            spare = n - math.ceil(PARAPHRASE * n - 1e-9)
+            words = np.array(list(p.counts), dtype=np.uint64)
+            for i in np.argsort(-idf[_features(words)], kind="stable"):
+                if taken >= spare + max(2, n // 5):
+                    break
+                word = int(words[i])
+                posts.append((word, k, p.counts[word]))
+                taken += p.counts[word]
+            need[k] = taken - spare
+        posts.sort()
+        word = np.array([x[0] for x in posts], dtype=np.uint64)
+        self.words, first = np.unique(word, return_index=True)
+        self.first = np.append(first, len(posts))
+        self.owner, self.weight = (np.array([x[i] for x in posts], dtype=np.int64) for i in (1, 2))
+        self.has = np.zeros(FEATURES, dtype=bool)
+        self.has[_features(self.words)] = True
+        self.need, self.before = need, np.maximum(16, size // 2)
+        self.stretch, self.step = size + self.before, np.maximum(8, size // 4)
+
+    def candidates(self, w: Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, passage, begin, end) of the stretches of words that may hold the passage."""
+        at = np.flatnonzero(self.has[_features(hashes)])
+        if not len(at):
+            return
+        word = np.minimum(np.searchsorted(self.words, hashes[at]), len(self.words) - 1)
+        same = self.words[word] == hashes[at]
+        at, word = at[same], word[same]
+        fan, doc = self.first[word + 1] - self.first[word], np.searchsorted(w.first, at, "right") - 1
+        ends = np.cumsum(fan)
+        gap = int(self.stretch.max()) + 1
+        wide = len(hashes) + gap * (len(w.count) + 1)
+        begin = 0
+        while begin < len(at):
+            done = int(ends[begin - 1]) if begin else 0
+            end = int(np.searchsorted(ends, done + HITS_A_TIME, "right"))
+            if end < len(at):  # whole texts only
+                whole = int(np.searchsorted(doc, doc[end]))
+                end = whole if whole > begin else int(np.searchsorted(doc, doc[end], "right"))
+            some = fan[begin:end]
+            hit = np.repeat(np.arange(begin, end), some)
+            post = self.first[word[hit]] + np.arange(len(hit)) - np.repeat(np.cumsum(some) - some, some)
+            begin = end
+            key = self.owner[post] * wide + at[hit] + doc[hit] * gap
+            by = np.argsort(key)
+            key, hit, post = key[by], hit[by], post[by]
+            owner, sums = self.owner[post], np.concatenate([[0], np.cumsum(self.weight[post])])
+            until = np.searchsorted(key, key + self.stretch[owner])
+            past = -1
+            for i in np.flatnonzero(sums[until] - sums[:-1] >= self.need[owner]).tolist():
+                if key[i] < past:
+                    continue
+                d, k, spot = int(doc[hit[i]]), int(owner[i]), int(at[hit[i]])
+                past = int(key[i] + self.step[k])
+                yield d, k, max(int(w.first[d]), spot - int(self.before[k])), min(int(w.first[d + 1]), spot + int(self.stretch[k] + self.step[k]))
+
+
 class Retrieval:
     """The fitted space of a benchmark and its passages, in blocks."""
 
@@ -223,9 +299,9 @@ def _searched(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.Re
     """Each piece with the passages and the confirmed pairs in it."""
     place, coordinates, idf, block, min_cosine = shared.value
     known = [p for b in block if (p := Passage(*b)).words]
-    target = latent(known, place, coordinates, idf) if known else None
+    target, rare = (latent(known, place, coordinates, idf), Anchors(known, idf)) if known else (None, None)
     for piece in pieces(batches, "text"):
-        yield piece, known, search(piece.column("text"), known, target, place, coordinates, idf, min_cosine) if known else []
+        yield piece, known, search(piece.column("text"), known, rare, target, place, coordinates, idf, min_cosine) if known else []
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -234,7 +310,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     All windows of all documents are compared with all passages, ``PASSAGES_A_PASS`` of them in a pass. Passages
     without words and null texts match nothing. Rows are handled one by one whatever their ids, equal passages
     each match; other columns are ignored; with either table empty the result is empty. A passage longer than a
-    window is found by a window's cosine and then confirmed as a whole.
+    window is found by a window's cosine and then confirmed as a whole. What no window shows is found by the
+    passage's rarest words; its cosine is then that of the words confirmed.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).cast("binary").alias("text"))
     space = Retrieval(docs, text_col, bench, item_col, bench_text_col, min_cosine)
@@ -286,12 +363,30 @@ def latent(known: list[Passage], place: np.ndarray, coordinates: np.ndarray, idf
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def search(texts: pa.Array, known: list[Passage], target: np.ndarray, place: np.ndarray, coordinates: np.ndarray, idf: np.ndarray, min_cosine: float) -> list[tuple]:
-    """(text, passage, common, cosine, verdict) of confirmed pairs, each with its best window."""
+def search(texts: pa.Array, known: list[Passage], rare: Anchors, target: np.ndarray, place: np.ndarray, coordinates: np.ndarray, idf: np.ndarray, min_cosine: float) -> list[tuple]:
+    """(text, passage, common, cosine, verdict) of confirmed pairs, each with its best window or its best stretch of rare words."""
     w = Words(texts, apart=_APART)
     if not len(w.start):
         return []
     hashes = hash_ranges(w.data, w.start, w.end)
+    out, more = by_windows(w, hashes, known, target, place, coordinates, idf, min_cosine), {}
+    for d, k, a, z in rare.candidates(w, hashes):
+        if (d, k) in out or more.get((d, k), (0,))[0] == len(known[k].words):
+            continue
+        if verdict := confirm(known[k], hashes[a:z].tolist()):
+            more[d, k] = max(more.get((d, k), (0,)), (verdict[0], _cosine(known[k].counts, Counter(hashes[a:z].tolist()), idf), verdict[1]))
+    return [(d, int(k), common, cosine, verdict) for (d, k), (common, cosine, verdict) in sorted((out | more).items())]
+
+
+def _cosine(a: Counter, b: Counter, idf: np.ndarray) -> float:
+    """Of the TF-IDF rows of two counters of words."""
+    weight = {x: float(idf[x >> 46]) ** 2 for x in a.keys() | b.keys()}
+    norm = math.sqrt(sum(weight[x] * n * n for x, n in a.items()) * sum(weight[x] * n * n for x, n in b.items()))
+    return sum(weight[x] * n * b[x] for x, n in a.items()) / max(norm, 1e-12)
+
+
+def by_windows(w: Words, hashes: np.ndarray, known: list[Passage], target: np.ndarray, place: np.ndarray, coordinates: np.ndarray, idf: np.ndarray, min_cosine: float) -> dict[tuple[int, int], tuple]:
+    """Common words, cosine and verdict of confirmed pairs (text, passage) by the latent cosine of their windows."""
     feature = _features(hashes)
     doc = w.doc()
     in_doc = np.arange(len(doc)) - w.first[doc]
@@ -314,7 +409,7 @@ def search(texts: pa.Array, known: list[Passage], target: np.ndarray, place: np.
     # a feature that repeats counts more in both, so a factor of two is left).
     likely = np.flatnonzero(2 * pair(own) >= min_cosine**2 * pair(mass))
     if not len(likely):
-        return []
+        return {}
     needed = np.zeros(len(begins) + 1, dtype=bool)
     needed[likely] = needed[likely + 1] = True
     block_of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(doc))))
@@ -336,4 +431,4 @@ def search(texts: pa.Array, known: list[Passage], target: np.ndarray, place: np.
             a, z = max(int(w.first[d]), int(begins[b]) - span), min(int(w.first[d + 1]), int(begins[b]) + 2 * BLOCK + max(span, len(p.words) - BLOCK))
             if verdict := confirm(p, hashes[a:z].tolist()):
                 out[d, k] = max(out.get((d, k), (0,)), (verdict[0], float(cosine[i, k]), verdict[1]))
-    return [(d, int(k), common, cosine, verdict) for (d, k), (common, cosine, verdict) in sorted(out.items())]
+    return out

@@ -338,6 +338,22 @@ def test_leaks_of_whole_table(spark):
     assert len({d for d, _ in got}) < 0.1 * len(docs)
 
 
+def zipf_words(draw, n, vocabulary=20_000):
+    return [f"w{int(vocabulary ** draw.random())}" for _ in range(n)]
+
+
+def test_leaks_of_many_passages(spark):
+    draw = random.Random(8)
+    items = [(k, " ".join(zipf_words(draw, 38))) for k in range(5000)]
+    docs, put = [], set()
+    for k in range(300):
+        body, item = zipf_words(draw, 300), 16 * k
+        docs.append((k, " ".join(body[:101] + items[item][1].split() + body[101:]), "s"))
+        put.add((k, item))
+    got = decontam.find_leaks(made(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got if r.common == 38 and r.verdict == "copy"} == put
+
+
 # --- the pipeline
 
 def test_pipeline(spark):
