@@ -181,7 +181,8 @@ def confirm(passage: Passage, words: list[int]) -> tuple[int, str] | None:
 class Anchors:
     """The rarest words of each passage, enough of them that a text without ``need`` of these cannot be confirmed.
 
-    A confirmed text has at least the share ``PARAPHRASE`` of a passage's words, so ``spare`` words may be missing.
+    A confirmed text has at least the share ``PARAPHRASE`` of a passage's words, so ``spare`` words may be missing;
+    of a passage under ``SHORT`` words none may.
     Of the rarest words, ``spare`` and a fifth of the passage more, it has all but ``spare``. Nothing is lost by
     leaving the others out.
     """
@@ -191,9 +192,7 @@ class Anchors:
         need, size = np.zeros(len(known), dtype=np.int64), np.array([len(p.words) for p in known], dtype=np.int64)
         for k, p in enumerate(known):
             n, taken = len(p.words), 0
-            if n < SHORT:
-                continue
-            spare = n - math.ceil(PARAPHRASE * n - 1e-9)
+            spare = n - math.ceil(PARAPHRASE * n - 1e-9) if n >= SHORT else 0
             words = np.array(list(p.counts), dtype=np.uint64)
             for i in np.argsort(-idf[_features(words)], kind="stable"):
                 if taken >= spare + max(2, n // 5):

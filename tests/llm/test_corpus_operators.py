@@ -354,6 +354,21 @@ def test_leaks_of_many_passages(spark):
     assert {(r.doc_id, r.item_id) for r in got if r.common == 38 and r.verdict == "copy"} == put
 
 
+def test_leaks_of_short_passages_amid_rare_words(spark):
+    draw = random.Random(9)
+    items = [(k, " ".join(zipf_words(draw, 1 + k % 20, 300))) for k in range(200)]
+    docs = [(k, " ".join([f"r{k}x{i}" for i in range(150)] + t.split() + [f"r{k}y{i}" for i in range(150)]), "s") for k, t in items]
+    docs += [(1000 + k, " ".join(zipf_words(draw, 60, 300)), "s") for k in range(400)]
+    got = {(r.doc_id, r.item_id): r.common for r in decontam.find_leaks(made(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(got.get((k, k)) == 1 + k % 20 for k, _ in items)
+    for d, t, _ in docs:
+        w = words(t)
+        for k, p in items:
+            p = words(p)
+            if len(p) < 8:
+                assert ((d, k) in got) == any(w[i : i + len(p)] == p for i in range(len(w) - len(p) + 1)), (d, k)
+
+
 # --- the pipeline
 
 def test_pipeline(spark):
