@@ -26,9 +26,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component, that with the smallest id. Of rows with equal ids all stay or go."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """Keeps exactly one row of each component, that with the smallest id (null ids last), and every row without words.
+
+    Rows are numbered in a copy in the shared folder, so that the number stays when a task runs again.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    gone = near_duplicates(rows, row_col="__row").where(~F.col("kept")).select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

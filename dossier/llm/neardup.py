@@ -82,9 +82,13 @@ def _fingerprint(values: np.ndarray) -> tuple[int, int]:
     return int(mix64(values).sum(dtype=np.uint64).astype(np.int64)), int(mix64(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set fingerprint (fp0, fp1), packed signature (s0 to s3), band keys (none for an empty set)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5, row_col: str | None = None) -> DataFrame:
+    """doc_id, uid, n_shingles, set fingerprint (fp0, fp1), packed signature (s0 to s3), band keys (none for an empty set).
+
+    ``uid`` is the column ``row_col``, a long number; without one it is null.
+    """
+    uid = F.col(row_col) if row_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), uid.alias("uid"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _families()
@@ -99,11 +103,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> Da
             keys = _band_keys(low)[counts > 0].view(np.int64).ravel()
             ends = np.concatenate([[0], np.cumsum((counts > 0) * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys, type=_LONG))
-            columns = [piece.column("doc_id"), pa.array(counts, type=_LONG), *(pa.array(prints[:, i], type=_LONG) for i in (0, 1)), *(pa.array(packed[:, i].copy(), type=_LONG) for i in range(4)), bands]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "fp0", "fp1", *SIGNATURE, "bands"])
+            columns = [piece.column("doc_id"), piece.column("uid"), pa.array(counts, type=_LONG), *(pa.array(prints[:, i], type=_LONG) for i in (0, 1)), *(pa.array(packed[:, i].copy(), type=_LONG) for i in range(4)), bands]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "n_shingles", "fp0", "fp1", *SIGNATURE, "bands"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, fp0 long, fp1 long, s0 long, s1 long, s2 long, s3 long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, uid long, n_shingles long, fp0 long, fp1 long, s0 long, s1 long, s2 long, s3 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
@@ -144,7 +148,7 @@ def _alike(a: F.Column, b: F.Column) -> F.Column:
     return 7 * F.size(F.array_intersect(a, b)) >= 3 * (F.size(a) + F.size(b))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, row_col: str | None = None) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
     A document with fewer than ``size`` words has its whole sequence as its one shingle; a null or wordless
@@ -152,11 +156,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reaches by links, its own included; rows with one doc_id are compared as documents of their own. A row with
     a null id is kept only if no row with an id is in its component (component_id is null then). An empty table
     gives an empty result; other columns are ignored.
+
+    With ``row_col``, long numbers that differ from row to row, it comes along and ``kept`` is decided by row: of
+    each component exactly one row is kept, that of the smallest doc_id (null ids last) and then number, and so is
+    every row without a shingle.
     """
-    marks = signatures(docs, id_col, text_col, size).withColumn("uid", F.monotonically_increasing_id())
+    marks = signatures(docs, id_col, text_col, size, row_col)
+    marks = marks if row_col else marks.withColumn("uid", F.monotonically_increasing_id())
     marks = written(marks, "signatures")
     firsts = [F.first(c).alias(c) for c in (*SIGNATURE, "bands")]
-    classes = marks.where(F.col("n_shingles") > 0).groupBy("fp0", "fp1", "n_shingles").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), *firsts)
+    classes = marks.where(F.col("n_shingles") > 0).groupBy("fp0", "fp1", "n_shingles").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "uid")).alias("best"), *firsts)
     classes = written(classes, "classes")
     narrow = classes.select("node", "n_shingles", *SIGNATURE)
 
@@ -195,9 +204,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = again.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
-    joined = classes.select("fp0", "fp1", "node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = joined.join(lowest, "root").select("fp0", "fp1", "component_id")
-    full = marks.select("doc_id", "n_shingles", "fp0", "fp1").where("n_shingles > 0").join(named, ["fp0", "fp1"])
+    joined = classes.select("fp0", "fp1", "node", "rep", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("best")["uid"].alias("keeper"))
+    named = joined.join(lowest, "root").select("fp0", "fp1", "component_id", "keeper")
+    full = marks.select("doc_id", "uid", "n_shingles", "fp0", "fp1").where("n_shingles > 0").join(named, ["fp0", "fp1"])
+    if row_col:
+        some = full.select("doc_id", F.col("uid").alias(row_col), "n_shingles", "component_id", (F.col("uid") == F.col("keeper")).alias("kept"))
+        return some.union(marks.where("n_shingles = 0").select("doc_id", "uid", "n_shingles", "doc_id", F.lit(True)))
     out = full.select("doc_id", "n_shingles", "component_id").union(marks.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -387,6 +387,14 @@ def test_pipeline(spark):
     assert {r.doc_id for r in mix.collect()} <= set(after) and mix.agg(F.sum("taken")).first()[0] > 0
 
 
+def test_near_duplicate_stage_decides_by_row(spark):
+    one, two, three = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white")
+    rows = [(None, one), (3, one), (None, "unique without an id"), (7, one), (7, "unique under an id that repeats"), (None, two), (None, two), (5, three), (5, three), (None, None), (None, ""), (5, "")]
+    left = corpus_pipeline.near_duplicate_stage(spark, made(spark, [(d, t, "s") for d, t in rows]), "")
+    want = [(3, one), (None, "unique without an id"), (7, "unique under an id that repeats"), (None, two), (5, three), (None, None), (None, ""), (5, "")]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+
+
 def test_stages_take_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (2, "some plain words of text here", "en", None, 29), (2, "some plain words of text here", "en", "a", 29), (3, "x " * 50_000, None, "a", 7)], "doc_id long, text string, lang string, source string, n_chars long")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
