@@ -7,8 +7,8 @@ in one task, which sums them and writes a file. Levels:
 2. and up: contexts (the words before, by a hash), and below each context its successors. Contexts are one
    monotone sequence, and so are the successors, each counted from the place of its context (``index << 30 |
    successor``). Both are Elias-Fano coded. A successor carries its discounted probability in an 8-bit code and
-   a context the mass left for shorter contexts in 16 bits. N-grams seen less than ``min_count`` times are pruned
-   and their mass goes to the shorter context.
+   a context the mass left for shorter contexts in 16 bits. All n-grams are kept; only a caller's ``min_count``
+   over 1 prunes those seen less often, and their mass goes to the shorter context.
 
 Files are memory-mapped where they lie in the shared folder (one that is not mounted is fetched once for each
 executor by Spark). Probability: p_n = code(successor) + left(context) * p_(n-1), down to the smoothed p_1.
@@ -186,7 +186,7 @@ def _level_arrays(level: int, keys: np.ndarray, counts: np.ndarray, min_count: i
     return {**_sequence("context", context[own][kept]), **_sequence("successor", successors), "codes": code, "left": np.maximum(np.floor(left * 65535), 1).astype(np.uint16)}
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = 3, min_count: int = 2, path: str | None = None) -> dict:
+def train(docs: DataFrame, text_col: str = "text", order: int = 3, min_count: int = 1, path: str | None = None) -> dict:
     """Builds the trie of all texts (null: empty) below ``path`` in the shared folder; returns what scoring needs.
 
     What comes to the driver is one small row for each shard; the model itself stays in the files. Shards grow in

@@ -274,6 +274,19 @@ def test_language_model(spark, small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_keeps_what_occurs_once(spark):
+    docs = made(spark, [(1, "the quick brown fox jumps", "s")])
+    # Every n-gram occurs once: 2 of the 6 tokens' levels fall short at the start, the others have a share of 1 - 0.75.
+    r = lm.score_texts(docs, lm.train(docs)).first()
+    base, want = 1.5 / (6 + 0.5 * 7), 0
+    for i in range(6):
+        p = base
+        for n in (1, 2):
+            p = 0.25 + 0.75 * p if i >= n else p
+        want += math.log10(p)
+    assert r.base_score == pytest.approx(6 * math.log10(base)) and abs(r.score - want) <= 0.06 * 6
+
+
 def test_language_model_edges(spark):
     docs = made(spark, [(None, None, "s"), (1, "", "s"), (1, "a a a a a b", "s"), (2, "ж " * 100_000, "s")])
     model = lm.train(docs)
