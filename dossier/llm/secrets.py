@@ -1,8 +1,8 @@
 """Secrets by corpus-wide ownership frequency (DataFrame functions only).
 
 Patterns give candidates with their offsets. Each candidate's hash is aggregated over the whole corpus by
-distinct repositories and owners. A candidate of many owners is a widely copied example; one of few owners that
-looks alive (long, mixed, not a placeholder) is its owner's own credential.
+distinct owners. A candidate of many owners is a widely copied example; one of few owners that looks alive (mixed,
+not a placeholder) is its owner's own credential, in however many of the owner's repositories it stands.
 
 Offsets come from splitting a text at the matches: the parts between matches and the matches themselves, with
 their lengths in code points, add up to the start of each match.
@@ -61,32 +61,29 @@ def secret_part(span: Column) -> Column:
 
 
 def looks_alive(value: Column) -> Column:
-    """Twelve characters or more of at least six kinds, with a digit and a letter, and no placeholder word."""
+    """``MIN_SECRET`` characters or more, half of them of different kinds (six kinds do), with a digit and a letter, and no placeholder word."""
     kinds = F.size(F.array_distinct(F.split(value, "")))
-    return (F.length(value) >= 12) & (kinds >= 6) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("(?i)example|changeme|placeholder|your|dummy|sample|xxxx")
+    return (F.length(value) >= MIN_SECRET) & (kinds >= F.least(F.lit(6), F.ceil(F.length(value) / 2))) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("(?i)example|changeme|placeholder|your|dummy|sample|xxxx")
 
 
-def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", id_col: str = "doc_id", text_col: str = "text", most_owners: int = 2, most_repos: int = 100) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner_col: str = "source", id_col: str = "doc_id", text_col: str = "text", most_owners: int = 2) -> DataFrame:
     """One row for each document: doc_id, ``spans`` and ``live``, both arrays of (kind, start, end, value).
 
     ``spans`` has all spans of the fixed kinds and the tokens that are live. A candidate is live if it looks
-    alive and the whole corpus has it with at most ``most_owners`` owners and in at most ``most_repos``
-    repositories (of all owners together); null owners count as one owner, null repositories as one of each owner. Offsets are in code points, end exclusive. Spans are
-    by start, then kind. A null text is empty; rows are kept one by one whatever their ids; an empty table gives
+    alive and the whole corpus has it with at most ``most_owners`` owners, whatever the number of their documents;
+    null owners count as one owner. Offsets are in code points, end exclusive. Spans are by start, then kind. A null text is empty; rows are kept one by one whatever their ids; an empty table gives
     an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", "repo", "owner", *(candidates(text, k).alias(k) for k in KINDS)).withColumn("uid", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
+    rows = rows.select("doc_id", "owner", *(candidates(text, k).alias(k) for k in KINDS)).withColumn("uid", F.monotonically_increasing_id())
     rows = written(rows, "secrets")
     each = rows.where(" OR ".join(f"size({k}) > 0" for k in KINDS))
-    each = each.select("uid", "repo", "owner", F.explode(F.concat(*KINDS)).alias("span"))
+    each = each.select("uid", "owner", F.explode(F.concat(*KINDS)).alias("span"))
     each = each.withColumn("value", secret_part(F.col("span"))).withColumn("h", F.md5(F.col("value").cast("binary")))
-    nothing = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
-    # First the distinct uses, then by owner, so that a value of very many documents never meets in one task.
-    uses = each.select("h", nothing("owner").alias("owner"), nothing("repo").alias("repo")).distinct()
-    owners = uses.groupBy("h", "owner").agg(F.count("*").alias("repos")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    rare = owners.where((F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)).select("h")
+    # First the distinct uses, so that a value of very many documents never meets in one task.
+    uses = each.select("h", F.coalesce(F.concat(F.lit("="), F.col("owner")), F.lit("?")).alias("owner")).distinct()
+    rare = uses.groupBy("h").agg(F.count("*").alias("owners")).where(F.col("owners") <= most_owners).select("h")
     live = each.where(looks_alive(F.col("value"))).join(rare, "h", "left_semi").groupBy("uid").agg(F.collect_set("span").alias("live"))
     out = rows.join(live, "uid", "left").withColumn("live", F.coalesce("live", F.array().cast(f"array<{SPAN}>")))
     base = F.concat(*BASE_KINDS)

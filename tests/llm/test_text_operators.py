@@ -124,6 +124,14 @@ def test_secret_ownership(spark):
     assert {r.owners for r in secrets.ownership(docs).collect()} == {5, 1}
 
 
+def test_secret_of_one_owner_in_many_documents(spark):
+    rows = [(k, "token = zyxw9876543210zyxwvu", "o1") for k in range(150)] + [(200, "password: hunt3r2", "o2"), (201, "password: aaa111", "o2")]
+    rows += [(300 + k, "passwd=sh4red77", f"o{k}") for k in range(3)]
+    clean = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {clean[k] for k in range(150)} == {"token = [secret]"} and clean[200] == "password: [secret]"
+    assert clean[201] == "password: aaa111" and {clean[300 + k] for k in range(3)} == {"passwd=sh4red77"}
+
+
 def secrets_value(span):
     return span.value.split(" = ")[-1]
 
