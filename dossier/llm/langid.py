@@ -14,13 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import Words, pieces
+from dossier.llm.shared import PIECE_BYTES, Words, pieces
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 18
 #: Scripts by lead bytes of UTF-8: ASCII and Latin letters, Greek and Cyrillic, other two-byte, three-byte (Indic, CJK, ...), four-byte.
 SCRIPTS = 5
 SWITCH_PENALTY = 12.0
+#: Languages at most, more raise an error before anything runs: a model has a megabyte for each. Up to ``DENSE``, tasks
+#: count in an array of all buckets and languages.
+MOST_LANGUAGES, DENSE = 1000, 32
 SPANS = "array<struct<start: int, end: int, lang: string>>"
 
 _SCRIPT = np.full(256, 255, dtype=np.uint8)
@@ -72,41 +75,56 @@ def train(docs: DataFrame, max_rows: int = 20_000, seed: int = 11) -> dict:
     """A model from (text, lang): fit on at most about ``max_rows`` rows, chosen by a hash of the text.
 
     Counts are summed in the tasks and then over tasks by bucket; what comes to the driver is a table of
-    ``BUCKETS`` times the number of languages at most. Null texts and null languages are no part of it.
+    ``BUCKETS`` times the number of languages at most. Null texts and null languages are no part of it. More than
+    ``MOST_LANGUAGES`` languages raise a ValueError.
     """
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"))
-    by_lang = known.groupBy("lang").count().orderBy("lang").limit(1000).collect()
+    by_lang = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(by_lang) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs, total = [r["lang"] for r in by_lang], sum(r["count"] for r in by_lang)
     if not langs:
         return {"langs": []}
     share = min(1.0, max_rows / total)
     sample = known.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) or 1))
-    size = len(langs)
+    size, number = len(langs), {x: k for k, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, scripts = np.zeros(BUCKETS * size, dtype=np.int64), np.zeros(SCRIPTS * size, dtype=np.int64)
+        sums, scripts = np.zeros(BUCKETS * size if size <= DENSE else 0, dtype=np.int64), np.zeros(SCRIPTS * size, dtype=np.int64)
         for piece in pieces(batches, "text"):
             w = Words(piece.column("text"), lower=True)
-            label = np.array([langs.index(x) for x in piece.column("lang").to_pylist()], dtype=np.int64)
+            label = np.array([number[x] for x in piece.column("lang").to_pylist()], dtype=np.int64)
             of_word = np.repeat(label, w.count)
             key, owner = grams(w)
-            sums += np.bincount(key.astype(np.int64) * size + of_word[owner], minlength=len(sums))
+            cell = key.astype(np.int64) * size + of_word[owner]
+            if size <= DENSE:
+                sums += np.bincount(cell, minlength=len(sums))
+            else:
+                at, n = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["at", "n"])
             script = word_scripts(w)
             scripts += np.bincount(script[script >= 0].astype(np.int64) * size + of_word[script >= 0], minlength=len(scripts))
-        both = np.concatenate([sums, scripts])
-        at = np.flatnonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(both[at])], names=["at", "n"])
+        for x, start in ((sums, 0), (scripts, BUCKETS * size)):
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(at + start, pa.int32()), pa.array(x[at])], names=["at", "n"])
 
     found = sample.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    both = np.zeros((BUCKETS + SCRIPTS) * size)
-    both[found["at"].to_numpy()] = found["n"].to_numpy()
-    gram, script = both[: BUCKETS * size].reshape(-1, size), both[BUCKETS * size :].reshape(-1, size)
-    logs = np.log((gram + 0.5) / (gram.sum(axis=0) + 0.5 * BUCKETS))
-    logs -= logs.mean(axis=1, keepdims=True)
+    at, n = found["at"].to_numpy(), found["n"].to_numpy()
+    by = np.argsort(at)
+    at, n = at[by], n[by]
+    grams_end = int(np.searchsorted(at, BUCKETS * size))
+    whole = np.bincount(at[:grams_end] % size, weights=n[:grams_end], minlength=size) + 0.5 * BUCKETS
+    weights = np.empty((BUCKETS, size), dtype=np.float32)
+    for low in range(0, BUCKETS, 4096):
+        a, z = np.searchsorted(at, [low * size, (low + 4096) * size])
+        gram = np.bincount(at[a:z] - low * size, weights=n[a:z], minlength=4096 * size).reshape(-1, size)
+        logs = np.log((gram + 0.5) / whole)
+        weights[low : low + 4096] = logs - logs.mean(axis=1, keepdims=True)
+    script = np.bincount(at[grams_end:] - BUCKETS * size, weights=n[grams_end:], minlength=SCRIPTS * size).reshape(-1, size)
     seen = script / np.maximum(script.sum(axis=0), 1) > 0.001
     seen[~seen.any(axis=1)] = True
     prior = np.array([r["count"] for r in by_lang]) / total
-    return {"langs": langs, "weights": logs.astype(np.float32), "scripts": seen, "prior": np.log(prior).astype(np.float32)}
+    return {"langs": langs, "weights": weights, "scripts": seen, "prior": np.log(prior).astype(np.float32)}
 
 
 def word_scores(w: Words, model: dict) -> np.ndarray:
@@ -128,14 +146,14 @@ def viterbi(scores: np.ndarray, first: np.ndarray, prior: np.ndarray, penalty: f
     order = np.argsort(-count, kind="stable")
     live = order[count[order] > 0]
     n, size = len(scores), scores.shape[1]
-    came = np.zeros((n, size), dtype=np.int8)
-    label = np.zeros(n, dtype=np.int8)
+    came = np.zeros((n, size), dtype=np.int16)
+    label = np.zeros(n, dtype=np.int16)
     if not len(live):
         return label
     at, longest = first[live], count[live]
     best = scores[at] + prior
     active = len(live)
-    stay = np.arange(size, dtype=np.int8)
+    stay = np.arange(size, dtype=np.int16)
     for t in range(1, int(longest[0])):
         active = int(np.searchsorted(-longest, -t, "left"))
         now = best[:active]
@@ -143,9 +161,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, prior: np.ndarray, penalty: f
         jump = now[np.arange(active), top][:, None] - penalty
         changed = jump > now
         i = at[:active] + t
-        came[i] = np.where(changed, top[:, None].astype(np.int8), stay)
+        came[i] = np.where(changed, top[:, None].astype(np.int16), stay)
         best[:active] = np.where(changed, jump, now) + scores[i]
-    state = best.argmax(axis=1).astype(np.int8)
+    state = best.argmax(axis=1).astype(np.int16)
     for t in range(int(longest[0]) - 1, -1, -1):
         active = int(np.searchsorted(-longest, -t, "left"))
         i = at[:active] + t
@@ -171,7 +189,8 @@ def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         langs = model["langs"]
-        for piece in pieces(batches, "text"):
+        # Words have a score in each language, so the more languages, the fewer words at a time.
+        for piece in pieces(batches, "text", PIECE_BYTES * DENSE // max(DENSE, len(langs))):
             docs, letters = piece.num_rows, piece.column("letters").to_numpy(zero_copy_only=False)
             if not langs:
                 names, share, spans = ["und"] * docs, np.zeros(docs), [[]] * docs

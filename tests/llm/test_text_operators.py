@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from dossier.llm import langid, pii, quality, secrets
 from dossier.llm import queries as q
@@ -160,6 +161,17 @@ def test_languages_edge_and_mixed(spark):
     assert {r.lang_pred for r in langid.identify_languages(made, {"langs": []}).collect()} == {"und"}
 
 
+def test_three_hundred_languages(spark):
+    text = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}{chr(97 + k % 26)}{chr(97 + k // 26)}" for c in "qwertz")
+    docs = spark.createDataFrame([(k, text(k), f"l{k:03d}") for k in range(300)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model["langs"]) == 300
+    got = langid.identify_languages(docs, model).collect()
+    assert [r.lang_pred for r in sorted(got)] == [f"l{k:03d}" for k in range(300)] and {r.score for r in got} == {1.0}
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(spark.range(1001).select(F.lit("x").alias("text"), F.col("id").alias("lang")))
+
+
 @pytest.mark.parametrize("run", [lambda d: quality.rule_ledger(d), pii.find_personal_data, secrets.scan_secrets, lambda d: langid.identify_languages(d, {"langs": []}), secrets.ownership])
 def test_edge_rows_and_empty(spark, run):
     docs = spark.createDataFrame(rows(EDGE), SCHEMA)
