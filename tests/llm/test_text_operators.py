@@ -84,6 +84,12 @@ def test_personal_data_equals_patterns(seed):
     assert pii.find_spans("IBAN: DE89 3704 0044 0532 0130 00, ssn 123-45-6789; account no 00123456", automaton)[-3:] == [("iban", 6, 33), ("ssn", 39, 50), ("account", 63, 71)]
 
 
+@pytest.mark.parametrize("n", [10, 300, 1500, 100_000])
+def test_login_of_any_length(n):
+    text = f"see https://oauth2:{'eyJ.' * (n // 4)}@host/x and http://a:b/c@d"
+    assert [s for s in pii.find_spans(text, pii.anchors()) if s[0] == "url_login"] == [("url_login", 12, text.index("@host"))]
+
+
 def test_personal_data_query(spark, small):
     got = {r.doc_id: r for r in q.op4_personal_data(spark, small).collect()}
     for doc_id, text in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect():
