@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.components import connected_components
-from dossier.llm.shared import Words, mix64, pieces, windows_hash, written
+from dossier.llm.shared import Scratch, Words, mix64, pieces, removed, windows_hash
 
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
@@ -82,13 +82,9 @@ def _fingerprint(values: np.ndarray) -> tuple[int, int]:
     return int(mix64(values).sum(dtype=np.uint64).astype(np.int64)), int(mix64(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5, row_col: str | None = None) -> DataFrame:
-    """doc_id, uid, n_shingles, set fingerprint (fp0, fp1), packed signature (s0 to s3), band keys (none for an empty set).
-
-    ``uid`` is the column ``row_col``, a long number; without one it is null.
-    """
-    uid = F.col(row_col) if row_col else F.lit(None).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), uid.alias("uid"), F.col(text_col).cast("binary").alias("text"))
+def signatures(rows: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, uid, n_shingles, set fingerprint (fp0, fp1), packed signature (s0 to s3), band keys (none for an empty set) of rows (doc_id, uid, text)."""
+    rows = rows.select("doc_id", "uid", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _families()
@@ -110,19 +106,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = 5, row_c
     return rows.mapInArrow(run, f"doc_id {kind}, uid long, n_shingles long, fp0 long, fp1 long, s0 long, s1 long, s2 long, s3 long, bands array<long>")
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int = 5) -> DataFrame:
-    """fp0, fp1 and the full set of each document, as 64-bit hashes."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+def full_sets(rows: DataFrame, size: int = 5) -> DataFrame:
+    """node, the full set of each row (uid, text) as 64-bit hashes, and its band keys."""
+    rows = rows.select("uid", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _families()
         for piece in pieces(batches, "text"):
             sets = list(shingle_sets(piece.column("text"), size))
-            prints = np.array([_fingerprint(s) for s in sets], dtype=np.int64)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), type=_LONG))
-            yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0], type=_LONG), pa.array(prints[:, 1], type=_LONG), values], names=["fp0", "fp1", "shingles"])
+            keys = _band_keys(np.array([_minima(s, a, b) for s in sets])).view(np.int64).ravel()
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys, type=_LONG))
+            yield pa.RecordBatch.from_arrays([piece.column("uid"), values, bands], names=["node", "shingles", "bands"])
 
-    return rows.mapInArrow(run, "fp0 long, fp1 long, shingles array<long>")
+    return rows.mapInArrow(run, "node long, shingles array<long>, bands array<long>")
 
 
 def _may_be_alike(x: str, y: str) -> F.Column:
@@ -161,50 +159,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each component exactly one row is kept, that of the smallest doc_id (null ids last) and then number, and so is
     every row without a shingle.
     """
-    marks = signatures(docs, id_col, text_col, size, row_col)
-    marks = marks if row_col else marks.withColumn("uid", F.monotonically_increasing_id())
-    marks = written(marks, "signatures")
+    spark = docs.sparkSession
+    brief, kept = Scratch(spark), Scratch(spark)  # what is deleted at the end, and what the result reads
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row_col).alias("uid") if row_col else F.monotonically_increasing_id().alias("uid"))
+    source = source if row_col else brief.written(source, "rows")  # numbered once, so that the number stays
+    marks = kept.written(signatures(source, size), "signatures")
     firsts = [F.first(c).alias(c) for c in (*SIGNATURE, "bands")]
     classes = marks.where(F.col("n_shingles") > 0).groupBy("fp0", "fp1", "n_shingles").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "uid")).alias("best"), *firsts)
-    classes = written(classes, "classes")
+    classes = kept.written(classes, "classes")
     narrow = classes.select("node", "n_shingles", *SIGNATURE)
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Full sets of classes, each from the text of the row that gave the class its number."""
+        texts = source.select("uid", "text").join(nodes.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi")
+        return brief.written(full_sets(texts, size), "sets")
+
     rows = classes.select("node", F.posexplode("bands").alias("band", "key"))
     heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where(F.col("head") < F.col("last"))
-    rows = written(rows.join(heads.select("key", "head"), "key"), "buckets")  # only what shares a key
+    rows = brief.written(rows.join(heads.select("key", "head"), "key"), "buckets")  # only what shares a key
     stars = rows.where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(narrow.alias("x"), F.col("a") == F.col("x.node")).join(narrow.alias("y"), F.col("b") == F.col("y.node"))
-    stars = written(stars.where(_may_be_alike("x", "y")).select("a", "b"), "candidates")
-
-    reps = classes.select("node", "fp0", "fp1", "rep")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        those = reps.join(nodes.distinct(), "node", "left_semi")
-        texts = source.join(those.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").union(source.where("doc_id IS NULL"))
-        found = full_sets(texts, "doc_id", "text", size).join(those, ["fp0", "fp1"])
-        return written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-
-    links = _confirmed(stars, sets_of(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node")))))
-    roots = connected_components(links)
+    stars = brief.written(stars.where(_may_be_alike("x", "y")).select("a", "b"), "candidates")
+    sets, once_only = sets_of(stars.select(F.explode(F.array("a", "b")).alias("node"))), brief.paths.pop()
+    roots = connected_components(_confirmed(stars, sets))
+    removed(spark, once_only)
 
     # Buckets in which components meet. Rows that the packed bits compare with a row of another component stay,
     # get their full sets, and are confirmed where they meet: what leaves the join are links only, each once.
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(narrow, "node")
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "node").alias("head_root")).where("low < high")
-    rows = written(rows.join(mixed.select("key", "head_root"), "key").join(narrow, "node"), "mixed")
+    rows = brief.written(rows.join(mixed.select("key", "head_root"), "key"), "mixed")
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _may_be_alike("x", "y")
-    some = written(rows.alias("x").join(rows.alias("y"), meets, "left_semi"), "candidates")
-    full = some.join(sets_of(some.select("node")), "node").join(classes.select("node", "bands"), "node")
-    full = written(full, "candidates")
+    some = brief.written(rows.alias("x").join(rows.alias("y"), meets, "left_semi"), "candidates")
+    full = brief.written(some.join(sets_of(some.select("node")), "node"), "candidates")
     x, y = full.where("root != head_root").alias("x"), full.where("node != head").alias("y")
     once = (F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("y.head_root"))
     equal = F.zip_with(F.slice("x.bands", 1, F.col("x.band")), F.slice("y.bands", 1, F.col("x.band")), lambda p, q: p == q)
     again = x.join(y, meets & once & ~F.exists(equal, lambda e: e) & _alike(F.col("x.shingles"), F.col("y.shingles")))
-    more = again.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    higher = connected_components(again.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")))
+    brief.clear()
 
-    joined = classes.select("fp0", "fp1", "node", "rep", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = classes.select("fp0", "fp1", "node", "rep", "best").join(roots, "node", "left").withColumn("low", F.coalesce("root", "node")).drop("root")
+    joined = joined.join(higher.select(F.col("node").alias("low"), "root"), "low", "left").withColumn("root", F.coalesce("root", "low"))
     lowest = joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("best")["uid"].alias("keeper"))
     named = joined.join(lowest, "root").select("fp0", "fp1", "component_id", "keeper")
     full = marks.select("doc_id", "uid", "n_shingles", "fp0", "fp1").where("n_shingles > 0").join(named, ["fp0", "fp1"])
