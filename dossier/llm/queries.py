@@ -57,8 +57,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the fixed columns: ``live`` (the live spans) and ``ownership`` (owners:repositories of each span), in the order of ``spans``."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(count_of(k) for k in secrets.BASE_KINDS), F.sha2(digest(F.col("spans"), secrets.BASE_KINDS), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    owned = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["owners"], s["repositories"])), ",")
+    return found.select("doc_id", *(count_of(k) for k in secrets.BASE_KINDS), F.sha2(digest(F.col("spans"), secrets.BASE_KINDS), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), digest(F.col("live")).alias("live"), owned.alias("ownership"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
