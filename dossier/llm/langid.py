@@ -1,8 +1,9 @@
 """Language of documents: script ranges, then Viterbi over per-word scores with a switching penalty.
 
 A naive Bayes model over byte n-grams of words gives each word a score in each language. The script of a word's
-letters narrows its languages to those that were learned with that script. Viterbi then labels every word: a
-change of language costs a fixed penalty, so that short foreign words do not break a span, and long ones do.
+letters, by ranges of code points, narrows its languages to those that were learned with that script. Viterbi then
+labels every word: a change of language costs a fixed penalty, so that short foreign words do not break a span, and
+long ones do. How sure a label is comes from the margin: what its words score in it above the next best language.
 """
 
 from __future__ import annotations
@@ -18,21 +19,61 @@ from dossier.llm.shared import PIECE_BYTES, Words, pieces
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 18
-#: Scripts by lead bytes of UTF-8: ASCII and Latin letters, Greek and Cyrillic, other two-byte, three-byte (Indic, CJK, ...), four-byte.
-SCRIPTS = 5
 SWITCH_PENALTY = 12.0
 #: Languages at most, more raise an error before anything runs: a model has a megabyte for each. Up to ``DENSE``, tasks
 #: count in an array of all buckets and languages.
 MOST_LANGUAGES, DENSE = 1000, 32
 SPANS = "array<struct<start: int, end: int, lang: string>>"
 
-_SCRIPT = np.full(256, 255, dtype=np.uint8)
-_SCRIPT[0x41:0x5B] = _SCRIPT[0x61:0x7B] = 0
-_SCRIPT[0xC2:0xCA] = 0
-_SCRIPT[0xCD:0xD4] = 1
-_SCRIPT[0xCA:0xCD] = _SCRIPT[0xD4:0xE0] = 2
-_SCRIPT[0xE0:0xF0] = 3
-_SCRIPT[0xF0:0xF5] = 4
+# First and last code points of the letters of each script, as Unicode's blocks have them.
+SCRIPT_RANGES = (
+    ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xAA, 0xAA), ("latin", 0xB5, 0xB5), ("latin", 0xBA, 0xBA), ("latin", 0xC0, 0xD6), ("latin", 0xD8, 0xF6), ("latin", 0xF8, 0x2AF), ("mark", 0x300, 0x36F),
+    ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x531, 0x58F), ("hebrew", 0x591, 0x5FF), ("arabic", 0x610, 0x6FF), ("syriac", 0x700, 0x74F), ("arabic", 0x750, 0x77F), ("thaana", 0x780, 0x7BF),
+    ("nko", 0x7C0, 0x7FF), ("arabic", 0x8A0, 0x8FF), ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("gurmukhi", 0xA00, 0xA7F), ("gujarati", 0xA80, 0xAFF), ("oriya", 0xB00, 0xB7F), ("tamil", 0xB80, 0xBFF),
+    ("telugu", 0xC00, 0xC7F), ("kannada", 0xC80, 0xCFF), ("malayalam", 0xD00, 0xD7F), ("sinhala", 0xD80, 0xDFF), ("thai", 0xE00, 0xE7F), ("lao", 0xE80, 0xEFF), ("tibetan", 0xF00, 0xFFF), ("myanmar", 0x1000, 0x109F),
+    ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x139F), ("cherokee", 0x13A0, 0x13FF), ("khmer", 0x1780, 0x17FF), ("mongolian", 0x1820, 0x18AF), ("georgian", 0x1C90, 0x1CBF),
+    ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("latin", 0x2C60, 0x2C7F), ("kana", 0x3041, 0x30FF), ("bopomofo", 0x3105, 0x312F), ("hangul", 0x3131, 0x318F), ("kana", 0x31F0, 0x31FF), ("han", 0x3400, 0x4DBF),
+    ("han", 0x4E00, 0x9FFF), ("latin", 0xA722, 0xA7FF), ("hangul", 0xA960, 0xA97F), ("hangul", 0xAC00, 0xD7FF), ("han", 0xF900, 0xFAFF), ("arabic", 0xFB50, 0xFDFF), ("arabic", 0xFE70, 0xFEFC), ("latin", 0xFF21, 0xFF3A),
+    ("latin", 0xFF41, 0xFF5A), ("kana", 0xFF66, 0xFF9F), ("hangul", 0xFFA0, 0xFFDC), ("han", 0x20000, 0x3FFFF),
+)
+#: Scripts by number; letters of no range above are of the last one. Marks belong to the script of their word.
+SCRIPT_NAMES = (*dict.fromkeys(name for name, _, _ in SCRIPT_RANGES if name != "mark"), "other")
+SCRIPTS = len(SCRIPT_NAMES)
+_FIRST = np.array([a for _, a, _ in SCRIPT_RANGES], dtype=np.int64)
+_LAST = np.array([z for _, _, z in SCRIPT_RANGES], dtype=np.int64)
+_NUMBER = np.array([-1 if name == "mark" else SCRIPT_NAMES.index(name) for name, _, _ in SCRIPT_RANGES], dtype=np.int8)
+#: Code points above ASCII that are no letters though they are in no range: signs, punctuation, symbols, private ones, emoji.
+_NO_LETTER = ((0x80, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2B0, 0x2FF), (0x1680, 0x1680), (0x2000, 0x2BFF), (0x2E00, 0x303F), (0x3200, 0x33FF), (0x4DC0, 0x4DFF), (0xD800, 0xF8FF), (0xFE00, 0xFE4F), (0xFF00, 0xFF20), (0xFFF0, 0xFFFF), (0x1F000, 0x1FAFF), (0xE0000, 0x10FFFF))
+_ASCII = np.full(128, -1, dtype=np.int8)
+_ASCII[0x41:0x5B] = _ASCII[0x61:0x7B] = 0
+
+
+def scripts_of(code: np.ndarray) -> np.ndarray:
+    """The script number of each code point, -1 for those that are no letters."""
+    at = np.searchsorted(_FIRST, code, side="right") - 1
+    inside = (at >= 0) & (code <= _LAST[np.maximum(at, 0)])
+    out = np.where(inside, _NUMBER[np.maximum(at, 0)], np.int8(SCRIPTS - 1))
+    for a, z in _NO_LETTER:
+        out[~inside & (code >= a) & (code <= z)] = -1
+    out[(code < 0x80) & ~inside] = -1
+    return out
+
+
+def byte_scripts(data: np.ndarray) -> np.ndarray:
+    """At the first byte of each character of a UTF-8 text its script number; -1 at other bytes and where it is no letter."""
+    out = np.full(len(data), -1, dtype=np.int8)
+    plain = data < 0x80
+    out[plain] = _ASCII[data[plain]]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 1 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+        code = data[lead].astype(np.int64) & (0x3F >> size)
+        for k in range(1, 4):
+            more = np.flatnonzero(size >= k)
+            code[more] = code[more] << 6 | (data[np.minimum(lead[more] + k, len(data) - 1)] & 0x3F)
+        kinds, back = np.unique(code, return_inverse=True)
+        out[lead] = scripts_of(kinds)[back]
+    return out
 
 
 def grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +106,8 @@ def grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_scripts(w: Words) -> np.ndarray:
-    """Of each word the largest script number of its letters; -1 without letters."""
-    code = _SCRIPT[w.data].astype(np.int8)
-    code[_SCRIPT[w.data] == 255] = -1
-    return np.maximum.reduceat(code, w.start) if len(w.start) else np.empty(0, np.int8)
+    """Of each word the script of its letters (the largest number, if there are several: any other before Latin); -1 without letters."""
+    return np.maximum.reduceat(byte_scripts(w.data), w.start) if len(w.start) else np.empty(0, np.int8)
 
 
 def train(docs: DataFrame, max_rows: int = 20_000, seed: int = 11) -> dict:
@@ -119,22 +158,23 @@ def train(docs: DataFrame, max_rows: int = 20_000, seed: int = 11) -> dict:
         a, z = np.searchsorted(at, [low * size, (low + 4096) * size])
         gram = np.bincount(at[a:z] - low * size, weights=n[a:z], minlength=4096 * size).reshape(-1, size)
         logs = np.log((gram + 0.5) / whole)
-        weights[low : low + 4096] = logs - logs.mean(axis=1, keepdims=True)
+        # What no language has says nothing (else it would speak for that with the fewest n-grams).
+        weights[low : low + 4096] = np.where(gram.any(axis=1, keepdims=True), logs - logs.mean(axis=1, keepdims=True), 0)
     script = np.bincount(at[grams_end:] - BUCKETS * size, weights=n[grams_end:], minlength=SCRIPTS * size).reshape(-1, size)
     seen = script / np.maximum(script.sum(axis=0), 1) > 0.001
-    seen[~seen.any(axis=1)] = True
+    learned = seen.copy()
+    seen[~seen.any(axis=1)] = True  # a script of no language narrows nothing
     prior = np.array([r["count"] for r in by_lang]) / total
-    return {"langs": langs, "weights": weights, "scripts": seen, "prior": np.log(prior).astype(np.float32)}
+    return {"langs": langs, "weights": weights, "scripts": seen, "learned": learned, "prior": np.log(prior).astype(np.float32)}
 
 
-def word_scores(w: Words, model: dict) -> np.ndarray:
+def word_scores(w: Words, model: dict, script: np.ndarray) -> np.ndarray:
     """Score of every word in every language (0 for words without letters)."""
     size = len(model["langs"])
     key, owner = grams(w)
     out = np.empty((len(w.start), size), dtype=np.float32)
     for k in range(size):
         out[:, k] = np.bincount(owner, weights=model["weights"][:, k][key], minlength=len(w.start))
-    script = word_scripts(w)
     out[script < 0] = 0
     out[(script >= 0)[:, None] & ~model["scripts"][np.maximum(script, 0)]] -= 30
     return out
@@ -172,12 +212,26 @@ def viterbi(scores: np.ndarray, first: np.ndarray, prior: np.ndarray, penalty: f
     return label
 
 
+def sureness(scores: np.ndarray, script: np.ndarray, doc: np.ndarray, top: np.ndarray, docs: int) -> np.ndarray:
+    """1 - exp(-margin) of each text's language; 1 if only one was learned, 0 for a text without words with letters."""
+    size = scores.shape[1]
+    words = np.bincount(doc[script >= 0], minlength=docs)
+    if size == 1:
+        return (words > 0).astype(float)
+    total = np.stack([np.bincount(doc, weights=scores[:, k], minlength=docs) for k in range(size)], axis=1).astype(float)
+    own = total[np.arange(docs), top].copy()
+    total[np.arange(docs), top] = -np.inf
+    return 1 - np.exp(-np.maximum(own - total.max(axis=1), 0) / np.maximum(words, 1))
+
+
 def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, carry: bool = False) -> DataFrame:
-    """One row for each document: doc_id, lang_pred, score and ``spans`` (start, end, lang) in code points.
+    """One row for each document: doc_id, lang_pred, score, ``share`` and ``spans`` (start, end, lang) in code points.
 
-    ``lang_pred`` is the language of most letters and ``score`` its share of them, from 0 to 1. A text that is
-    null or has no letter, or a model without languages, gives ``und``, score 0 and no spans. A text with
-    letters always gets a learned language. Rows are handled one by one and whole, whatever their ids; other
+    ``lang_pred`` is the language of most letters and ``share`` its share of them. ``score`` is the share times
+    the letters' share in scripts that it was learned in, times 1 - exp(-margin): the margin is by how much all words of the text score better in it than in the next best
+    language, for each word with letters. So a text that no learned language fits has a low score, though it gets
+    the nearest one. Both are from 0 to 1. A text that is null or has no letter, or a model without languages,
+    gives ``und``, zeros and no spans. Rows are handled one by one and whole, whatever their ids; other
     columns are ignored; an empty table gives an empty result. With ``carry`` all columns of a row come along, as
     the struct ``row`` in place of doc_id.
     """
@@ -193,17 +247,21 @@ def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", tex
         for piece in pieces(batches, "text", PIECE_BYTES * DENSE // max(DENSE, len(langs))):
             docs, letters = piece.num_rows, piece.column("letters").to_numpy(zero_copy_only=False)
             if not langs:
-                names, share, spans = ["und"] * docs, np.zeros(docs), [[]] * docs
+                names, share, score, spans = ["und"] * docs, np.zeros(docs), np.zeros(docs), [[]] * docs
             else:
                 w = Words(piece.column("text"), lower=True)
-                label = viterbi(word_scores(w, model), w.first, model["prior"], penalty).astype(np.int64)
+                script = word_scripts(w)
+                scores = word_scores(w, model, script)
+                label = viterbi(scores, w.first, model["prior"], penalty).astype(np.int64)
                 doc = w.doc()
                 chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
                 begin, end = chars[w.start] - chars[w.offsets[doc]], chars[w.end] - chars[w.offsets[doc]]
-                weight = np.where(word_scripts(w) >= 0, end - begin, 0)
+                weight = np.where(script >= 0, end - begin, 0)
                 sums = np.bincount(doc * len(langs) + label, weights=weight, minlength=docs * len(langs)).reshape(docs, -1)
                 top = np.where(sums.any(axis=1), sums.argmax(axis=1), int(model["prior"].argmax()))
                 share = np.where(letters, np.where(sums.any(axis=1), sums.max(axis=1) / np.maximum(sums.sum(axis=1), 1), 0.0), 0.0)
+                fits = np.bincount(doc, weights=weight * model["learned"][script, top[doc]], minlength=docs) / np.maximum(sums.sum(axis=1), 1)
+                score = share * fits * sureness(scores, script, doc, top, docs)
                 names = [langs[k] if ok else "und" for k, ok in zip(top, letters, strict=True)]
                 cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])])) if len(doc) else np.empty(0, int)
                 last = np.append(cut[1:], len(doc)) - 1 if len(doc) else cut
@@ -211,9 +269,9 @@ def identify_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", tex
                 for c, e in zip(cut, last, strict=True):
                     if letters[doc[c]]:
                         spans[doc[c]].append({"start": int(begin[c]), "end": int(end[e]), "lang": langs[label[c]]})
-            yield pa.RecordBatch.from_arrays([piece.column(first), pa.array(names), pa.array(share, type=pa.float64()), pa.array(spans, type=kind)], names=[first, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([piece.column(first), pa.array(names), pa.array(score, type=pa.float64()), pa.array(share, type=pa.float64()), pa.array(spans, type=kind)], names=[first, "lang_pred", "score", "share", "spans"])
 
-    return rows.mapInArrow(run, f"{first} {rows.schema[first].dataType.simpleString()}, lang_pred string, score double, spans {SPANS}")
+    return rows.mapInArrow(run, f"{first} {rows.schema[first].dataType.simpleString()}, lang_pred string, score double, share double, spans {SPANS}")
 
 
 def remainder(id_col: str, of: int) -> F.Column:

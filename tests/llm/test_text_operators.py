@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,13 +168,50 @@ def test_languages_edge_and_mixed(spark):
     assert {r.lang_pred for r in langid.identify_languages(made, {"langs": []}).collect()} == {"und"}
 
 
+def test_scripts_by_code_points():
+    letters = {"a": "latin", "é": "latin", "Ệ": "latin", "λ": "greek", "ж": "cyrillic", "ש": "hebrew", "ع": "arabic", "क": "devanagari", "ท": "thai", "日": "han", "か": "kana", "한": "hangul", "𠀋": "han", "Ꭰ": "cherokee", "ꯀ": "other"}
+    for c, name in letters.items():
+        assert langid.SCRIPT_NAMES[langid.scripts_of(np.array([ord(c)]))[0]] == name, c
+    assert (langid.scripts_of(np.array([ord(c) for c in "1 .!“”—…€×÷🎈¿«\u0301\u3000"])) == -1).all()
+    text = "aλ 日“ж”!é🎈"
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    want = [-1] * len(data)
+    at = 0
+    for c in text:
+        want[at] = int(langid.scripts_of(np.array([ord(c)]))[0])
+        at += len(c.encode())
+    assert langid.byte_scripts(data).tolist() == want
+
+
+def test_score_tells_unlearned_texts(spark):
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = ["Και τώρα η ελληνική γλώσσα", "Теперь русский язык", "ภาษาไทย", "“—…” 123", "of the and then there"]
+    got = {r.doc_id: r for r in langid.identify_languages(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), model).collect()}
+    assert [got[k].score for k in range(4)] == [0] * 4 and got[3].lang_pred == "und" and got[4].lang_pred == "en" and got[4].score > 0.9
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_viterbi_equals_plain_one(seed):
+    draw = np.random.default_rng(seed)
+    size, counts = int(draw.integers(1, 300)), draw.integers(0, 12, 9)
+    first, scores, prior = np.concatenate([[0], np.cumsum(counts)]), draw.standard_normal((int(counts.sum()), size)).astype(np.float32), draw.standard_normal(size).astype(np.float32)
+    label, penalty = langid.viterbi(scores, first, prior, 1.0), 1.0
+    for a, z in zip(first, first[1:]):  # noqa: B905
+        worth = lambda path, a=a: prior[path[0]] + sum(scores[a + k, x] for k, x in enumerate(path)) - penalty * sum(x != y for x, y in zip(path, path[1:]))  # noqa: B905, E731
+        if z > a:
+            best = prior + scores[a]
+            for t in range(a + 1, z):
+                best = np.maximum(best, best.max() - penalty) + scores[t]
+            assert worth(label[a:z].tolist()) == pytest.approx(best.max(), abs=1e-3)
+
+
 def test_three_hundred_languages(spark):
     text = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}{chr(97 + k % 26)}{chr(97 + k // 26)}" for c in "qwertz")
     docs = spark.createDataFrame([(k, text(k), f"l{k:03d}") for k in range(300)], "doc_id long, text string, lang string")
     model = langid.train(docs)
     assert len(model["langs"]) == 300
     got = langid.identify_languages(docs, model).collect()
-    assert [r.lang_pred for r in sorted(got)] == [f"l{k:03d}" for k in range(300)] and {r.score for r in got} == {1.0}
+    assert [r.lang_pred for r in sorted(got)] == [f"l{k:03d}" for k in range(300)] and {r.share for r in got} == {1.0} and min(r.score for r in got) > 0.9
     with pytest.raises(ValueError, match="languages"):
         langid.train(spark.range(1001).select(F.lit("x").alias("text"), F.col("id").alias("lang")))
 
