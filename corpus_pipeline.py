@@ -22,7 +22,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents without letters (or text) and those without a main language. ``lang`` stays as it is."""
     model = langid.train(docs)
     found = langid.identify_languages(docs, model, carry=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE)).select("row.*")
+    return found.where((F.col("lang_pred") != "und") & (F.col("share") >= MAIN_LANGUAGE)).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
