@@ -85,6 +85,16 @@ def test_personal_data_equals_patterns(seed):
     assert pii.find_spans("IBAN: DE89 3704 0044 0532 0130 00, ssn 123-45-6789; account no 00123456", automaton)[-3:] == [("iban", 6, 33), ("ssn", 39, 50), ("account", 63, 71)]
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00"), ("IBAN DE89370400440532013000 I paid", "DE89370400440532013000"), ("IBAN: GB29NWBK60161331926819 USD 500", "GB29NWBK60161331926819"),
+    ("to GB29NWBK60161331926819, thanks", "GB29NWBK60161331926819"), ("FR14 2004 1010 0505 0001 3M02 606 A", "FR14 2004 1010 0505 0001 3M02 606"), ("DE89 3704 0044 0532 0130 01", None), ("xDE89370400440532013000", None),
+    ("DE893704004405320130001", None), ("ZZ89370400440532013000", None), ("DE8\u0664370400440532013000", None), ("DE89", None),
+])
+def test_account_numbers(text, found):
+    spans = [s for s in pii.find_spans(text, pii.anchors()) if s[0] == "iban"]
+    assert spans == ([("iban", text.index(found), text.index(found) + len(found))] if found else [])
+
+
 @pytest.mark.parametrize("n", [10, 300, 1500, 100_000])
 def test_login_of_any_length(n):
     text = f"see https://oauth2:{'eyJ.' * (n // 4)}@host/x and http://a:b/c@d"
