@@ -7,7 +7,7 @@ import numpy as np
 _U = np.uint64
 
 
-def _pack(values: np.ndarray, width: int) -> np.ndarray:
+def pack(values: np.ndarray, width: int) -> np.ndarray:
     """``width`` bits of each value, one after the other, in 64-bit words with one spare."""
     out = []
     for at in range(0, len(values), 1 << 16):
@@ -19,8 +19,15 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
+def unpack(words: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
+    """The numbers at the places ``i`` of what ``pack`` gave."""
+    bit = i * width
+    word, shift = bit >> 6, (bit & 63).astype(_U)
+    return ((words[word] >> shift) | ((words[word + 1] << _U(1)) << (_U(63) - shift))) & _U((1 << width) - 1)
+
+
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of a sorted sequence of distinct 64-bit numbers."""
+    """Arrays of a sorted sequence of 64-bit numbers (distinct ones, if they are to be found by value)."""
     n = len(values)
     last = int(values[-1]) if n else 0
     width = max(0, ((last + 1) // max(n, 1)).bit_length() - 1)
@@ -31,7 +38,7 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     bits[size:] = 1  # no zeros behind the last
     words = np.packbits(bits, bitorder="little").view(_U)
     zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))])[:-1]
-    return {"low": _pack(values & _U((1 << width) - 1), width), "high": words, "zeros": zeros.astype(np.uint32 if size < 2**32 else _U), "shape": np.array([n, width, int(high[-1]) if n else -1], dtype=np.int64)}
+    return {"low": pack(values & _U((1 << width) - 1), width), "high": words, "zeros": zeros.astype(np.uint32 if size < 2**32 else _U), "shape": np.array([n, width, int(high[-1]) if n else -1], dtype=np.int64)}
 
 
 class EliasFano:
@@ -41,11 +48,24 @@ class EliasFano:
         self.low, self.high, self.zeros = arrays["low"], arrays["high"], arrays["zeros"]
         self.n, self.width, self.top = (int(x) for x in arrays["shape"])
         self.mask = _U((1 << self.width) - 1)
+        self.ones = (np.arange(len(self.zeros), dtype=np.int64) << 6) - self.zeros.astype(np.int64)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
-        bit = i * self.width
-        word, shift = bit >> 6, (bit & 63).astype(_U)
-        return ((self.low[word] >> shift) | ((self.low[word + 1] << _U(1)) << (_U(63) - shift))) & self.mask
+        return unpack(self.low, self.width, i)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The number at each place ``i``: the one with number i in the high bits, found through the same directory."""
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        rest = i - self.ones[word]
+        w, at = self.high[word], word << 6
+        for half in (32, 16, 8, 4, 2, 1):
+            part = w & _U((1 << half) - 1)
+            ones = np.bitwise_count(part).astype(np.int64)
+            go = rest >= ones
+            rest = rest - np.where(go, ones, 0)
+            w = np.where(go, w >> _U(half), part)
+            at = at + np.where(go, half, 0)
+        return ((at - i) << self.width) | self.lows(i).astype(np.int64)
 
     def upto(self, bucket: np.ndarray) -> np.ndarray:
         """Elements whose high part is at most ``bucket`` (in order, so that the directory is read in order)."""
