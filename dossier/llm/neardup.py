@@ -32,6 +32,8 @@ BANDS = HASHES // ROWS
 SIGNATURE = ("s0", "s1", "s2", "s3")
 #: Minima that may differ at most: an estimate of 0.53 (1 - 45 / 128 = 0.25 + 0.75 * 0.53), 4.7 standard deviations below 0.75.
 MOST_DIFFERENT = 45
+#: Bits of the map that tells which texts are looked at again: 8 MB.
+MAP_BITS = 26
 
 _LONG = pa.int64()
 
@@ -106,19 +108,32 @@ def signatures(rows: DataFrame, size: int = 5) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, uid long, n_shingles long, fp0 long, fp1 long, s0 long, s1 long, s2 long, s3 long, bands array<long>")
 
 
-def full_sets(rows: DataFrame, size: int = 5) -> DataFrame:
-    """node, the full set of each row (uid, text) as 64-bit hashes, and its band keys."""
-    rows = rows.select("uid", F.col("text").cast("binary").alias("text"))
+def full_sets(rows: DataFrame, nodes: DataFrame, size: int = 5) -> DataFrame:
+    """node, full set (64-bit hashes) and band keys of the rows (uid, text) whose uid is a ``node``, and of some others.
+
+    Texts are not shuffled: rows are told apart in place by a bit map of hashed numbers, of a fixed size
+    (``MAP_BITS``). Others that share a bit pass too, and find no partner where sets are joined by node. The more
+    nodes there are, the more pass.
+    """
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - MAP_BITS).alias("at")
+    words = nodes.select(place("node")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    rows = rows.select("uid", place("uid"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _families()
-        for piece in pieces(batches, "text"):
-            sets = list(shingle_sets(piece.column("text"), size))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), type=_LONG))
-            keys = _band_keys(np.array([_minima(s, a, b) for s in sets])).view(np.int64).ravel()
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys, type=_LONG))
-            yield pa.RecordBatch.from_arrays([piece.column("uid"), values, bands], names=["node", "shingles", "bands"])
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+            for piece in pieces([batch], "text"):
+                sets = list(shingle_sets(piece.column("text"), size))
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), type=_LONG))
+                keys = _band_keys(np.array([_minima(s, a, b) for s in sets])).view(np.int64).ravel()
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys, type=_LONG))
+                yield pa.RecordBatch.from_arrays([piece.column("uid"), values, bands], names=["node", "shingles", "bands"])
 
     return rows.mapInArrow(run, "node long, shingles array<long>, bands array<long>")
 
@@ -171,8 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """Full sets of classes, each from the text of the row that gave the class its number."""
-        texts = source.select("uid", "text").join(nodes.select(F.col("node").alias("uid")).distinct(), "uid", "left_semi")
-        return brief.written(full_sets(texts, size), "sets")
+        return brief.written(full_sets(source, nodes, size), "sets")
 
     rows = classes.select("node", F.posexplode("bands").alias("band", "key"))
     heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where(F.col("head") < F.col("last"))
