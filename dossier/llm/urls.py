@@ -1,4 +1,10 @@
-"""URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest."""
+"""URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest.
+
+Labels of one's own may say something about a whole suffix (the last two labels of a host), so the share of blocked
+ones is a feature; for training it comes from the other tenths of the labelled urls. Labels that come from rules
+say nothing about pages that the rules leave open: the trees would learn the rules' hosts by heart. With these,
+a suffix has no such feature, and its pages are scored by trees that were fit on the other suffixes' urls only.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.shared import written
+
 #: (host, path, verdict): a rule fits its host and all subdomains of it, where the url's path starts with its path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -47,39 +55,74 @@ def lexical(df: DataFrame) -> DataFrame:
     })
 
 
-def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, max_train_rows: int = 20_000, id_col: str = "page_id", url_col: str = "url", trees: int = 12, depth: int = 4) -> DataFrame:
+#: A url is blocked if the trees are so sure; all else is allowed.
+BLOCK_SCORE = 0.8
+#: Groups of suffixes, for labels from rules, and parts of the labelled urls, for suffix rates.
+FOLDS, PARTS = 3, 10
+
+
+def _rates(known: DataFrame, mean: float) -> DataFrame:
+    """suffix, part, f_suffix_rate: the smoothed share of blocked urls in all parts but this one; in all of them for the null part."""
+    counts = known.groupBy("suffix", "part").agg(F.count("*").alias("k"), F.sum("blocked").alias("b"))
+    whole = counts.groupBy("suffix").agg(F.sum("k").alias("all_k"), F.sum("b").alias("all_b"))
+    rate = lambda b, k: ((b + 5 * mean) / (k + 5)).alias("f_suffix_rate")
+    each = counts.join(whole, "suffix").select("suffix", "part", rate(F.col("all_b") - F.col("b"), F.col("all_k") - F.col("k")))
+    return each.unionByName(whole.select("suffix", F.lit(None).cast("long").alias("part"), rate(F.col("all_b"), F.col("all_k"))))
+
+
+def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, max_train_rows: int = 20_000, id_col: str = "page_id", url_col: str = "url", trees: int = 8, depth: int = 3) -> DataFrame:
     """One row for each page: page_id, url, host, path, rule, score (of block, 0 to 1) and verdict (allow or block).
 
     The trees learn from labelled urls: ``labelled`` (url, verdict), or else those that a rule decides. They
     are fit on a sample of at most ``max_train_rows`` of these, chosen by a hash of the url; suffix statistics
-    (pages with the suffix, share of labelled ones blocked) cover all rows. A rule's verdict always stands.
-    Without labelled urls every other verdict is allow; with one class of them it is that class. Null urls count
-    as empty. Equal rows get equal verdicts, rows are judged one by one, other columns are ignored.
+    (pages with the suffix, share of labelled ones blocked) cover all rows. A rule's verdict always stands; its
+    score is what the trees alone would say. A page is blocked by the trees from ``BLOCK_SCORE`` on. Where these
+    have no labels, or only labels of one class, the score is that class's if ``labelled`` was given, and else 0:
+    rules of one kind are no evidence against other suffixes. Null urls count as empty. Equal rows get equal
+    verdicts, rows are judged one by one, urls of any length are read whole, other columns are ignored.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.withColumns({"host": host, "path": path})
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = lexical(rows.withColumns({"rule": rule, "said": said}))
-    if labelled is None:
-        known = rows.select("url", "said", "suffix", *FEATURES[:-2])
-    else:
+    own = labelled is not None
+    if own:
         known = labelled.select(F.col("url").cast("string").alias("url"), F.col("verdict").alias("said")).withColumns({"host": host, "path": path})
-        known = lexical(known).select("url", "said", "suffix", *FEATURES[:-2])
-    known = known.where(F.col("said").isNotNull())
-    blocked = (F.col("said") == "block").cast("double")
-    n, mean = known.agg(F.count("*"), F.coalesce(F.avg(blocked), F.lit(0.0))).first()
-    by_label = known.groupBy("suffix").agg(F.count("*").alias("k"), F.sum(blocked).alias("b"))
-    stats = rows.groupBy("suffix").agg(F.count("*").alias("n")).join(by_label, "suffix", "full")
-    stats = stats.select("suffix", F.log1p(F.coalesce("n", F.lit(0))).alias("f_suffix_log"), ((F.coalesce("b", F.lit(0)) + 5 * mean) / (F.coalesce("k", F.lit(0)) + 5)).alias("f_suffix_rate"))
-    if n == 0 or mean in (0.0, 1.0):
-        scored = rows.withColumn("score", F.lit(float(mean)))
+        known = lexical(known)
     else:
-        share = min(1.0, 0.95 * max_train_rows / n)
-        sample = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(max_train_rows)
-        make = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        train = make.transform(sample.join(stats, "suffix").withColumn("label", (F.col("said") == "block").cast("double"))).select("label", "features")
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(train.coalesce(4))
-        scored = model.transform(make.transform(rows.join(stats, "suffix"))).withColumn("score", vector_to_array("probability")[1])
-    verdict = F.coalesce("said", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
+        known = rows
+    used = FEATURES if own else tuple(f for f in FEATURES if f != "f_suffix_rate")
+    fold = F.lit(0) if own else F.pmod(F.xxhash64("suffix"), F.lit(FOLDS)).cast("int")
+    known = known.where(F.col("said").isNotNull()).withColumns({"blocked": (F.col("said") == "block").cast("double"), "part": F.pmod(F.xxhash64("url"), F.lit(PARTS)), "fold": fold})
+    known = known.select("url", "suffix", "blocked", "part", "fold", *FEATURES[:-2])
+    n, mean = known.agg(F.count("*"), F.coalesce(F.avg("blocked"), F.lit(0.0))).first()
+    # Pages with the suffix, in steps of ten times: the exact number would name the suffix.
+    stats = rows.groupBy("suffix").agg(F.floor(F.log10(F.count("*"))).cast("double").alias("f_suffix_log"))
+    share = min(1.0, 0.95 * max_train_rows / max(n, 1))
+    sample = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(max_train_rows)
+    sample, rows = sample.join(stats, "suffix", "left"), rows.withColumn("fold", fold).join(stats, "suffix", "left")
+    if own:
+        rates = _rates(known, mean)
+        sample = sample.join(rates, ["suffix", "part"], "left")
+        rows = rows.join(rates.where("part IS NULL").drop("part"), "suffix", "left")
+    fill = {"f_suffix_log": 0.0, "f_suffix_rate": mean}
+    sample, rows = (x.fillna({k: v for k, v in fill.items() if k in used}) for x in (sample, rows))
+    make = VectorAssembler(inputCols=list(used), outputCol="features")
+    train = written(sample.select("fold", F.col("blocked").alias("label"), *used), "url-labels")  # max_train_rows at most
+    counts = {r["fold"]: (r["n"], r["b"]) for r in train.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("b")).collect()}
+    scored, score = make.transform(rows), F.lit(0.0)
+    for k in range(1 if own else FOLDS):
+        others = [c for f, c in counts.items() if own or f != k]
+        total, bad = sum(c[0] for c in others), sum(c[1] for c in others)
+        if 0 < bad < total:
+            some = make.transform(train if own else train.where(F.col("fold") != k)).select("label", "features")
+            model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(some.coalesce(4))
+            scored = model.setRawPredictionCol(f"raw{k}").setProbabilityCol(f"p{k}").setPredictionCol(f"c{k}").transform(scored)
+            value = vector_to_array(f"p{k}")[1]
+        else:
+            value = F.lit(1.0 if own and bad else 0.0)
+        score = F.when(F.col("fold") == k, value).otherwise(score)
+    scored = scored.withColumn("score", score)
+    verdict = F.coalesce("said", F.when(F.col("score") >= BLOCK_SCORE, "block").otherwise("allow"))
     return scored.select("page_id", "url", "host", "path", "rule", "score", verdict.alias("verdict"))

@@ -90,6 +90,40 @@ def test_url_rules(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
+def plain_rule(url):
+    """Host, path and rule of a url, by plain string work."""
+    url = url or ""
+    if "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        end = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest))
+        host, rest = rest[:end].translate(ASCII_LOWER), rest[end:]
+        path = re.split("[?#]", rest)[0]
+    fits = [(h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *max(fits, key=lambda f: len(f[0]), default=(None, None))
+
+
+def test_url_rules_of_whole_table(spark):
+    got = q.op3_url_filter(spark, "/root/testdata/sf0.1").collect()
+    raw = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url").collect()}
+    assert len(got) == len(raw)
+    for r in got:
+        host, path, rule, verdict = plain_rule(raw[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (r.verdict == verdict if rule else r.verdict in ("allow", "block"))
+    # A rule for one path of a host does not spread over the host's other pages.
+    open_ = [r for r in got if r.rule is None and r.host.endswith("example.com")]
+    assert open_ and sum(r.verdict == "block" for r in open_) < len(open_)
+
+
+def test_url_odd_rows(spark):
+    long = "http://a.b.example.net/" + "x/1-" * 100_000 + "?" + "k=v&" * 20_000
+    rows = [(1, long), (2, long), (None, "http://example.com/de/a"), (3, "http://example.com/de/a"), (3, "http://example.com/de/a"), (4, None), (5, "")]
+    got = urls.filter_urls(spark.createDataFrame([(*r, "x", 0.5, "y") for r in rows], "page_id long, url string, suffix string, score double, fold string")).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got if r.url == long} == {"block"} and {(r.rule, r.verdict) for r in got if r.url == "http://example.com/de/a"} == {("example.com/de/", "block")}
+    assert {r.verdict for r in got if not r.url} == {"allow"}
+
+
 def test_url_trees_learn(spark):
     bad = [(f"http://x{k}.spam-{k % 7}.biz/{k * 7919}/{k * 104729}?a={k}&b={k * 31}&c=1",) for k in range(300)]
     good = [(f"http://site{k % 9}.example.org/about",) for k in range(300)]
@@ -226,9 +260,13 @@ def test_elias_fano(top, n):
     asked = np.unique(draw.integers(0, top, 20_000, dtype=np.uint64))
     found, there = coded.find(asked), np.isin(asked, values)
     assert ((found >= 0) == there).all() and (values[found[there]] == asked[there]).all()
+    if top < 2**63:
+        assert (coded.get(np.arange(len(values))) == values.astype(np.int64)).all()
+        twice = np.sort(np.concatenate([values, values[::3]]))
+        assert (EliasFano(encode(twice)).get(np.arange(len(twice))) == twice.astype(np.int64)).all()
 
 
-def plain_scores(texts, train):
+def plain_scores(texts, train, least):
     tokens = [words(t) + [None] for t in texts]
     count = [collections.Counter() for _ in range(3)]
     for k in train:
@@ -240,7 +278,7 @@ def plain_scores(texts, train):
         for g, c in count[n].items():
             total[n][g[:-1]] += c
         for g, c in count[n].items():
-            if c >= 2:
+            if c >= least:
                 left[n][g[:-1]] = left[n].get(g[:-1], 1) - (c - 0.75) / total[n][g[:-1]]
     size, types = sum(count[0].values()), len(count[0])
     out = []
@@ -254,23 +292,29 @@ def plain_scores(texts, train):
             for n in (1, 2):
                 if i >= n:
                     g = tuple(t[i - n : i + 1])
-                    p = ((count[n][g] - 0.75) / total[n][g[:-1]] if count[n][g] >= 2 else 0) + left[n].get(g[:-1], 1) * p
+                    p = ((count[n][g] - 0.75) / total[n][g[:-1]] if count[n][g] >= least else 0) + left[n].get(g[:-1], 1) * p
             score += math.log10(p)
         out.append((len(t), known, base, score))
     return out, size
 
 
-def test_language_model(spark, small):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+@pytest.mark.parametrize("least", [1, 2])
+def test_language_model(spark, small, least):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
     train = [k for k in texts if zlib.crc32(str(k).encode()) % 5 != 1]
     ids = sorted(texts)
-    want, size = plain_scores([texts[k] for k in ids], [ids.index(k) for k in train])
-    got = {r.doc_id: r for r in q.op9_lm_score(spark, small).collect()}
+    want, size = plain_scores([texts[k] for k in ids], [ids.index(k) for k in train], least)
+    if least == 1:
+        got = {r.doc_id: r for r in q.op9_lm_score(spark, small).collect()}
+        assert all(r.train_tokens == size and r.held_out == (k not in train) for k, r in got.items())
+    else:
+        got = {r.doc_id: r for r in lm.score_texts(docs, lm.train(docs.where(F.col("doc_id").isin(train)), min_count=least)).collect()}
     for k, (n, known, base, score) in zip(ids, want, strict=True):
         r = got[k]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, size, k not in train)
+        assert (r.n_tokens, r.n_known) == (n, known)
         assert r.base_score == pytest.approx(base, rel=1e-9) and abs(r.score - score) <= 0.06 * n
-    held = [r for r in got.values() if r.held_out]
+    held = [r for r in got.values() if r.doc_id not in train]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
@@ -287,6 +331,16 @@ def test_language_model_keeps_what_occurs_once(spark):
     assert r.base_score == pytest.approx(6 * math.log10(base)) and abs(r.score - want) <= 0.06 * 6
 
 
+def test_language_model_in_many_files(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = {r.doc_id: r.score for r in lm.score_texts(docs, lm.train(docs)).collect()}
+    for name, value in (("SHARD_BYTES", 20_000), ("WORD_SHARD_BYTES", 50_000), ("GATHER", 10_000), ("OPEN_FILES", 3)):
+        monkeypatch.setattr(lm, name, value)
+    model = lm.train(docs)
+    assert model["spread"] > 1 and len(model["bases"]) > 4
+    assert {r.doc_id: r.score for r in lm.score_texts(docs, model).collect()} == pytest.approx(want, abs=0.01, rel=1e-3)
+
+
 def test_language_model_edges(spark):
     docs = made(spark, [(None, None, "s"), (1, "", "s"), (1, "a a a a a b", "s"), (2, "ж " * 100_000, "s")])
     model = lm.train(docs)
