@@ -70,9 +70,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.date_format(F.timestamp_seconds(F.lit(946684800) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    found = capture_histories(table(spark, sf_dir, "pages"), ts=day)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Beside the fixed columns: urlkey, ts and ``place`` in the order of all captures. Pages have no time of their own: theirs is made of the id."""
+    second = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)).cast("long"), F.lit(1 << 31))
+    part = lambda of, size: F.lpad((F.floor(second / of) % size).cast("string"), 2, "0")
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.floor(second / 86_400).cast("int")).cast("string")
+    found = capture_histories(table(spark, sf_dir, "pages"), ts=F.concat(day, F.lit("T"), part(3600, 24), F.lit(":"), part(60, 60), F.lit(":"), part(1, 60), F.lit("Z")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "place")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +134,14 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
-_OP8 = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS keeper FROM p),
+_OP8 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(url, ''), '[\r\n]', '', 'g') AS url, ((coalesce(page_id, 0) % 2147483648) + 2147483648) % 2147483648 AS s FROM pages),
+q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS keeper,
+        array_to_string(list_reverse(string_split(lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)), '.')), ',') || ')' || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS urlkey,
+        strftime(TIMESTAMP '2000-01-01' + to_seconds(s), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM p),
 r AS (SELECT *, payload_bytes >= 1000 AND page_id < keeper AS again FROM q)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keeper END AS refers_to FROM r
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keeper END AS refers_to,
+       urlkey, ts, row_number() OVER (ORDER BY encode(urlkey), ts, page_id NULLS FIRST) - 1 AS place FROM r
 """
 
 ORACLE_SQL: dict[str, str] = {"op8_warc_index": _OP8, "op1_mix_sources": _OP1, "op2_quality_ledger": _OP2}

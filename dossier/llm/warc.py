@@ -1,8 +1,9 @@
 """WARC archives of pages: written, read back, and merged into one ordered index.
 
-Records are text (headers and UTF-8 payloads), so that Spark's text writer writes them: its line separator is the
-blank line pair that ends a record. Archives are gzip files of bounded size in the shared folder. They are read
-as binary files and parsed by their Content-Length.
+An archive is a file in the shared folder that holds gzip members, one for each record, so that a record can be read
+by its offset alone. A new archive begins when the last has ``ARCHIVE_BYTES`` or ``ARCHIVE_ROWS``. Each task writes its
+own archives aside and renames them; what it returns is a list of them, and only listed archives are read, record by
+record, so that an attempt that was lost leaves nothing in the index.
 
 Index: every archive gives a run of captures, sorted by url key and timestamp. Splitters cut each run in ranges;
 all pieces of one range meet in one task, which merges them with a loser tree. Ranges are in order, and so are
@@ -16,17 +17,19 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.shared import shared_path, written
 
 #: Payloads of at least so many bytes are stored once.
 DEDUP_BYTES = 1000
-#: Records that an archive holds at most; an archive is read as one file, so large pages call for fewer.
-ARCHIVE_ROWS = 1000
-#: Captures of a range, about.
-RANGE_ROWS = 50_000
+#: Compressed bytes and records after which an archive ends (a larger record is an archive of its own).
+ARCHIVE_BYTES, ARCHIVE_ROWS = 64 << 20, 10_000
+#: Captures of a range, about, and how many captures of the sample stand for a range.
+RANGE_ROWS, SAMPLED = 50_000, 4
+#: Bytes that are read at a time.
+CHUNK = 1 << 15
 
 ENTRY = "urlkey string, ts string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, record_length long"
 
@@ -57,58 +60,112 @@ def records(pages: DataFrame, id_col: str, url_col: str, html_col: str, ts: Colu
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.when(revisit, F.lit(0).cast("long")).otherwise(F.col("n")), F.lit("\r\n\r\n"),
     )
     body = F.when(revisit, "").otherwise(payload)
-    return rows.select("page_id", F.concat(head, body).alias("record"))
+    return rows.select("page_id", F.concat(head, body, F.lit("\r\n\r\n")).cast("binary").alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ts: Column | None = None, archive_rows: int = ARCHIVE_ROWS) -> str:
-    """Writes one record for each page below ``path`` and returns it. Without ``ts`` all captures have one time.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ts: Column | None = None, archive_rows: int = ARCHIVE_ROWS, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes one record for each page in archives below ``path``; returns their list (archive, records, bytes). Without ``ts`` all captures have one time.
 
     Of records with equal payloads of at least 1000 bytes that with the largest page_id is the response (all of
     them, if rows repeat that id) and the others revisit it. A null payload is empty; a page with a null id is
     always a response.
     """
     ts = F.lit("2000-01-01T00:00:00Z") if ts is None else ts
-    rows = records(pages, id_col, url_col, html_col, ts).select("record")
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", archive_rows).text(path)
-    return path
-
-
-def parse(data: bytes) -> Iterator[tuple[dict, bytes, int, int]]:
-    """Headers, block, offset and length of every record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-        body, size = end + 4, int(head["Content-Length"])
-        if not lines[0].startswith("WARC/") or data[body + size : body + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"broken record at {at}")
-        yield head, data[body : body + size], at, body + size + 4 - at
-        at = body + size + 4
-
-
-def read_index(spark, path: str) -> DataFrame:
-    """The captures of all archives below ``path``, one run for each archive in order of url key, timestamp and page; payloads are checked against their digests."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, where = fs.FileSystem.from_uri(path)
+        store.create_dir(where, recursive=True)
+        out, name, records, size = None, "", 0, 0
+
+        def ended() -> pa.RecordBatch:
+            out.close()
+            store.move(f"{where}/_{name}", f"{where}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records]), pa.array([size])], names=["archive", "records", "bytes"])
+
+        for batch in batches:
+            for record in batch.column("record"):
+                if out is not None and (records >= archive_rows or size >= archive_bytes):
+                    yield ended()
+                    out = None
+                if out is None:
+                    name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = store.open_output_stream(f"{where}/_{name}", compression=None)
+                pack = zlib.compressobj(wbits=31)
+                member = pack.compress(record.as_py()) + pack.flush()
+                out.write(member)
+                records, size = records + 1, size + len(member)
+        if out is not None:
+            yield ended()
+
+    return written(records(pages, id_col, url_col, html_col, ts).select("record").mapInArrow(run, "archive string, records long, bytes long"), "archives")
+
+
+def members(stream) -> Iterator[tuple[bytes, int, int]]:
+    """Each gzip member of a stream, decompressed, with its offset and length; one is in memory at a time."""
+    rest, at = stream.read(CHUNK), 0
+    while rest:
+        d, parts, size = zlib.decompressobj(31), [], 0
+        while not d.eof:
+            if not rest:
+                raise ValueError(f"broken archive at {at}")
+            parts.append(d.decompress(rest))
+            size += len(rest) - len(d.unused_data)
+            rest = d.unused_data or stream.read(CHUNK)
+        yield b"".join(parts), at, size
+        at += size
+
+
+def parse(data: bytes) -> tuple[dict, bytes]:
+    """Headers and block of a record."""
+    end = data.index(b"\r\n\r\n")
+    lines = data[:end].decode().split("\r\n")
+    head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+    body, size = end + 4, int(head["Content-Length"])
+    if not lines[0].startswith("WARC/") or data[body + size :] != b"\r\n\r\n":
+        raise ValueError("broken record")
+    return head, data[body : body + size]
+
+
+def read_record(path: str, archive: str, offset: int, record_length: int) -> tuple[dict, bytes]:
+    """Headers and block of one record, by its place in the index."""
+    from pyarrow import fs
+
+    store, where = fs.FileSystem.from_uri(path)
+    with store.open_input_file(f"{where}/{archive}") as f:
+        return parse(zlib.decompress(f.read_at(record_length, offset), 31))
+
+
+def read_index(archives: DataFrame, path: str) -> DataFrame:
+    """The captures of the listed archives below ``path``, one run for each archive in order of url key, timestamp and page; payloads are checked against their digests."""
     names = [c.split()[0] for c in ENTRY.split(", ")]
+    tasks = max(1, archives.count())  # an archive is a task's work
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        from pyarrow import fs
+
         schema = pa.schema([(n, pa.string() if "string" in c else pa.int64()) for n, c in zip(names, ENTRY.split(", "), strict=True)])
         number = lambda x: int(x[10:-1]) if x and x != "<urn:page:null>" else None
+        store, where = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            for name in batch.column("archive").to_pylist():
                 out = []
-                for head, block, at, size in parse(zlib.decompress(content.as_py(), 31)):
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if head["WARC-Type"] == "response" and hashlib.sha1(block).hexdigest() != digest:
-                        raise ValueError(f"digest of record at {at} in {name}")
-                    out.append((head["X-Url-Key"], head["WARC-Date"], number(head["WARC-Record-ID"]), head["WARC-Type"], int(head["WARC-Payload-Length"]), digest, number(head.get("WARC-Refers-To")), name.as_py().rsplit("/", 1)[-1], at, size))
+                with store.open_input_stream(f"{where}/{name}", compression=None) as stream:
+                    for data, at, size in members(stream):
+                        head, block = parse(data)
+                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                        if head["WARC-Type"] == "response" and hashlib.sha1(block).hexdigest() != digest:
+                            raise ValueError(f"digest of record at {at} in {name}")
+                        out.append((head["X-Url-Key"], head["WARC-Date"], number(head["WARC-Record-ID"]), head["WARC-Type"], int(head["WARC-Payload-Length"]), digest, number(head.get("WARC-Refers-To")), name, at, size))
                 out.sort(key=capture_order)
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(names), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return files.mapInArrow(run, ENTRY)
+    return archives.select("archive").repartition(tasks).mapInArrow(run, ENTRY)
 
 
 def capture_order(entry: tuple) -> tuple:
@@ -157,16 +214,17 @@ class LoserTree:
 def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures with ``part`` and ``position``: ordered by both they are in order of url key, timestamp and page.
 
-    Runs are the archives. Splitters come from a sample of about 20 captures a range (at most 20,000), chosen by
-    a hash; they only balance the ranges. They are captures, not url keys, so that a url with very many captures
-    spans several ranges.
+    Runs are the archives. Splitters come from a sample of about ``SAMPLED`` captures a range, chosen by a hash; they only
+    balance the ranges (one of three times the size is rare). The driver sorts them: one key for 12,500 captures, so
+    160,000 keys for the two billion captures of 100 TB. They are captures, not url keys, so that a url with very
+    many captures spans several ranges.
     """
     total = index.count()
     parts = max(1, -(-total // range_rows))
     names = index.columns
     splitters: list[tuple] = []
     if parts > 1:
-        share = min(1.0, min(20 * parts, 20_000) / total)
+        share = min(1.0, SAMPLED * parts / total)
         sample = index.where(F.pmod(F.xxhash64("archive", "offset"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
         keys = sorted(capture_order(tuple(r)) for r in sample.collect())
         splitters = [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
@@ -202,9 +260,12 @@ def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 def capture_histories(pages: DataFrame, ts: Column | None = None, path: str | None = None, **columns) -> DataFrame:
     """Writes the pages' archives, reads them back and returns the merged index: one row for each page.
 
-    An empty table gives no archives and an empty index. Repeated rows are records of their own. Other columns
-    are ignored.
+    ``place`` is the number of a capture in the order of all (from 0). An empty table gives no archives and an empty
+    index. Repeated rows are records of their own. Other columns are ignored; ids are any long numbers.
     """
-    spark = pages.sparkSession
-    path = write_archives(pages, path or shared_path(spark, "warc"), ts=ts, **columns)
-    return merge_index(written(read_index(spark, path), "index"))
+    path = path or shared_path(pages.sparkSession, "warc")
+    archives = write_archives(pages, path, ts=ts, **columns)
+    merged = written(merge_index(written(read_index(archives, path), "index")), "merged")
+    # A row for each range; the window over them is one task's work.
+    starts = merged.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))
+    return merged.join(starts, "part").select((F.col("begin") + F.col("position")).alias("place"), *merged.columns)

@@ -221,8 +221,8 @@ def test_archives(spark, tmp_path):
     big = "é\r\n\r\nWARC/1.1\r\n" + "x" * 1200
     rows = [(1, "http://b.example.com/x", big), (2, "http://a.example.com/x?q", big), (3, None, big), (4, "http://a.example.com/x", None), (5, "u\r\nv", "small"), (6, "http://a.example.com/x", "small"), (None, "http://n/", big), (3, None, big)]
     pages = spark.createDataFrame([(*r, "clash", 0) for r in rows], "page_id long, url string, html string, record_type string, n int")
-    path = str(tmp_path / "warc")
-    got = warc.capture_histories(pages.repartition(3), path=path).orderBy("part", "position").collect()
+    path = f"file://{tmp_path}/warc"
+    got = warc.capture_histories(pages.repartition(3), path=path).orderBy("place").collect()
     assert len(got) == len(rows)
     by = collections.defaultdict(list)
     for r in got:
@@ -230,18 +230,31 @@ def test_archives(spark, tmp_path):
     digest = hashlib.sha1(big.encode()).hexdigest()
     assert [(r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for k in (1, 2) for r in by[k]] == [("revisit", 3, len(big.encode()), digest)] * 2
     assert [r.record_type for r in by[3]] == ["response"] * 2 and by[None][0].record_type == "response" and by[4][0].payload_bytes == 0
-    keys = [warc.capture_order(tuple(r[2:])) for r in got]
+    keys = [warc.capture_order(tuple(r[3:])) for r in got]
     assert keys == sorted(keys)
-    for r in got:
-        with open(f"{path}/{r.archive}", "rb") as f:
-            data = gzip.decompress(f.read())
-        assert data[r.offset :].startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode()) and data[r.offset : r.offset + r.record_length].endswith(b"\r\n\r\n")
-    assert warc.merge_index(warc.read_index(spark, path), range_rows=2).count() == len(rows)
-    parts = warc.merge_index(warc.read_index(spark, path), range_rows=2).orderBy("part", "position").collect()
-    assert [tuple(r[2:]) for r in parts] == [tuple(r[2:]) for r in got]
+    assert [r.place for r in got] == list(range(len(rows)))
+    for r in got:  # each record alone, by its offset; and the archive as a whole
+        head, block = warc.read_record(path, r.archive, r.offset, r.record_length)
+        assert (head["WARC-Type"], head["X-Url-Key"], head["WARC-Date"]) == (r.record_type, r.urlkey, r.ts) and len(block) == (0 if r.record_type == "revisit" else r.payload_bytes)
+        with open(f"{tmp_path}/warc/{r.archive}", "rb") as f:
+            assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\nWARC-Type: ")
+    archives = warc.write_archives(pages.repartition(3), path, archive_rows=2)
+    assert archives.count() >= 4 and archives.agg(F.sum("records")).first()[0] == len(rows)
+    assert warc.write_archives(pages.repartition(3), path, archive_bytes=1).count() == len(rows)
+    parts = warc.merge_index(warc.read_index(archives, path), range_rows=2).orderBy("part", "position").collect()
+    assert [(r.urlkey, r.ts, r.page_id, r.record_type) for r in parts] == [(r.urlkey, r.ts, r.page_id, r.record_type) for r in got]
     assert warc.capture_histories(pages.limit(0)).count() == 0
 
 
+def test_archives_of_odd_pages(spark, tmp_path):
+    large = "é" * 3_000_000
+    rows = [(2**62, "http://a/", large), (-(2**62), "http://a/", large), (10**12, "http://b.é/x y", None), (0, "http://a/", "x")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in q.op8_warc_index(spark, str(tmp_path)).collect()}
+    assert got[-(2**62)].refers_to == 2**62 and got[2**62].payload_bytes == 6_000_000 and got[10**12].payload_bytes == 0
+    assert sorted(r.place for r in got.values()) == [0, 1, 2, 3] and all(len(r.ts) == 20 for r in got.values())
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 5, 9])
 def test_loser_tree(k):
     draw = random.Random(k)
