@@ -23,6 +23,8 @@ SWITCH_PENALTY = 12.0
 #: Languages at most, more raise an error before anything runs: a model has a megabyte for each. Up to ``DENSE``, tasks
 #: count in an array of all buckets and languages.
 MOST_LANGUAGES, DENSE = 1000, 32
+#: Words whose n-grams are in memory at a time.
+WORDS_A_TIME = 1 << 16
 SPANS = "array<struct<start: int, end: int, lang: string>>"
 
 # First and last code points of the letters of each script, as Unicode's blocks have them.
@@ -76,33 +78,32 @@ def byte_scripts(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every byte n-gram within a word, its bounds included, and the word it is in."""
-    n = len(w.start)
-    size = w.end - w.start + 2  # a bound on each side
-    first = np.concatenate([[0], np.cumsum(size)])
-    padded = np.full(first[-1], 0x20, dtype=np.uint8)
-    word = np.repeat(np.arange(n), size)
-    inner = np.ones(first[-1], dtype=bool)
-    inner[first[:-1]] = inner[first[1:] - 1] = False
-    inside = np.zeros(len(w.data) + 1, dtype=np.int8)
-    inside[w.start] += 1
-    inside[w.end] -= 1
-    padded[inner] = w.data[np.cumsum(inside)[:-1] > 0]
-    keys, owners = [], []
-    for order in ORDERS:
-        m = len(padded) - order + 1
-        if m <= 0:
-            continue
-        h = np.full(m, order, dtype=np.uint32)
-        for j in range(order):
-            h = h * np.uint32(0x01000193) + padded[j : j + m]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        own = word[:m] == word[order - 1 :]
-        keys.append((h >> np.uint32(14))[own])
-        owners.append(word[:m][own])
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.uint32), np.empty(0, np.int64))
+def grams(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket of every byte n-gram within a word, its bounds included, and the word it is in; ``WORDS_A_TIME`` words at a time."""
+    for low in range(0, len(w.start), WORDS_A_TIME):
+        begin, end = w.start[low : low + WORDS_A_TIME], w.end[low : low + WORDS_A_TIME]
+        data, begin, end = w.data[begin[0] : end[-1]], begin - begin[0], end - begin[0]
+        size = end - begin + 2  # a bound on each side
+        first = np.concatenate([[0], np.cumsum(size)])
+        padded = np.full(first[-1], 0x20, dtype=np.uint8)
+        word = np.repeat(np.arange(len(begin), dtype=np.int32), size)
+        inner = np.ones(first[-1], dtype=bool)
+        inner[first[:-1]] = inner[first[1:] - 1] = False
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        inside[begin] += 1
+        inside[end] -= 1
+        padded[inner] = data[np.cumsum(inside, dtype=np.int8)[:-1] > 0]
+        for order in ORDERS:
+            m = len(padded) - order + 1
+            if m <= 0:
+                continue
+            h = np.full(m, order, dtype=np.uint32)
+            for j in range(order):
+                h = h * np.uint32(0x01000193) + padded[j : j + m]
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            own = word[:m] == word[order - 1 :]
+            yield (h >> np.uint32(14))[own], word[:m][own] + np.int64(low)
 
 
 def word_scripts(w: Words) -> np.ndarray:
@@ -134,13 +135,12 @@ def train(docs: DataFrame, max_rows: int = 20_000, seed: int = 11) -> dict:
             w = Words(piece.column("text"), lower=True)
             label = np.array([number[x] for x in piece.column("lang").to_pylist()], dtype=np.int64)
             of_word = np.repeat(label, w.count)
-            key, owner = grams(w)
-            cell = key.astype(np.int64) * size + of_word[owner]
-            if size <= DENSE:
-                sums += np.bincount(cell, minlength=len(sums))
-            else:
-                at, n = np.unique(cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["at", "n"])
+            for key, owner in grams(w):
+                at, n = np.unique(key.astype(np.int64) * size + of_word[owner], return_counts=True)
+                if size <= DENSE:
+                    sums[at] += n
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["at", "n"])
             script = word_scripts(w)
             scripts += np.bincount(script[script >= 0].astype(np.int64) * size + of_word[script >= 0], minlength=len(scripts))
         for x, start in ((sums, 0), (scripts, BUCKETS * size)):
@@ -171,10 +171,11 @@ def train(docs: DataFrame, max_rows: int = 20_000, seed: int = 11) -> dict:
 def word_scores(w: Words, model: dict, script: np.ndarray) -> np.ndarray:
     """Score of every word in every language (0 for words without letters)."""
     size = len(model["langs"])
-    key, owner = grams(w)
-    out = np.empty((len(w.start), size), dtype=np.float32)
-    for k in range(size):
-        out[:, k] = np.bincount(owner, weights=model["weights"][:, k][key], minlength=len(w.start))
+    out = np.zeros((len(w.start), size), dtype=np.float32)
+    for key, owner in grams(w):
+        low, n = int(owner[0]) if len(owner) else 0, int(owner[-1] - owner[0]) + 1 if len(owner) else 0
+        for k in range(size if n else 0):
+            out[low : low + n, k] += np.bincount(owner - low, weights=model["weights"][:, k][key], minlength=n)
     out[script < 0] = 0
     out[(script >= 0)[:, None] & ~model["scripts"][np.maximum(script, 0)]] -= 30
     return out
