@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.sources.tables import shared_root
+
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     """The table with its columns named ``<prefix>_<column>``."""
@@ -82,11 +84,11 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int, through_hubs: tuple[str, .
     """type, id and hop of the nodes within ``k`` undirected hops of the seeds (type, id), at their smallest hop.
 
     Only nodes of the types ``through_hubs`` are expanded (seeds always are), as an organization reaches all it
-    owns. Each round's frontier is checkpointed.
+    owns. The edges are checkpointed once, both ways, and so is each round's frontier.
     """
     forth = edges.select(F.col("src_type").alias("a_type"), F.col("src_id").alias("a_id"), F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))
     back = edges.select(F.col("dst_type").alias("a_type"), F.col("dst_id").alias("a_id"), F.col("src_type").alias("type"), F.col("src_id").alias("id"))
-    both = forth.unionByName(back)
+    both = checkpointed(forth.unionByName(back).repartition("a_type", "a_id"))  # once; every round joins by these two
     seen = seeds.select("type", F.col("id").cast("string").alias("id")).distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, k + 1):
@@ -98,10 +100,8 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int, through_hubs: tuple[str, .
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the cluster; a local one is set only where none is named."""
+    """``df`` written to the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-dossier-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
 
 from dossier.plans.versions import version_as_of
 
-#: Requirement vectors that one pass over the evidence compares; more take more passes, merged at the end.
-BLOCK = 20_000
+#: Requirement vectors of a block, and query vectors that meet a block in one task.
+BLOCK, CHUNK = 4096, 16_384
 
 
 def _best(x: np.ndarray, matrix: np.ndarray, k: int, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -25,61 +24,57 @@ def _best(x: np.ndarray, matrix: np.ndarray, k: int, threshold: float) -> Iterat
         yield i, best, s[best]
 
 
-def _top_k(queries: DataFrame, targets: list[tuple], carry: list[str], within: str | None, k: int, threshold: float, id_kind: DataType) -> DataFrame:
-    groups: dict = {}
-    for group, target, v in sorted(targets, key=lambda t: t[1]):
-        x = np.asarray(v, dtype=np.float64)
-        if np.linalg.norm(x) > 0:
-            groups.setdefault((group, len(x)), []).append((target, x / np.linalg.norm(x)))
-    shared = queries.sparkSession.sparkContext.broadcast({g: ([t for t, _ in rows], np.array([x for _, x in rows]).T) for g, rows in groups.items()})
-    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in carry) + f", requirement_id {id_kind.simpleString()}, similarity_score double"
-    id_type = to_arrow_type(id_kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                asked: dict = {}
-                names = part.column(within).to_pylist() if within else [None] * part.num_rows
-                for i, (g, v) in enumerate(zip(names, part.column("v").to_pylist(), strict=True)):
-                    if v is not None and (g, len(v)) in shared.value and (norm := np.linalg.norm(v)) > 0:
-                        asked.setdefault((g, len(v)), []).append((i, np.asarray(v, dtype=np.float64) / norm))
-                rows, found, scores = [], [], []
-                for g, some in asked.items():
-                    ids, matrix = shared.value[g]
-                    for i, best, score in _best(np.array([x for _, x in some]), matrix, k, threshold):
-                        rows += [some[i][0]] * len(best)
-                        found += [ids[j] for j in best]
-                        scores += score.tolist()
-                take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in carry), pa.array(found, id_type), pa.array(scores, pa.float64())], names=[*carry, "requirement_id", "similarity_score"])
-
-    return queries.select(*carry, "v").mapInArrow(run, schema)
+def _unit(vectors: list) -> dict[int, tuple[list[int], np.ndarray]]:
+    """By dimension: the places of vectors that are no zero vectors, and a matrix of these with norm one."""
+    found: dict[int, list] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and (norm := np.linalg.norm(v)) > 0:
+            found.setdefault(len(v), []).append((i, np.asarray(v, dtype=np.float64) / norm))
+    return {d: ([i for i, _ in rows], np.array([x for _, x in rows])) for d, rows in found.items()}
 
 
-def nearest(queries: DataFrame, requirements: DataFrame, carry: list[str], k: int, threshold: float, block: int = BLOCK, within: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, requirements: DataFrame, carry: list[str], k: int, threshold: float, block: int = BLOCK, within: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """The ``k`` requirements of greatest cosine (at least ``threshold``) for each query row; columns ``carry`` come along.
 
     With ``within``, a column of both (and in ``carry``), only requirements with the query's value are compared.
-    Scores are rounded to six places; ties go to the smaller id. Null, zero and misfit vectors match nothing.
-    Requirements are compared in blocks, so that what a task holds is bounded; pairs are never materialised.
+    Scores are rounded to six places; ties go to the smaller id. Null, zero and misfit vectors match nothing; rows
+    are taken one by one, also under one id. Both sides are dealt by hash to blocks of about ``block`` requirements
+    and ``chunk`` queries; a task compares one of each, and the best ``k`` of a row are chosen among those of its
+    blocks. Pairs are never materialised, nothing passes the driver, and a large group is many tasks.
     """
-    out, targets, passes, id_kind = None, [], 0, requirements.schema["requirement_id"].dataType
-    group = F.col(within) if within else F.lit(None)
-    rows = requirements.where("v IS NOT NULL AND requirement_id IS NOT NULL").select(group.alias("g"), "requirement_id", "v")
-    for r in rows.toLocalIterator():
-        targets.append((r["g"], r["requirement_id"], r["v"]))
-        if len(targets) == block:
-            part = _top_k(queries, targets, carry, within, k, threshold, id_kind)
-            out, targets, passes = part if out is None else out.unionByName(part), [], passes + 1
-    if targets or out is None:
-        part = _top_k(queries, targets, carry, within, k, threshold, id_kind)
-        out, passes = part if out is None else out.unionByName(part), passes + 1
-    if passes == 1:
-        return out
-    w = Window.partitionBy(*carry).orderBy(F.col("similarity_score").desc(), "requirement_id")
-    return out.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn")
+    id_kind = requirements.schema["requirement_id"].dataType
+    group = F.col(within) if within else F.lit(0)
+    asked = queries.select(*carry, "v", group.alias("g")).where("v IS NOT NULL AND g IS NOT NULL").withColumn("uid", F.monotonically_increasing_id())
+    held = requirements.where("v IS NOT NULL AND requirement_id IS NOT NULL").select(group.alias("g"), "requirement_id", "v").where("g IS NOT NULL")
+    parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    # A row for each group: how many blocks and chunks it has.
+    sizes = held.groupBy("g").agg(F.count("*").alias("n")).join(queries.select(group.alias("g")).groupBy("g").agg(F.count("*").alias("m")), "g").select("g", parts("n", block).alias("blocks"), parts("m", chunk).alias("chunks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int")).withColumn("block", every("blocks"))
+    held = held.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("requirement_id"), F.col("blocks")).cast("int")).withColumn("chunk", every("chunks"))
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in carry) + f", uid long, requirement_id {id_kind.simpleString()}, similarity_score double"
+    id_type = to_arrow_type(id_kind)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("requirement_id")
+        ids, targets = right.column("requirement_id").to_pylist(), _unit(right.column("v").to_pylist())
+        rows, found, scores = [], [], []
+        for d, (places, x) in _unit(left.column("v").to_pylist()).items():
+            if d in targets:
+                of, matrix = targets[d]
+                for at in range(0, len(x), 1024):
+                    for i, best, score in _best(x[at : at + 1024], matrix.T, k, threshold):
+                        rows += [places[at + i]] * len(best)
+                        found += [ids[of[j]] for j in best]
+                        scores += score.tolist()
+        some = left.select([*carry, "uid"]).take(pa.array(rows, pa.int64()))
+        return some.append_column("requirement_id", pa.array(found, id_type)).append_column("similarity_score", pa.array(scores, pa.float64()))
+
+    key = ("g", "block", "chunk")
+    pairs = asked.select(*dict.fromkeys([*carry, "uid", "v", *key])).groupBy(*key).cogroup(held.select("requirement_id", "v", *key).groupBy(*key)).applyInArrow(compare, schema)
+    w = Window.partitionBy("uid").orderBy(F.col("similarity_score").desc(), "requirement_id")
+    return pairs.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn", "uid")
 
 
 def similarity_mappings(evidence: DataFrame, requirements: DataFrame, k: int = 5, threshold: float = 0.0) -> DataFrame:

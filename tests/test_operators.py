@@ -153,6 +153,9 @@ def test_similarity_blocks_and_zero_vectors(spark):
     one = similarity.nearest(e, r, ["organization_id", "evidence_id"], 3, 0.0).collect()
     many = similarity.nearest(e, r, ["organization_id", "evidence_id"], 3, 0.0, block=2).collect()
     assert [x.requirement_id for x in one] == [0, 3, 6] and {tuple(x) for x in one} == {tuple(x) for x in many}
+    twice = e.unionByName(spark.createDataFrame([(1, 1, [0.0, 1.0])], "organization_id int, evidence_id int, v array<double>"))
+    for block, chunk in ((100, 100), (2, 1)):  # two vectors under one id have their own best three, however both sides are cut
+        assert similarity.nearest(twice, r, ["organization_id", "evidence_id"], 3, 0.0, block=block, chunk=chunk).count() == 6
     both = e.crossJoin(r.withColumnRenamed("v", "w")).where("evidence_id = 1").select(F.round(similarity.cosine(F.col("v"), F.col("w")), 6).alias("c")).collect()
     assert max(x.c for x in both) == 1.0
 
