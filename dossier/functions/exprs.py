@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,8 +69,18 @@ def tenant_captured(tenant: Column) -> Column:
 
 
 def parse_uuid(text: Column) -> Column:
-    """The canonical form of an id in any accepted spelling, null for others."""
-    bare = F.regexp_replace(F.regexp_replace(text, "urn:|uuid:", ""), r"^[{}]+|[{}]+\z", "")
-    bare = F.lower(F.replace(bare, F.lit("-"), F.lit("")))
-    dashed = F.concat_ws("-", *(F.substring(bare, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    return F.when(bare.rlike(r"^[0-9a-f]{32}\z"), dashed)
+    """The canonical form of an id in any spelling that Python's ``UUID`` takes, null for others.
+
+    What is left of ``urn:``, ``uuid:``, outer braces and hyphens has 32 characters and is a whole number to base 16,
+    with all that Python allows there: white space around it, a plus sign, ``0x``, single underscores, and decimal
+    digits of any script. A minus sign is a hyphen and so is gone.
+    """
+    bare = F.regexp_replace(F.replace(F.replace(text, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit("")), r"^[{}]+|[{}]+\z", "")
+    bare = F.replace(bare, F.lit("-"), F.lit(""))
+    spaces = "\\x09-\\x0D\\x20" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in SPACE_RANGES if a > 0x7F)
+    digits = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    ascii_ = F.translate(bare, "".join(digits), "".join(str(unicodedata.decimal(c)) for c in digits))
+    number = F.regexp_extract(ascii_, f"^[{spaces}]*\\+?(?:0[xX]_?)?([0-9a-fA-F]+(?:_[0-9a-fA-F]+)*)[{spaces}]*\\z", 1)
+    plain = F.lpad(F.lower(F.replace(number, F.lit("_"), F.lit(""))), 32, "0")
+    dashed = F.concat_ws("-", *(F.substring(plain, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    return F.when((F.length(bare) == 32) & (number != ""), dashed)

@@ -33,6 +33,7 @@ def test_word_count(spark):
 def test_uuid(spark):
     plain = str(uuid.UUID(int=0x1234567890ABCDEF1234567890ABCDEF))
     values = [plain, plain.upper(), "{" + plain + "}", "urn:uuid:" + plain, plain.replace("-", ""), "abc", "", None, plain + "0", plain + "\n"]
+    values += ["0x" + "a" * 30, "0X_" + "B" * 29, "1_" * 15 + "12", "+" + "a" * 31, "+0x" + "a" * 29, " " + "a" * 31, "a" * 31 + " ", "a" * 30 + "\n\t", "\u3000" + "a" * 31, "\u0663" * 32, "__" + "a" * 30, "a" * 31 + "_", "+ " + "a" * 30, "\x1c" + "a" * 31, "0_x" + "a" * 29, "-" * 4 + "a" * 32, "{urn:uuid:" + plain + "}}", "g" * 32]
 
     def parsed(v):
         try:
