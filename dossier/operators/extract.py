@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -71,35 +72,42 @@ RESULT = "document_id {id}, file_path string, status string, extracted_text stri
 def process_documents(tasks: DataFrame, objects: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """One row for each task (document_id, file_path): status COMPLETED with extracted_text, page_count and word_count, or FAILED with error.
 
-    Objects are (file_path, content). Texts are decoded by Spark; other kinds go through their extractor, file
-    by file. A missing object, an unknown kind, an absent library and an extractor that raises fail that task
-    alone.
+    Objects are (file_path, content). A missing object, an unknown kind, an absent library and an extractor that
+    raises fail that task alone. Missing objects are found by keys only. Contents are read once, and only of asked
+    objects of a known kind: tasks join them as the side that Spark can broadcast, so that contents stay where they
+    are read. Texts are decoded by Spark; other kinds go through their extractor, file by file.
     """
     extractors = EXTRACTORS if extractors is None else extractors
-    found = tasks.select("document_id", "file_path").join(objects.select(F.col("file_path").alias("__key"), "content"), F.col("file_path") == F.col("__key"), "left")
-    found = found.withColumn("kind", exprs.file_kind(F.coalesce("file_path", F.lit(""))))
-    error = F.when(F.col("__key").isNull(), F.concat(F.lit("No object with key: "), F.coalesce("file_path", F.lit("")))).otherwise(exprs.kind_error(F.coalesce("file_path", F.lit(""))))
-    found = found.withColumn("error", error)
-    nothing = [F.lit(None).cast("string").alias("extracted_text"), F.lit(None).cast("int").alias("page_count")]
-    failed = found.where("error IS NOT NULL").select("document_id", "file_path", F.lit("FAILED").alias("status"), *nothing, "error")
-    ready = found.where("error IS NULL")
-    texts = ready.where("kind = 'txt'").select("document_id", "file_path", F.lit("COMPLETED").alias("status"), decode_text(F.col("content")).alias("extracted_text"), F.lit(1).alias("page_count"), F.lit(None).cast("string").alias("error"))
-    schema = RESULT.format(id=tasks.schema["document_id"].dataType.simpleString())
+    id_type = tasks.schema["document_id"].dataType.simpleString()
+    asked = tasks.select("document_id", "file_path").withColumn("kind", exprs.file_kind(F.coalesce("file_path", F.lit(""))))
+    keys = objects.select("file_path").distinct().withColumn("there", F.lit(True))
+    name = F.coalesce("file_path", F.lit(""))
+    checked = asked.join(keys, "file_path", "left")
+    error = F.when(F.col("there").isNull(), F.concat(F.lit("No object with key: "), name)).otherwise(exprs.kind_error(name))
+    failed = checked.withColumn("error", error).where("error IS NOT NULL")
+    failed = failed.select("document_id", "file_path", F.lit("FAILED").alias("status"), F.lit(None).cast("string").alias("extracted_text"), F.lit(None).cast("int").alias("page_count"), "error")
+    ready = objects.select("file_path", "content").where(exprs.file_kind(F.col("file_path")).isNotNull()).join(asked, "file_path")
+    is_text = F.col("kind") == "txt"
+    ready = ready.select("document_id", "file_path", "kind", F.when(is_text, decode_text(F.col("content"))).alias("text"), F.when(~is_text, F.col("content")).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["document_id", "file_path", "status", "extracted_text", "page_count", "error"]
         for batch in batches:
-            for k in range(batch.num_rows):  # a file at a time: results leave before the next is read
-                one = batch.slice(k, 1)
+            plain = pc.equal(batch.column("kind"), "txt")
+            texts, files = batch.filter(plain), batch.filter(pc.invert(plain))
+            n = texts.num_rows
+            yield pa.RecordBatch.from_arrays([texts.column("document_id"), texts.column("file_path"), pa.array(["COMPLETED"] * n, pa.string()), texts.column("text"), pa.array([1] * n, pa.int32()), pa.nulls(n, pa.string())], names=names)
+            for k in range(files.num_rows):  # a file at a time: results leave before the next is read
+                one = files.slice(k, 1)
                 try:
                     parts, pages = extractors[one.column("kind")[0].as_py()](one.column("content")[0].as_py())
                     values = ("COMPLETED", "\n".join(parts), pages, None)
                 except Exception as problem:
                     values = ("FAILED", None, None, str(problem))
                 types = (pa.string(), pa.string(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([one.column("document_id"), one.column("file_path"), *(pa.array([v], t) for v, t in zip(values, types, strict=True))], names=["document_id", "file_path", "status", "extracted_text", "page_count", "error"])
+                yield pa.RecordBatch.from_arrays([one.column("document_id"), one.column("file_path"), *(pa.array([v], t) for v, t in zip(values, types, strict=True))], names=names)
 
-    parsed = ready.where("kind <> 'txt'").select("document_id", "file_path", "kind", "content").mapInArrow(run, schema)
-    out = texts.unionByName(parsed).unionByName(failed)
+    out = ready.mapInArrow(run, RESULT.format(id=id_type)).unionByName(failed)
     return out.withColumn("word_count", exprs.word_count(F.col("extracted_text")).cast("int"))
 
 

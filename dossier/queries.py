@@ -11,6 +11,8 @@ from dossier import schemas
 from dossier.functions import exprs, text
 from dossier.operators import audit, extract, lookup, mutate, relations, similarity
 from dossier.plans import coverage, versions
+from dossier.sources.objects import read_objects, write_objects
+from dossier.sources.tables import read_table, scratch_path, write_table
 from dossier.standin import Standin, with_views
 from dossier.streaming import jobs
 
@@ -54,22 +56,11 @@ def _(s):
 
 @query("entity_tables", "SELECT CAST(id AS VARCHAR) AS id, name, TIMESTAMP '2030-01-01' AS created_at, TIMESTAMP '2030-01-01' AS updated_at FROM organizations")
 def _(s):
-    from dossier.sources.tables import read_table, write_table
-
-    root = _scratch(s.spark)
+    root = scratch_path(s.spark)
     write_table(s.organizations().withColumns({"created_at": now(), "updated_at": now()}), root, "organizations")
     return read_table(s.spark, root, "organizations")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a local one only where none is named."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-dossier-")
-    return f"{base}/dossier-{uuid.uuid4().hex}"
-
-
 @query("document_response", """SELECT id, organization_id, file_path AS name, file_path, CAST(NULL AS INTEGER) AS file_size, mime_type, CAST(NULL AS VARCHAR) AS extracted_text,
     CAST(NULL AS INTEGER) AS page_count, CAST(NULL AS INTEGER) AS word_count, status, created_at, created_at AS updated_at FROM evidence""")
 def _(s):
@@ -619,6 +610,43 @@ def _(s):
     return text.extract_requirement_codes(s.text_documents(), r"^([A-Za-z]+) \| (.*)$")
 
 
+# --- objects and extractors ------------------------------------------------------------------------------------
+
+def _objects(s: Standin) -> str:
+    """A folder with the documents as objects."""
+    root = f"{scratch_path(s.spark)}/bucket"
+    write_objects(s.text_documents().select("file_path", F.col("extracted_text").cast("binary").alias("content")), root).write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("read_objects", "SELECT file_path, CAST(strlen(extracted_text) AS BIGINT) AS length, md5(extracted_text) AS digest FROM text_documents WHERE extracted_text IS NOT NULL")
+def _(s):
+    return read_objects(s.spark, _objects(s)).select("file_path", "length", F.md5("content").alias("digest"))
+
+
+_PARTS = "len(string_split(extracted_text, chr(10)))"
+
+
+@query("extractor_registry", f"""SELECT id AS document_id, CASE id % 4 WHEN 3 THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE id % 4 WHEN 0 THEN {_PARTS} WHEN 1 THEN 1 WHEN 2 THEN 1 END AS page_count,
+    md5(CASE id % 4 WHEN 0 THEN array_to_string(list_filter(string_split(extracted_text, chr(10)), lambda x: x <> ''), chr(10)) WHEN 1 THEN extracted_text WHEN 2 THEN extracted_text END) AS digest,
+    CASE id % 4 WHEN 3 THEN 'broken file' END AS error FROM text_documents""")
+def _(s):
+    """Kinds with extractors of one's own: pages are lines here, and one kind of file breaks its extractor."""
+
+    def pages(content: bytes) -> tuple[list[str], int]:
+        lines = content.decode().split("\n")
+        if lines[0] == "broken":
+            raise ValueError("broken file")
+        return [x for x in lines if x], len(lines)
+
+    docs = s.text_documents()
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".docx", ".txt", ".pdf")]), (F.col("id") % 4 + 1).cast("int"))
+    docs = docs.select("id", F.concat(F.lit("d"), F.col("id").cast("string"), ending).alias("file_path"), F.when(F.col("id") % 4 == 3, F.concat(F.lit("broken\n"), "extracted_text")).otherwise(F.col("extracted_text")).cast("binary").alias("content"))
+    own = {"pdf": pages, "docx": lambda content: (content.decode().split("\n"), 1)}
+    done = extract.process_documents(docs.select(F.col("id").alias("document_id"), "file_path"), docs.select("file_path", "content"), own)
+    return done.select("document_id", "status", "page_count", F.md5(F.col("extracted_text").cast("binary")).alias("digest"), "error")
+
+
 # --- streams, run until their input is used up -----------------------------------------------------------------
 
 def _log_stream(s: Standin) -> DataFrame:
@@ -632,11 +660,14 @@ def _log_stream(s: Standin) -> DataFrame:
 
 
 def _drained(df: DataFrame, mode: str) -> DataFrame:
-    import uuid
+    """What a stream gives until its input is used up, in the shared folder: the last batch in mode complete, all of them in mode append."""
+    spark, root = df.sparkSession, scratch_path(df.sparkSession)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/last" if mode == "complete" else f"{root}/all/batch={batch_id}")
 
-    name = "t" + uuid.uuid4().hex
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", _scratch(df.sparkSession)).start().awaitTermination()
-    return df.sparkSession.table(name)
+    df.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/last" if mode == "complete" else f"{root}/all").select(*df.columns)
 
 
 @query("stream_latest_status", _LATEST)
@@ -644,10 +675,24 @@ def _(s):
     return _drained(jobs.stream_latest_status(_log_stream(s)), "complete")
 
 
+@query("stream_landing", f"""SELECT file_path, {EXT.format('file_path')} AS extension, CAST(strlen(extracted_text) AS BIGINT) AS length,
+    CASE WHEN {_KIND} = 'txt' THEN CAST({_words('extracted_text')} AS BIGINT) END AS word_count FROM text_documents WHERE extracted_text IS NOT NULL""")
+def _(s):
+    return _drained(jobs.stream_landing(s.spark, _objects(s)), "append")
+
+
+@query("stream_stuck_documents", """SELECT document_id, ts AS since FROM (SELECT *, lead(ts) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS later, max(ts) OVER () AS last FROM status_log)
+    WHERE status = 'PROCESSING' AND CASE WHEN later IS NOT NULL THEN (epoch_us(later) - epoch_us(ts)) // 1000 > 1800000 ELSE epoch_us(ts) // 1000 + 1800001 < epoch_us(last) // 1000 - 600000 END""")
+def _(s):
+    kind = s.table("events").schema["ts"].dataType
+    log = _log_stream(s).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _drained(jobs.stream_stuck_documents(log), "append").withColumn("since", F.col("since").cast(kind))
+
+
 @query("stream_process_documents", f"SELECT document_id AS id, status, page_count, word_count, digest FROM ({_PROCESSED})")
 def _(s):
     tasks, objects = _tasks_and_objects(s)
-    root = _scratch(s.spark)
+    root = scratch_path(s.spark)
     tasks.write.parquet(f"{root}/queue")
     artifacts = jobs.Snapshots(s.spark, f"{root}/artifacts")
     artifacts.write(s.text_documents().select("id", F.lit("PENDING").alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in (("extracted_text", "string"), ("page_count", "int"), ("word_count", "int"))), now().alias("updated_at")), 0)

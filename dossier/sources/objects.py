@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +29,34 @@ def read_objects(spark: SparkSession, root: str, max_bytes: int | None = None) -
     return rows.select(object_key(F.col("path"), root).alias("file_path"), "content", "length", F.col("modificationTime").alias("modified"))
 
 
+def write_objects(objects: DataFrame, root: str) -> DataFrame:
+    """Puts objects (file_path, content) below ``root``, each as a file of its own; one row for each: file_path, length.
+
+    A key that exists is overwritten; of rows with one key any may be the last, so fold them before
+    (``land_objects``). Rows with a null key or content are left out. Files are written aside and renamed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for key, content in zip(batch.column("file_path").to_pylist(), batch.column("content"), strict=True):
+                where = f"{base}/{key}"
+                store.create_dir(os.path.dirname(where), recursive=True)
+                aside = f"{os.path.dirname(where)}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(aside, compression=None) as out:
+                    out.write(content.as_buffer())
+                store.move(aside, where)
+            yield pa.RecordBatch.from_arrays([batch.column("file_path"), pc.binary_length(batch.column("content")).cast(pa.int64())], names=["file_path", "length"])
+
+    rows = objects.where("file_path IS NOT NULL AND content IS NOT NULL").select("file_path", "content")
+    return rows.mapInArrow(run, "file_path string, length long")
+
+
 def stream_objects(spark: SparkSession, root: str) -> DataFrame:
     """The same, as a stream of new objects."""
     rows = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").load(root)

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.schemas import SCHEMAS
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local one in local mode only; a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-dossier-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_root(spark)}/dossier-{uuid.uuid4().hex}"
+
+
 def create_tables(spark: SparkSession, root: str) -> None:
     """Writes an empty table for each entity that has none yet."""
     for name, schema in SCHEMAS.items():

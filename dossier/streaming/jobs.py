@@ -18,13 +18,18 @@ from dossier.sources.objects import stream_objects
 
 
 class Snapshots:
-    """Versions of a table below a root, numbered; the current one is the last that was written whole."""
+    """Versions of the artifacts below a root, numbered; the current one is the last that was written whole.
+
+    A version is a narrow table: in place of ``extracted_text`` it has the text's SHA-256. Texts are stored once,
+    under their digest, in a folder beside it for each version that brought new ones. So a change of status rewrites
+    no text.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _written(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+    def _written(self, what: str = "") -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root + what)
         store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not store.exists(path):
             return []
@@ -32,27 +37,52 @@ class Snapshots:
         whole = [p.getName() for p in names if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
         return sorted(int(n.removeprefix("version-")) for n in whole if n.startswith("version-"))
 
+    def _path(self, version: int, what: str = "") -> str:
+        return f"{self.root}{what}/version-{version:012d}"
+
+    def write_texts(self, rows: DataFrame, version: int) -> DataFrame:
+        """Stores the texts of rows with ``extracted_text`` under their digests; gives the rows back with digests, read from what was stored."""
+        full = rows.withColumnRenamed("extracted_text", "text").withColumn("extracted_text", F.sha2(F.col("text").cast("binary"), 256))
+        full.write.mode("overwrite").parquet(self._path(version, "/texts"))
+        return self.spark.read.schema(full.schema).parquet(self._path(version, "/texts")).select(*rows.columns)
+
+    def write_narrow(self, df: DataFrame, version: int) -> None:
+        df.write.mode("overwrite").parquet(self._path(version))
+
     def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/version-{version:012d}")
+        self.write_narrow(self.write_texts(df, version), version)
 
-    def read(self, before: int | None = None) -> DataFrame:
+    def narrow(self, before: int | None = None) -> DataFrame:
+        """The current version, or the last one before ``before``, with digests in place of texts."""
         last = max(v for v in self._written() if before is None or v < before)
-        return self.spark.read.parquet(f"{self.root}/version-{last:012d}")
+        return self.spark.read.parquet(self._path(last))
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The same with the texts."""
+        table = self.narrow(before)
+        texts = self.spark.read.schema("text string, extracted_text string").parquet(*[self._path(v, "/texts") for v in self._written("/texts")])
+        texts = texts.where("extracted_text IS NOT NULL").dropDuplicates(["extracted_text"])
+        return table.join(texts, "extracted_text", "left").select(*(F.col("text").alias(c) if c == "extracted_text" else c for c in table.columns))
 
 
 def stream_process_documents(queue: DataFrame, objects: Callable[[], DataFrame], artifacts: Snapshots, checkpoint: str, extractors=None, **trigger) -> StreamingQuery:
     """Processes tasks (document_id, file_path) as they come and saves statuses in new versions of the artifacts.
 
-    Version 0 is the table before the stream. A batch reads the last version before its own and writes version
-    batch_id + 1, so that a batch that runs again gives the same.
+    Version 0 is the table before the stream. Batch n first writes version 2n + 1, in which its documents are
+    PROCESSING, then extracts, and writes version 2n + 2 with the outcome. Each is made from the last one before it,
+    so that a batch that runs again gives the same; after a crash its documents stay PROCESSING until it does.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         tasks = batch.select("document_id", "file_path").dropDuplicates(["document_id"])
+        begun, ended = 2 * batch_id + 1, 2 * batch_id + 2
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("extracted_text", "string"), ("page_count", "int"), ("word_count", "int"))]
+        started = tasks.select(F.col("document_id").alias("id"), F.lit("PROCESSING").alias("status"), *nothing, F.lit(batch_id).alias("ts"))
+        artifacts.write_narrow(apply_status_updates(artifacts.narrow(before=begun), started, F.current_timestamp())[0], begun)
         done = process_documents(tasks, objects(), extractors)
         updates = done.select(F.col("document_id").alias("id"), "status", "extracted_text", "page_count", "word_count", F.lit(batch_id).alias("ts"))
-        table, _ = apply_status_updates(artifacts.read(before=batch_id + 1), updates, F.current_timestamp())
-        artifacts.write(table, batch_id + 1)
+        updates = artifacts.write_texts(updates, ended)
+        artifacts.write_narrow(apply_status_updates(artifacts.narrow(before=ended), updates, F.current_timestamp())[0], ended)
 
     return queue.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

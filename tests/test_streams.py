@@ -54,4 +54,7 @@ def test_process_documents_is_idempotent(spark, tmp_path):
             spark.createDataFrame(rows, "document_id string, file_path string").coalesce(1).write.mode("append").json(f"{root}/queue")
         queue = spark.readStream.schema("document_id string, file_path string").json(f"{root}/queue")
         jobs.stream_process_documents(queue, objects, snaps, f"{root}/checkpoint").awaitTermination()
+    running = {(r.id, r.status) for r in snaps.read(before=2).collect()}
+    assert running == {("1", "PROCESSING"), ("2", "PENDING")}  # what a reader saw while the first batch ran
+    assert snaps.narrow().where("id = '1'").first().extracted_text != "x y" and snaps.read().where("id = '1'").first().extracted_text == "x y"
     assert {(r.id, r.status, r.word_count) for r in snaps.read().collect()} == {("1", "COMPLETED", 2), ("2", "FAILED", None)}
