@@ -12,6 +12,7 @@ paraphrase also by the passage's answer (its last sentence).
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ FEATURES = 1 << 18
 BLOCK = 32
 #: Latent dimensions at most, extra ones while factoring, and power rounds.
 RANK, EXTRA, ROUNDS = 160, 16, 2
-#: Benchmark passages that one pass over the documents compares.
-PASSAGES_A_PASS = 4096
+#: Benchmark passages that one pass over the documents compares (about 100 MB in a task), and cosines computed at a time.
+PASSAGES_A_PASS, COSINES = 1 << 16, 1 << 22
 MIN_COSINE = 0.2
 #: Features of many documents are left out of a window's coordinates as long as no passage has more than this share
 #: of its squared norm in them; a cosine changes by no more than that.
@@ -102,7 +103,7 @@ def factor(bench: DataFrame, idf: np.ndarray, seed: int = 5) -> tuple[np.ndarray
             seen[Rows(piece.column("text"), idf_shared.value).feature] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["feature"])
 
-    used = np.array(sorted(r[0] for r in bench.mapInArrow(present, "feature long").distinct().collect()), dtype=np.int64)
+    used = np.sort(bench.mapInArrow(present, "feature long").distinct().toArrow()["feature"].to_numpy())
     place = np.full(FEATURES, -1, dtype=np.int64)
     place[used] = np.arange(len(used))
     width = min(RANK + EXTRA, len(used))
@@ -111,11 +112,11 @@ def factor(bench: DataFrame, idf: np.ndarray, seed: int = 5) -> tuple[np.ndarray
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(used), width)))[0]
 
     def multiplied(basis: np.ndarray) -> np.ndarray:
-        shared = bench.sparkSession.sparkContext.broadcast((place, basis))
+        shared = bench.sparkSession.sparkContext.broadcast((place, basis.astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place, basis = shared.value
-            total = np.zeros_like(basis)
+            total = np.zeros(basis.shape)
             for piece in pieces(batches, "text"):
                 a = Rows(piece.column("text"), idf_shared.value)
                 np.add.at(total, place[a.feature], a.value[:, None] * a.times(basis, place)[a.row])
@@ -127,11 +128,13 @@ def factor(bench: DataFrame, idf: np.ndarray, seed: int = 5) -> tuple[np.ndarray
             return pa.table({"at": pa.array([key[0].as_py()]), "sums": pa.array([total.tobytes()], pa.binary())})
 
         blocks = bench.mapInArrow(run, "at long, sums binary").groupBy("at").applyInArrow(add, "at long, sums binary").collect()
+        shared.destroy()
         return np.concatenate([np.frombuffer(b["sums"]).reshape(-1, basis.shape[1]) for b in sorted(blocks, key=lambda b: b["at"])])
 
     for _ in range(ROUNDS):
         basis = np.linalg.qr(multiplied(basis))[0]
     values, turn = np.linalg.eigh(basis.T @ multiplied(basis))
+    idf_shared.destroy()
     keep = np.flatnonzero(values > values.max() * 1e-9)[::-1][:RANK]
     return used, (basis @ turn[:, keep]).astype(np.float32)
 
@@ -153,27 +156,41 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 class Passage:
     """A benchmark passage: its word hashes and those of its answer, the last sentence (or its last five words)."""
 
-    def __init__(self, item, text: str):
-        w = Words(pa.array([text.encode()], pa.large_binary()), apart=_APART)
-        self.item, self.words = item, [int(x) for x in w.hashes()]
-        stops = [k for k in range(len(w.start) - 1) if w.data[w.end[k]] in b".!?"]
-        last = stops[-1] + 1 if stops else 0
-        self.answer = self.words[last:] if 0 < last <= len(self.words) - 3 else self.words[-5:]
-        self.counts = Counter(self.words)
+    __slots__ = ("answer", "item", "words")
+
+    def __init__(self, item, words: np.ndarray, last: int):
+        self.item, self.words = item, words
+        self.answer = words[last:] if 0 < last <= len(words) - 3 else words[-5:]
+
+    def counts(self) -> Counter:
+        return Counter(self.words.tolist())
+
+
+def passages_of(block: list[tuple]) -> list[Passage]:
+    """The passages that have words, of (item, text) pairs."""
+    w = Words(pa.array([text.encode() for _, text in block], pa.large_binary()), apart=_APART)
+    hashes, out = hash_ranges(w.data, w.start, w.end), []
+    stop = np.isin(w.data[np.minimum(w.end, len(w.data) - 1)], np.frombuffer(b".!?", dtype=np.uint8)) if len(w.data) else np.empty(0, bool)
+    for k, (item, _) in enumerate(block):
+        a, z = int(w.first[k]), int(w.first[k + 1])
+        if z > a:
+            stops = np.flatnonzero(stop[a : z - 1])
+            out.append(Passage(item, hashes[a:z], int(stops[-1]) + 1 if len(stops) else 0))
+    return out
 
 
 def confirm(passage: Passage, words: list[int]) -> tuple[int, str] | None:
     """The common subsequence and ``copy`` or ``paraphrase``, or None. Passages under eight words must stand there word for word."""
-    n, there = len(passage.words), set(words)
-    if sum(c for x, c in passage.counts.items() if x in there) < PARAPHRASE * n:
+    own, n, there = passage.words.tolist(), len(passage.words), set(words)
+    if sum(x in there for x in own) < PARAPHRASE * n:
         return None  # no common subsequence is longer
     if n < SHORT:
-        here = any(words[k : k + n] == passage.words for k in range(len(words) - n + 1))
+        here = any(words[k : k + n] == own for k in range(len(words) - n + 1))
         return (n, "copy") if here else None
-    common = common_subsequence(passage.words, words)
+    common = common_subsequence(own, words)
     if common >= COPY * n:
         return common, "copy"
-    if common >= PARAPHRASE * n and common_subsequence(passage.answer, words) >= ANSWER * len(passage.answer):
+    if common >= PARAPHRASE * n and common_subsequence(passage.answer.tolist(), words) >= ANSWER * len(passage.answer):
         return common, "paraphrase"
     return None
 
@@ -193,13 +210,12 @@ class Anchors:
         for k, p in enumerate(known):
             n, taken = len(p.words), 0
             spare = n - math.ceil(PARAPHRASE * n - 1e-9) if n >= SHORT else 0
-            words = np.array(list(p.counts), dtype=np.uint64)
-            for i in np.argsort(-idf[_features(words)], kind="stable"):
+            words, first, count = np.unique(p.words, return_index=True, return_counts=True)
+            for i in np.lexsort((first, -idf[_features(words)])).tolist():
                 if taken >= spare + max(2, n // 5):
                     break
-                word = int(words[i])
-                posts.append((word, k, p.counts[word]))
-                taken += p.counts[word]
+                posts.append((int(words[i]), k, int(count[i])))
+                taken += int(count[i])
             need[k] = taken - spare
         posts.sort()
         word = np.array([x[0] for x in posts], dtype=np.uint64)
@@ -280,6 +296,7 @@ class Retrieval:
 
         texts = self.passages.select(F.col("text").cast("binary").alias("text"))
         shares = texts.mapInArrow(run, "cut long, share double").groupBy("cut").agg(F.max("share").alias("share")).collect()
+        idf.destroy()
         return max((cuts[r["cut"]] for r in shares if r["share"] <= COMMON_SHARE), default=0.0)
 
     def blocks(self) -> Iterator:
@@ -288,17 +305,27 @@ class Retrieval:
         for r in self.passages.orderBy("item_id").toLocalIterator():
             block.append((r["item_id"], r["text"]))
             if len(block) == PASSAGES_A_PASS:
-                yield self.spark.sparkContext.broadcast((self.place, self.coordinates, self.idf.astype(np.float32), block, self.min_cosine))
+                yield self._shared(block)
                 block = []
         if block:
-            yield self.spark.sparkContext.broadcast((self.place, self.coordinates, self.idf.astype(np.float32), block, self.min_cosine))
+            yield self._shared(block)
+
+    def _shared(self, block: list):
+        return self.spark.sparkContext.broadcast((uuid.uuid4().hex, self.place, self.coordinates, self.idf.astype(np.float32), block, self.min_cosine))
+
+
+#: What a worker has made of the last block, for the tasks that follow in it.
+_prepared: dict[str, tuple] = {}
 
 
 def _searched(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.RecordBatch, list[Passage], list[tuple]]]:
     """Each piece with the passages and the confirmed pairs in it."""
-    place, coordinates, idf, block, min_cosine = shared.value
-    known = [p for b in block if (p := Passage(*b)).words]
-    target, rare = (latent(known, place, coordinates, idf), Anchors(known, idf)) if known else (None, None)
+    name, place, coordinates, idf, block, min_cosine = shared.value
+    if name not in _prepared:
+        known = passages_of(block)
+        _prepared.clear()
+        _prepared[name] = (known, latent(known, place, coordinates, idf), Anchors(known, idf)) if known else ([], None, None)
+    known, target, rare = _prepared[name]
     for piece in pieces(batches, "text"):
         yield piece, known, search(piece.column("text"), known, rare, target, place, coordinates, idf, min_cosine) if known else []
 
@@ -306,7 +333,7 @@ def _searched(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.Re
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
     """One row for each pair of a document and a passage in it: doc_id, item_id, common, item_words, cosine, verdict.
 
-    All windows of all documents are compared with all passages, ``PASSAGES_A_PASS`` of them in a pass. Passages
+    All windows of all documents are compared with all passages; up to ``PASSAGES_A_PASS`` of them take one pass over the documents. Passages
     without words and null texts match nothing. Rows are handled one by one whatever their ids, equal passages
     each match; other columns are ignored; with either table empty the result is empty. A passage longer than a
     window is found by a window's cosine and then confirmed as a whole. What no window shows is found by the
@@ -356,7 +383,7 @@ def latent(known: list[Passage], place: np.ndarray, coordinates: np.ndarray, idf
     """Latent coordinates of the passages, of norm one."""
     out = np.zeros((len(known), coordinates.shape[1]), dtype=np.float32)
     for k, p in enumerate(known):
-        feature = _features(np.array(p.words, dtype=np.uint64))
+        feature = _features(p.words)
         feature = feature[place[feature] >= 0]
         out[k] = (idf[feature, None] * coordinates[place[feature]]).sum(axis=0)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
@@ -373,7 +400,7 @@ def search(texts: pa.Array, known: list[Passage], rare: Anchors, target: np.ndar
         if (d, k) in out or more.get((d, k), (0,))[0] == len(known[k].words):
             continue
         if verdict := confirm(known[k], hashes[a:z].tolist()):
-            more[d, k] = max(more.get((d, k), (0,)), (verdict[0], _cosine(known[k].counts, Counter(hashes[a:z].tolist()), idf), verdict[1]))
+            more[d, k] = max(more.get((d, k), (0,)), (verdict[0], _cosine(known[k].counts(), Counter(hashes[a:z].tolist()), idf), verdict[1]))
     return [(d, int(k), common, cosine, verdict) for (d, k), (common, cosine, verdict) in sorted((out | more).items())]
 
 
@@ -422,8 +449,9 @@ def by_windows(w: Words, hashes: np.ndarray, known: list[Passage], target: np.nd
     windows = pair(sums)[likely]
     norm = np.sqrt(pair(mass)[likely])
     out: dict[tuple[int, int], tuple] = {}
-    for cut in range(0, len(likely), 1 << 12):
-        cosine = windows[cut : cut + (1 << 12)] @ target.T / norm[cut : cut + (1 << 12), None]
+    step = max(1, COSINES // len(known))
+    for cut in range(0, len(likely), step):
+        cosine = windows[cut : cut + step] @ target.T / norm[cut : cut + step, None]
         for i, k in zip(*np.nonzero(cosine >= min_cosine), strict=True):
             b, p = int(likely[cut + i]), known[k]
             d, span = int(block_doc[b]), max(16, len(p.words) // 2)

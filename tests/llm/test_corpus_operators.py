@@ -434,6 +434,32 @@ def test_leaks_of_many_passages(spark):
     assert {(r.doc_id, r.item_id) for r in got if r.common == 38 and r.verdict == "copy"} == put
 
 
+@pytest.mark.parametrize(("passages", "size"), [(4000, 30), (1000, 12), (1000, 6), (200, 4)])
+def test_no_copied_passage_is_lost(spark, passages, size, monkeypatch):
+    draw = random.Random(size)
+    items = [(k, " ".join(zipf_words(draw, size))) for k in range(passages)]
+    docs, put = [], set()
+    for k in range(150):
+        body, item = zipf_words(draw, 300), k * (passages // 150)
+        docs.append((k, " ".join(body[:77] + items[item][1].split() + body[77:]), "s"))
+        put.add((k, item))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(made(spark, docs), bench).collect()}
+    assert put <= got
+    if passages == 200:  # in several passes over the documents the same
+        monkeypatch.setattr(decontam, "PASSAGES_A_PASS", 64)
+        assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(made(spark, docs), bench).collect()} == got
+
+
+def test_leaks_in_odd_rows(spark):
+    text = " ".join(f"word{k}" for k in range(20))
+    rows = [(1, text, "s"), (1, text, "s"), (None, text.upper(), "s"), (2, "y " * 400_000 + text + " z" * 1000, "s"), (3, None, "s"), (4, "word1 word0", "s")]
+    bench = spark.createDataFrame([(7, text), (7, text), (8, None), (9, ""), (10, "...")], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.item_id) for r in decontam.find_leaks(made(spark, rows), bench).collect())
+    assert got == sorted([("1", 7)] * 4 + [("None", 7)] * 2 + [("2", 7)] * 2)
+    assert sorted(str(r.doc_id) for r in decontam.drop_leaking(made(spark, rows), bench).collect()) == ["3", "4"]
+
+
 def test_leaks_of_short_passages_amid_rare_words(spark):
     draw = random.Random(9)
     items = [(k, " ".join(zipf_words(draw, 1 + k % 20, 300))) for k in range(200)]
