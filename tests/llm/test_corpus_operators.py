@@ -68,6 +68,17 @@ def test_mixing(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str) and sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_mixing_of_one_very_long_text(spark):
+    rows = [(0, "w " * 300_000, "a")] + [(k, "w " * 10, "a") for k in range(1, 300)] + [(1000 + k, "w " * 10, "b") for k in range(300)]
+    got = mixing.mix_sources(made(spark, rows)).collect()
+    sizes = {"a": 302_990, "b": 3000}
+    want = plain_targets(sizes)
+    for s in sizes:
+        taken = sum(r.taken for r in got if r.source == s)
+        assert abs(taken - want[s]) <= 300_000 and taken <= 2 * sizes[s]
+    assert {r.taken for r in got if r.doc_id == 0} <= {0, 300_000, 600_000}
+
+
 def test_mixing_edges(spark):
     assert mixing.mix_sources(made(spark, []).limit(0)).count() == 0
     empty = mixing.mix_sources(made(spark, [(1, None, "a"), (2, "", None)])).collect()

@@ -49,6 +49,14 @@ def test_quality_measures(spark, small):
     assert table["few_words"].kept == sum(r.kept for r in got.values())
 
 
+def test_quality_of_texts_larger_than_a_piece(spark, monkeypatch):
+    texts = ["some words of a line\n" * 3000, None, "x", "a b c " * 9000, "no line twice " + " ".join(map(str, range(20_000)))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(quality, "pieces", lambda batches, column, pieces=quality.pieces: pieces(batches, column, 1000))
+    for r in quality.rule_ledger(docs).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == measures(texts[r.doc_id])
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
