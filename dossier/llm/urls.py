@@ -55,8 +55,8 @@ def lexical(df: DataFrame) -> DataFrame:
     })
 
 
-#: A url is blocked if the trees are so sure; all else is allowed.
-BLOCK_SCORE = 0.8
+#: A url is blocked if the trees are so sure, and if at least this share of the labelled urls that they are so sure of is blocked.
+BLOCK_SCORE, HELD_OUT = 0.8, 0.8
 #: Groups of suffixes, for labels from rules, and parts of the labelled urls, for suffix rates.
 FOLDS, PARTS = 3, 10
 
@@ -78,7 +78,9 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     (pages with the suffix, share of labelled ones blocked) cover all rows. A rule's verdict always stands; its
     score is what the trees alone would say. A page is blocked by the trees from ``BLOCK_SCORE`` on. Where these
     have no labels, or only labels of one class, the score is that class's if ``labelled`` was given, and else 0:
-    rules of one kind are no evidence against other suffixes. Null urls count as empty. Equal rows get equal
+    rules of one kind are no evidence against other suffixes. With labels from rules the trees are also tried on the
+    sampled labels of the suffixes that they have not seen: if under ``HELD_OUT`` of those that they would block are
+    blocked, they have learned nothing that carries over, and block nothing. Null urls count as empty. Equal rows get equal
     verdicts, rows are judged one by one, urls of any length are read whole, other columns are ignored.
     """
     host, path = url_parts(F.col("url"))
@@ -111,7 +113,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
     make = VectorAssembler(inputCols=list(used), outputCol="features")
     train = written(sample.select("fold", F.col("blocked").alias("label"), *used), "url-labels")  # max_train_rows at most
     counts = {r["fold"]: (r["n"], r["b"]) for r in train.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("b")).collect()}
-    scored, score = make.transform(rows), F.lit(0.0)
+    scored, score, held = make.transform(rows), F.lit(0.0), None
     for k in range(1 if own else FOLDS):
         others = [c for f, c in counts.items() if own or f != k]
         total, bad = sum(c[0] for c in others), sum(c[1] for c in others)
@@ -120,9 +122,17 @@ def filter_urls(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None
             model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(some.coalesce(4))
             scored = model.setRawPredictionCol(f"raw{k}").setProbabilityCol(f"p{k}").setPredictionCol(f"c{k}").transform(scored)
             value = vector_to_array(f"p{k}")[1]
+            if not own:
+                tried = model.transform(make.transform(train.where(F.col("fold") == k))).select("label", value.alias("score"))
+                held = tried if held is None else held.unionByName(tried)
         else:
             value = F.lit(1.0 if own and bad else 0.0)
         score = F.when(F.col("fold") == k, value).otherwise(score)
+    sure = F.col("score") >= BLOCK_SCORE
+    trusted = own
+    if held is not None:
+        asked, right = held.agg(F.count_if(sure), F.count_if(sure & (F.col("label") == 1))).first()
+        trusted = right > 0 and right >= HELD_OUT * asked
     scored = scored.withColumn("score", score)
-    verdict = F.coalesce("said", F.when(F.col("score") >= BLOCK_SCORE, "block").otherwise("allow"))
+    verdict = F.coalesce("said", F.when(sure & F.lit(trusted), "block").otherwise("allow"))
     return scored.select("page_id", "url", "host", "path", "rule", "score", verdict.alias("verdict"))

@@ -127,6 +127,18 @@ def test_url_rules_of_whole_table(spark):
     assert open_ and sum(r.verdict == "block" for r in open_) < len(open_)
 
 
+def test_url_trees_of_rules_must_hold_on_other_suffixes(spark):
+    """Rules block long urls full of digits on some hosts: that carries over. Rules that follow no feature do not."""
+    digits = [(k, f"http://h.{d}.biz/{k * 7919}/{k * 104729}?a={k}&b={k * 31}&c=1") for k, d in enumerate([f"d{k % 12}" for k in range(600)])]
+    plain = [(1000 + k, f"http://h.{d}.biz/about") for k, d in enumerate([f"e{k % 12}" for k in range(600)])]
+    rules = [(f"d{k}.biz", "/", "block") for k in range(0, 12, 2)] + [(f"e{k}.biz", "/", "allow") for k in range(0, 12, 2)]
+    pages = spark.createDataFrame(digits + plain, "page_id long, url string")
+    got = {r.page_id: r for r in urls.filter_urls(pages, rules=rules).collect()}
+    assert all(got[k].verdict == ("block" if k < 1000 else "allow") for k in got) and any(r.rule is None for r in got.values())
+    mixed = [(f"{c}{k}.biz", "/", "block" if k % 4 else "allow") for c in "de" for k in range(0, 12, 2)]
+    assert {r.verdict for r in urls.filter_urls(pages, rules=mixed).where("rule IS NULL").collect()} == {"allow"}
+
+
 def test_url_odd_rows(spark):
     long = "http://a.b.example.net/" + "x/1-" * 100_000 + "?" + "k=v&" * 20_000
     rows = [(1, long), (2, long), (None, "http://example.com/de/a"), (3, "http://example.com/de/a"), (3, "http://example.com/de/a"), (4, None), (5, "")]
