@@ -666,6 +666,7 @@ def _drained(df: DataFrame, mode: str) -> DataFrame:
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/last" if mode == "complete" else f"{root}/all/batch={batch_id}")
 
+    keep(spark.createDataFrame([], df.schema), -1)  # so that a stream without input gives an empty table
     df.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/last" if mode == "complete" else f"{root}/all").select(*df.columns)
 
