@@ -156,14 +156,17 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 class Passage:
     """A benchmark passage: its word hashes and those of its answer, the last sentence (or its last five words)."""
 
-    __slots__ = ("answer", "item", "words")
+    __slots__ = ("_counts", "answer", "item", "words")
 
     def __init__(self, item, words: np.ndarray, last: int):
-        self.item, self.words = item, words
+        self.item, self.words, self._counts = item, words, None
         self.answer = words[last:] if 0 < last <= len(words) - 3 else words[-5:]
 
     def counts(self) -> Counter:
-        return Counter(self.words.tolist())
+        """Its words in order of their first places, with their numbers; kept for passages that are ever compared."""
+        if self._counts is None:
+            self._counts = Counter(self.words.tolist())
+        return self._counts
 
 
 def passages_of(block: list[tuple]) -> list[Passage]:
@@ -181,9 +184,10 @@ def passages_of(block: list[tuple]) -> list[Passage]:
 
 def confirm(passage: Passage, words: list[int]) -> tuple[int, str] | None:
     """The common subsequence and ``copy`` or ``paraphrase``, or None. Passages under eight words must stand there word for word."""
-    own, n, there = passage.words.tolist(), len(passage.words), set(words)
-    if sum(x in there for x in own) < PARAPHRASE * n:
+    n, there = len(passage.words), set(words)
+    if sum(c for x, c in passage.counts().items() if x in there) < PARAPHRASE * n:
         return None  # no common subsequence is longer
+    own = passage.words.tolist()
     if n < SHORT:
         here = any(words[k : k + n] == own for k in range(len(words) - n + 1))
         return (n, "copy") if here else None
