@@ -138,6 +138,8 @@ def _write(path: str, arrays: dict[str, np.ndarray]) -> None:
         for x in arrays.values():
             out.write(x.tobytes())
             out.write(b"\0" * (-x.nbytes % 64))
+    if store.get_file_info(where).type == fs.FileType.File:  # of an attempt before; not every store replaces on a move
+        store.delete_file(where)
     store.move(aside, where)
 
 
