@@ -50,6 +50,8 @@ def write_objects(objects: DataFrame, root: str) -> DataFrame:
                 aside = f"{os.path.dirname(where)}/_{uuid.uuid4().hex}"
                 with store.open_output_stream(aside, compression=None) as out:
                     out.write(content.as_buffer())
+                if store.get_file_info(where).type == fs.FileType.File:  # not every store replaces on a move
+                    store.delete_file(where)
                 store.move(aside, where)
             yield pa.RecordBatch.from_arrays([batch.column("file_path"), pc.binary_length(batch.column("content")).cast(pa.int64())], names=["file_path", "length"])
 
