@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import lm, secrets
+from dossier.llm.covertree import top_k
 from dossier.llm.decontam import find_leaks
 from dossier.llm.langid import identify_languages, remainder, train
 from dossier.llm.mixing import mix_sources
 from dossier.llm.neardup import near_duplicates
 from dossier.llm.pii import BASE_KINDS, find_personal_data
 from dossier.llm.quality import apply_policy, rule_ledger
-
+from dossier.llm.spelling import corpus_words, variant_groups
 from dossier.llm.urls import filter_urls
 from dossier.llm.warc import capture_histories
+from dossier.llm.whitening import finite, identity_error, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +91,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_ledger, op3_url_filter, op4_personal_data, op5_near_duplicates, op6_secret_scan, op7_language_id, op8_warc_index, op9_lm_score, op10_decontaminate)}
+def _whole(rows: DataFrame, plus: int) -> DataFrame:
+    """vec_id and x: floor(1024 * c) + ``plus`` of each component, of vectors without null or non-finite ones."""
+    return rows.where(finite(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda c: F.floor(c.cast("double") * 1024) + plus).alias("x"))
+
+
+def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_whole(table(spark, sf_dir, "embeddings"), 0), F.col("vec_id") % 100 == 0, 10).select("query_id", "rank", "vec_id", "score")
+
+
+def op12_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, learned = whiten(_whole(table(spark, sf_dir, "embeddings"), 100_000), components=8)
+    error = F.lit(identity_error(rows, learned, 8)).cast("double")
+    shares = F.array(*(F.lit(float(v / learned.trace) if learned.trace else None).cast("double") for v in learned.values[:8])) if learned.n else F.array().cast("array<double>")
+    each = rows.select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(learned.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, "at").alias("explained"), error.alias("identity_error"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(corpus_words(table(spark, sf_dir, "documents"), misspell=31)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_quality_ledger, op3_url_filter, op4_personal_data, op5_near_duplicates, op6_secret_scan, op7_language_id, op8_warc_index, op9_lm_score, op10_decontaminate, op11_top_k_search, op12_whiten_embeddings, op13_spelling_variants)}
 
 _OP1 = r"""
 WITH d AS (
@@ -144,4 +167,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
        urlkey, ts, row_number() OVER (ORDER BY encode(urlkey), ts, page_id NULLS FIRST) - 1 AS place FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_warc_index": _OP8, "op1_mix_sources": _OP1, "op2_quality_ledger": _OP2}
+_OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, d.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.x, d.x)]) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.r <> d.r AND len(q.x) = len(d.x) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_top_k_search": _OP11, "op8_warc_index": _OP8, "op1_mix_sources": _OP1, "op2_quality_ledger": _OP2}
