@@ -24,6 +24,8 @@ LETTERS = "A-Za-zÀ-ÿ"
 MIN_LENGTH, MIN_COUNT, RATIO = 7, 2, 10
 #: Chunks times grams of a key beyond which its words are compared by longer chunks.
 DENSE = 1024
+#: Letters that a comparison goes through at most; beyond, longer chunks come first.
+WINDOW = 64
 #: Words, and their bytes, that a task counts before it hands the counts on.
 HELD_WORDS, HELD_BYTES = 200_000, 32 << 20
 
@@ -108,9 +110,14 @@ def _chunks_and_grams(words: DataFrame) -> DataFrame:
 
 def _pairs(rows: DataFrame) -> DataFrame:
     """(word, n, other, other_n) of rows under one key that are one edit apart, both ways; pairs of one length come twice."""
-    chunk = rows.where("NOT gram").select("key", F.col("part.extra").alias("extra"), "word", "n")
-    gram = rows.where("gram").select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    found = chunk.join(gram, "key").where(F.levenshtein("word", "other", 1) == 1)
+    low, high, extra = (F.col(f"part.{c}") for c in ("low", "high", "extra"))
+    open_part = F.substr("word", low + 1, high - low + F.when(F.col("gram"), extra).otherwise(0))
+    before, after = F.expr("left(word, part.low)"), F.substr("word", high + 1 + F.when(F.col("gram"), extra).otherwise(0))
+    rows = rows.select("key", "gram", "word", "n", extra.alias("extra"), open_part.alias("open"), before.alias("before"), after.alias("after"))
+    chunk = rows.where("NOT gram").select("key", "extra", "word", "n", "open", "before", "after")
+    gram = rows.where("gram").select("key", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("open").alias("other_open"), F.col("before").alias("other_before"), F.col("after").alias("other_after"))
+    same = (F.col("before") == F.col("other_before")) & (F.col("after") == F.col("other_after"))
+    found = chunk.join(gram, "key").where((F.col("word") != F.col("other")) & same & (F.levenshtein("open", "other_open", 1) == 1))
     turned = found.where("extra = 1").select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
     return found.select("word", "n", "other", "other_n").unionByName(turned)
 
@@ -118,15 +125,16 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def near_words(words: DataFrame, scratch: Scratch, dense: int = DENSE) -> DataFrame:
     """Every ordered pair of distinct words (word, n) one edit apart, once: word, n, other, other_n.
 
-    A key with more than ``dense`` pairs of a chunk and a gram is not joined: what is not yet known to be whole is cut in
-    halves again, one of which the edit leaves whole, and the words join by the longer text. So pairs stay near the
-    number of rows however many words share a chunk, and none is lost: this ends where a single letter is left.
+    A key with more than ``dense`` pairs of a chunk and a gram, or of which more than ``WINDOW`` letters are open, is not
+    joined: what is not yet known to be whole is cut in halves again, one of which the edit leaves whole, and the words
+    join by the longer text. So pairs stay near the number of rows however many words share a chunk, very long words are
+    compared in linear time, and none is lost: this ends where a single letter is left.
     """
     rows, found = scratch.written(_chunks_and_grams(words), "chunks"), []
     while True:
         seen = Observation()
-        sizes = rows.where("part.high - part.low > 1").groupBy("key").agg(F.count_if("gram").alias("g"), F.count_if(~F.col("gram")).alias("c"))
-        hot = scratch.written(sizes.where(F.col("g") * F.col("c") > dense).select("key").observe(seen, F.count(F.lit(1)).alias("n")), "dense")
+        sizes = rows.where("part.high - part.low > 1").groupBy("key").agg(F.count_if("gram").alias("g"), F.count_if(~F.col("gram")).alias("c"), F.max(F.col("part.high") - F.col("part.low")).alias("open"), (F.min(F.xxhash64("word")) != F.max(F.xxhash64("word"))).alias("several"))
+        hot = scratch.written(sizes.where(F.col("several") & (F.col("g") * F.col("c") > F.when(F.col("open") > WINDOW, 0).otherwise(dense))).select("key").observe(seen, F.count(F.lit(1)).alias("n")), "dense")
         if not seen.get["n"]:
             found.append(_pairs(rows))
             break
