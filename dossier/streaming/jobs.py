@@ -4,86 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from dossier.functions import exprs
 from dossier.operators.extract import decode_text, process_documents
 from dossier.operators.mutate import apply_status_updates
 from dossier.schemas import HARD_LIMIT_SECONDS
 from dossier.sources.objects import stream_objects
+from dossier.sources.snapshots import Snapshots
 
 
-class Snapshots:
-    """Versions of the artifacts below a root, numbered; the current one is the last that was written whole.
+def delivered_once(queue: DataFrame, queued_at: str, redelivery: str, key: tuple[str, ...] = ("document_id",)) -> DataFrame:
+    """The tasks of a queue that may deliver one again: the first of each ``key`` within ``redelivery`` of its time ``queued_at``.
 
-    A version is a narrow table: in place of ``extracted_text`` it has the text's SHA-256. Texts are stored once,
-    under their digest, in a folder beside it for each version that brought new ones. So a change of status rewrites
-    no text.
+    Keys are forgotten once the watermark has passed them by that time, so that state stays bounded by the tasks of
+    that while. A task that is queued anew later is a new one.
     """
+    return queue.withWatermark(queued_at, redelivery).dropDuplicatesWithinWatermark(list(key))
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def _written(self, what: str = "") -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root + what)
-        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not store.exists(path):
-            return []
-        names = [s.getPath() for s in store.listStatus(path)]
-        whole = [p.getName() for p in names if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n.removeprefix("version-")) for n in whole if n.startswith("version-"))
-
-    def _path(self, version: int, what: str = "") -> str:
-        return f"{self.root}{what}/version-{version:012d}"
-
-    def write_texts(self, rows: DataFrame, version: int) -> DataFrame:
-        """Stores the texts of rows with ``extracted_text`` under their digests; gives the rows back with digests, read from what was stored."""
-        full = rows.withColumnRenamed("extracted_text", "text").withColumn("extracted_text", F.sha2(F.col("text").cast("binary"), 256))
-        full.write.mode("overwrite").parquet(self._path(version, "/texts"))
-        return self.spark.read.schema(full.schema).parquet(self._path(version, "/texts")).select(*rows.columns)
-
-    def write_narrow(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(self._path(version))
-
-    def write(self, df: DataFrame, version: int) -> None:
-        self.write_narrow(self.write_texts(df, version), version)
-
-    def narrow(self, before: int | None = None) -> DataFrame:
-        """The current version, or the last one before ``before``, with digests in place of texts."""
-        last = max(v for v in self._written() if before is None or v < before)
-        return self.spark.read.parquet(self._path(last))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """The same with the texts."""
-        table = self.narrow(before)
-        texts = self.spark.read.schema("text string, extracted_text string").parquet(*[self._path(v, "/texts") for v in self._written("/texts")])
-        texts = texts.where("extracted_text IS NOT NULL").dropDuplicates(["extracted_text"])
-        return table.join(texts, "extracted_text", "left").select(*(F.col("text").alias(c) if c == "extracted_text" else c for c in table.columns))
-
-
-def stream_process_documents(queue: DataFrame, objects: Callable[[], DataFrame], artifacts: Snapshots, checkpoint: str, extractors=None, **trigger) -> StreamingQuery:
+def stream_process_documents(queue: DataFrame, objects: Callable[[], DataFrame], artifacts: Snapshots, checkpoint: str, extractors=None, queued_at: str | None = None, redelivery: str = "1 hour", key: tuple[str, ...] = ("document_id",), **trigger) -> StreamingQuery:
     """Processes tasks (document_id, file_path) as they come and saves statuses in new versions of the artifacts.
 
-    Version 0 is the table before the stream. Batch n first writes version 2n + 1, in which its documents are
-    PROCESSING, then extracts, and writes version 2n + 2 with the outcome. Each is made from the last one before it,
-    so that a batch that runs again gives the same; after a crash its documents stay PROCESSING until it does.
+    Version 0 is the table before the stream. Batch n first merges version 2n + 1, in which its documents are
+    PROCESSING, then extracts, and merges version 2n + 2 with the outcome; a merge rewrites the partitions of its
+    documents only. Each is made from the last one before it, so that a batch that runs again gives the same; after a
+    crash its documents stay PROCESSING until it does. With ``queued_at``, a column of the queue, a task that is
+    delivered again is processed once (``delivered_once``).
     """
 
+    def change(rows: DataFrame, updates: DataFrame) -> DataFrame:
+        return apply_status_updates(rows, updates, F.current_timestamp())[0]
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        tasks = batch.select("document_id", "file_path").dropDuplicates(["document_id"])
-        begun, ended = 2 * batch_id + 1, 2 * batch_id + 2
+        spark, begun, ended = batch.sparkSession, 2 * batch_id + 1, 2 * batch_id + 2
+        folder = f"{artifacts.root}/tasks/{batch_id:012d}"
+        batch.select("document_id", "file_path").dropDuplicates(["document_id"]).write.mode("overwrite").parquet(folder)
+        tasks = spark.read.schema(batch.select("document_id", "file_path").schema).parquet(folder)
         nothing = [F.lit(None).cast(t).alias(c) for c, t in (("extracted_text", "string"), ("page_count", "int"), ("word_count", "int"))]
         started = tasks.select(F.col("document_id").alias("id"), F.lit("PROCESSING").alias("status"), *nothing, F.lit(batch_id).alias("ts"))
-        artifacts.write_narrow(apply_status_updates(artifacts.narrow(before=begun), started, F.current_timestamp())[0], begun)
+        artifacts.merge(started, begun, change)
         done = process_documents(tasks, objects(), extractors)
         updates = done.select(F.col("document_id").alias("id"), "status", "extracted_text", "page_count", "word_count", F.lit(batch_id).alias("ts"))
-        updates = artifacts.write_texts(updates, ended)
-        artifacts.write_narrow(apply_status_updates(artifacts.narrow(before=ended), updates, F.current_timestamp())[0], ended)
+        artifacts.merge(artifacts.put_texts(updates, ended), ended, change)
 
+    if queued_at is not None:
+        queue = delivered_once(queue, queued_at, redelivery, key)
     return queue.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
@@ -100,36 +69,66 @@ def stream_landing(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("file_path", exprs.file_extension(F.col("file_path")).alias("extension"), "length", exprs.word_count(text).alias("word_count"))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Watch(StatefulProcessor):
+    """Events of a document wait until the watermark has passed them, and are then followed in order."""
+
+    def __init__(self, limit_ms: int):
+        self.limit = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ts long, event_id long, status string")
+        self.running = handle.getValueState("running", "since long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(int(r.ts_us), r.event_id, r.status) for r in rows]
+        self.held.appendList(new)
+        self.handle.registerTimer(-(-min(ts for ts, _, _ in new) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.held.get(), key=lambda e: (e[0], e[1] is not None, e[1] or 0)) if self.held.exists() else []
+        ripe = [e for e in held if e[0] <= passed * 1000]
+        since = self.running.get()[0] if self.running.exists() else None
+        was, late = since, []
+        for ts, _, status in ripe:
+            if since is not None and (ts - since) // 1000 > self.limit:
+                late.append(since)
+            since = ts if status == "PROCESSING" else None
+        if since is not None and since // 1000 + self.limit + 1 < passed:
+            late.append(since)
+            since = None
+        if ripe and len(ripe) < len(held):
+            self.held.put(held[len(ripe) :])
+        elif ripe:
+            self.held.clear()
+        if len(ripe) < len(held):
+            self.handle.registerTimer(max(-(-held[len(ripe)][0] // 1000), passed + 1))
+        if since is not None:
+            self.running.update((since,))
+            self.handle.registerTimer(max(since // 1000 + self.limit + 1, passed + 1))
+        elif was is not None:
+            self.running.clear()
+        return iter([Row(document_id=key[0], since_us=x) for x in late])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_stuck_documents(log: DataFrame, limit_seconds: int = HARD_LIMIT_SECONDS, delay: str = "10 minutes") -> DataFrame:
     """(document_id, since) of documents that stay PROCESSING for longer than the limit, in event time.
 
-    The timer of a document starts with its last PROCESSING event and ends with any other status. Events later
-    than the watermark are dropped. State is kept for running documents only. Output mode append.
+    A document's time runs from a PROCESSING event to the next event, whichever status that has. Events are held until
+    the watermark passes them and then taken by (ts, event_id), so that within ``delay`` any order of arrival gives what
+    ``stuck_documents`` gives; later ones are dropped. State is the held events, and the start of running documents.
+    It lies in RocksDB, which this sets for the session; output mode append.
     """
-    limit = int(limit_seconds * 1000)
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (since,) = state.get
-            state.remove()
-            yield pd.DataFrame({"document_id": [key[0]], "since": [pd.Timestamp(since, unit="us")]})
-            return
-        since = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        late = []
-        for ts, status in zip(rows["ts"], rows["status"], strict=True):
-            now = int(ts.value // 1000)
-            if since is not None and (now - since) // 1000 > limit:
-                late.append(since)
-                since = None
-            since = now if status == "PROCESSING" else None
-        if late:
-            yield pd.DataFrame({"document_id": [key[0]] * len(late), "since": [pd.Timestamp(x, unit="us") for x in late]})
-        if since is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((since,))
-        state.setTimeoutTimestamp(max(since // 1000 + limit + 1, state.getCurrentWatermarkMs() + 1))
-
-    return log.withWatermark("ts", delay).groupBy("document_id").applyInPandasWithState(follow, f"document_id {log.schema['document_id'].dataType.simpleString()}, since timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+    spark, kind = log.sparkSession, log.schema["document_id"].dataType.simpleString()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    events = log.where("ts IS NOT NULL AND document_id IS NOT NULL").withWatermark("ts", delay).select("document_id", "ts", F.unix_micros("ts").alias("ts_us"), F.col("event_id").cast("long").alias("event_id"), "status")
+    found = events.groupBy("document_id").transformWithState(_Watch(int(limit_seconds * 1000)), f"document_id {kind}, since_us long", "append", "eventTime")
+    return found.select("document_id", F.timestamp_micros("since_us").alias("since"))
