@@ -2,6 +2,8 @@
 
 from datetime import date, datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,43 @@ def test_similarity_blocks_and_zero_vectors(spark):
     assert max(x.c for x in both) == 1.0
 
 
+def clustered(spark, n, seed, width=16, clusters=40):
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(0).normal(size=(clusters, width))
+    return (centres[rng.integers(0, clusters, n)] + 0.15 * rng.normal(size=(n, width))).tolist()
+
+
+def test_similarity_index_exact_and_probed(spark):
+    """Many blocks, cut along cells: exactly what plain products give; with a few probes nearly so."""
+    x, y = clustered(spark, 300, 1), clustered(spark, 4000, 2)
+    e = spark.createDataFrame([(1, k, v) for k, v in enumerate(x)], "organization_id int, evidence_id int, v array<double>")
+    r = spark.createDataFrame(list(enumerate(y)), "requirement_id long, v array<double>")
+    unit = lambda m: np.array(m) / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(unit(x) @ unit(y).T, 6)
+    want = {(i, int(j)) for i in range(300) for j in np.lexsort((np.arange(4000), -s[i]))[:5]}
+    index = similarity.build_index(r, block=100)
+    assert spark.read.parquet(index.root).count() > 20 and sum(len(b.ids) for b in spark.read.parquet(index.root).collect()) == 4000
+    got = similarity.similarity_mappings(e, index)
+    assert {(v.evidence_id, v.requirement_id) for v in got.collect()} == want
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # queries stay where they are
+    near = {(v.evidence_id, v.requirement_id) for v in similarity.similarity_mappings(e, index, probes=3).collect()}
+    assert len(near & want) >= 0.95 * len(want)
+
+
+def test_similarity_skips_blocks(spark, monkeypatch):
+    x, y = clustered(spark, 50, 1), clustered(spark, 3000, 2)
+    index = similarity.build_index(spark.createDataFrame(list(enumerate(y)), "requirement_id long, v array<double>"), block=100)
+    rows = pa.table({"v": pa.array(x), "g": pa.array([0] * 50, pa.int32())})
+    one, products = similarity._Chunk(rows, 5, -1.0, pa.int64()), 0
+    for b in index.blocks(pa.array([0], pa.int32()), ["g", "d", "ids", "vectors", "centre", "radius"]):
+        at, v = one.places(b["g"], b["d"].as_py())
+        able = v @ np.frombuffer(b["centre"].as_buffer()) + b["radius"].as_py() >= one.floor[at]
+        products += int(able.sum()) * len(b["ids"])
+        if able.any():
+            one.take(b, at[able], v[able])
+    assert products < 0.7 * 50 * 3000
+
+
 def test_similarity_of_text_ids(spark):
     e = spark.createDataFrame([("o", "e1", "v1", [1.0, 0.1]), ("o", "e2", "v2", [1.0, 0.1])], "organization_id string, evidence_id string, version_id string, v array<double>")
     r = spark.createDataFrame([("r1", "v1", [1.0, 0.0]), ("r2", "v2", [0.0, 1.0]), ("r3", "v2", [1.0, 0.2])], "requirement_id string, version_id string, v array<double>")
