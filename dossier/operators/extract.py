@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from dossier.functions import exprs
 
@@ -39,16 +36,20 @@ def docx_parts(content: bytes) -> tuple[list[str], int]:
 EXTRACTORS: dict[str, Extractor] = {"pdf": pdf_parts, "docx": docx_parts}
 
 
-@F.pandas_udf(StringType())
-def _decode_ignoring(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+#: A character for private use, to write out characters that would be lost otherwise.
+_ESCAPE, _REPLACEMENT = "\ue000", "\ufffd"
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-8 text of bytes with malformed ones left out; a byte order mark stays. Only malformed contents go to Python."""
-    text = content.cast("string")
-    good = F.is_valid_utf8(text)
-    return F.when(good, text).otherwise(_decode_ignoring(F.when(~good, content)))
+    """UTF-8 text of bytes with malformed ones left out; a byte order mark stays.
+
+    Spark puts U+FFFD for what is malformed. Those that the bytes really have are written as an escape meanwhile.
+    """
+    text, e, r = content.cast("string"), F.lit(_ESCAPE), F.lit(_REPLACEMENT)
+    kept = F.replace(F.replace(text, e, F.lit(_ESCAPE + "0")), r, F.lit(_ESCAPE + "1"))
+    good = F.replace(F.make_valid_utf8(kept), r, F.lit(""))
+    back = F.replace(F.replace(good, F.lit(_ESCAPE + "1"), r), F.lit(_ESCAPE + "0"), e)
+    return F.when(F.is_valid_utf8(text), text).otherwise(back)
 
 
 def assemble_pages(pages: DataFrame) -> DataFrame:
@@ -66,7 +67,8 @@ def assemble_paragraphs(paragraphs: DataFrame) -> DataFrame:
     return rows.select("document_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"), F.lit(1).cast("bigint").alias("page_count"))
 
 
-RESULT = "document_id {id}, file_path string, status string, extracted_text string, page_count int, error string"
+#: Bytes of files that go to Python at once (a larger file goes alone).
+BATCH_BYTES = 64 << 20
 
 
 def process_documents(tasks: DataFrame, objects: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
@@ -75,10 +77,13 @@ def process_documents(tasks: DataFrame, objects: DataFrame, extractors: dict[str
     Objects are (file_path, content). A missing object, an unknown kind, an absent library and an extractor that
     raises fail that task alone. Missing objects are found by keys only. Contents are read once, and only of asked
     objects of a known kind: tasks join them as the side that Spark can broadcast, so that contents stay where they
-    are read. Texts are decoded by Spark; other kinds go through their extractor, file by file.
+    are read. Texts are decoded by Spark and never leave it; the contents of other kinds alone go to their extractor,
+    file by file, in batches of ``BATCH_BYTES`` (set for the session where it has no bound).
     """
     extractors = EXTRACTORS if extractors is None else extractors
-    id_type = tasks.schema["document_id"].dataType.simpleString()
+    conf, bound = tasks.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(bound, str(2**31 - 1)).rstrip("b")) > BATCH_BYTES:
+        conf.set(bound, str(BATCH_BYTES))
     asked = tasks.select("document_id", "file_path").withColumn("kind", exprs.file_kind(F.coalesce("file_path", F.lit(""))))
     keys = objects.select("file_path").distinct().withColumn("there", F.lit(True))
     name = F.coalesce("file_path", F.lit(""))
@@ -87,28 +92,30 @@ def process_documents(tasks: DataFrame, objects: DataFrame, extractors: dict[str
     failed = checked.withColumn("error", error).where("error IS NOT NULL")
     failed = failed.select("document_id", "file_path", F.lit("FAILED").alias("status"), F.lit(None).cast("string").alias("extracted_text"), F.lit(None).cast("int").alias("page_count"), "error")
     ready = objects.select("file_path", "content").where(exprs.file_kind(F.col("file_path")).isNotNull()).join(asked, "file_path")
+
+    @F.pandas_udf("text string, pages int, error string")
+    def extracted(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for kind, content in zip(kinds, contents, strict=True):
+            if kind is None:
+                rows.append((None, None, None))
+                continue
+            try:
+                parts, pages = extractors[kind](bytes(content))
+                rows.append(("\n".join(parts), pages, None))
+            except Exception as problem:
+                rows.append((None, None, str(problem)))
+        return pd.DataFrame(rows, columns=["text", "pages", "error"]).astype({"pages": "Int32"})
+
     is_text = F.col("kind") == "txt"
-    ready = ready.select("document_id", "file_path", "kind", F.when(is_text, decode_text(F.col("content"))).alias("text"), F.when(~is_text, F.col("content")).alias("content"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["document_id", "file_path", "status", "extracted_text", "page_count", "error"]
-        for batch in batches:
-            plain = pc.equal(batch.column("kind"), "txt")
-            texts, files = batch.filter(plain), batch.filter(pc.invert(plain))
-            n = texts.num_rows
-            yield pa.RecordBatch.from_arrays([texts.column("document_id"), texts.column("file_path"), pa.array(["COMPLETED"] * n, pa.string()), texts.column("text"), pa.array([1] * n, pa.int32()), pa.nulls(n, pa.string())], names=names)
-            for k in range(files.num_rows):  # a file at a time: results leave before the next is read
-                one = files.slice(k, 1)
-                try:
-                    parts, pages = extractors[one.column("kind")[0].as_py()](one.column("content")[0].as_py())
-                    values = ("COMPLETED", "\n".join(parts), pages, None)
-                except Exception as problem:
-                    values = ("FAILED", None, None, str(problem))
-                types = (pa.string(), pa.string(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([one.column("document_id"), one.column("file_path"), *(pa.array([v], t) for v, t in zip(values, types, strict=True))], names=names)
-
-    out = ready.mapInArrow(run, RESULT.format(id=id_type)).unionByName(failed)
-    return out.withColumn("word_count", exprs.word_count(F.col("extracted_text")).cast("int"))
+    other = lambda c: F.when(~is_text, F.col(c))
+    made = ready.withColumn("made", extracted(other("kind"), other("content")))
+    done = made.select(
+        "document_id", "file_path", F.when(F.col("made.error").isNull(), "COMPLETED").otherwise("FAILED").alias("status"),
+        F.when(is_text, decode_text(F.col("content"))).otherwise(F.col("made.text")).alias("extracted_text"),
+        F.when(is_text, 1).otherwise(F.col("made.pages")).alias("page_count"), F.col("made.error").alias("error"),
+    )
+    return done.unionByName(failed).withColumn("word_count", exprs.word_count(F.col("extracted_text")).cast("int"))
 
 
 def process_result(processed: DataFrame) -> DataFrame:

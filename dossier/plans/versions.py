@@ -10,12 +10,15 @@ def version_as_of(asked: DataFrame, versions: DataFrame) -> DataFrame:
     """For each asked (framework_id, as_of): the active version published last on or before that date.
 
     Versions without a date are never chosen; of equal dates the greatest slug, then the greatest id. Without
-    any the version is null.
+    any the version is null. Dates and versions are merged in one order by framework and each date takes the last version
+    before it: rows are those asked and the versions, never their pairs.
     """
-    keys = asked.select("framework_id", "as_of").distinct()
-    usable = versions.where("is_active AND publication_date IS NOT NULL").select("framework_id", F.col("id").alias("version_id"), "version_slug", "publication_date")
-    found = keys.join(usable, "framework_id").where("publication_date <= as_of").groupBy("framework_id", "as_of").agg(F.max(F.struct("publication_date", "version_slug", "version_id")).alias("v"))
-    return keys.join(found, ["framework_id", "as_of"], "left").select("framework_id", "as_of", "v.version_id", "v.version_slug", "v.publication_date")
+    no = lambda c: F.lit(None).cast(versions.schema[c].dataType)
+    keys = asked.select("framework_id", "as_of").distinct().select("framework_id", F.col("as_of").alias("at"), F.lit(1).alias("asked"), no("id").alias("version_id"), no("version_slug").alias("version_slug"), no("publication_date").alias("publication_date"))
+    usable = versions.where("is_active AND publication_date IS NOT NULL AND framework_id IS NOT NULL").select(F.col("framework_id").cast(asked.schema["framework_id"].dataType).alias("framework_id"), F.col("publication_date").cast(asked.schema["as_of"].dataType).alias("at"), F.lit(0).alias("asked"), F.col("id").alias("version_id"), "version_slug", "publication_date")
+    w = Window.partitionBy("framework_id").orderBy("at", "asked", "version_slug", "version_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.last(F.when(F.col("asked") == 0, F.struct("version_id", "version_slug", "publication_date")), ignorenulls=True).over(w)
+    return keys.unionByName(usable).withColumn("v", held).where("asked = 1").select("framework_id", F.col("at").alias("as_of"), "v.version_id", "v.version_slug", "v.publication_date")
 
 
 def consecutive_pairs(versions: DataFrame) -> DataFrame:

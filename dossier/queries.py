@@ -565,6 +565,18 @@ def _(s):
     return coverage.mapping_status_counts(s.mappings(), s.requirements())
 
 
+@query("mapping_sketches", """SELECT m.organization_id, count(*) FILTER (m.status = 'pending') AS pending, count(*) FILTER (m.status = 'approved') AS approved, count(*) FILTER (m.status = 'rejected') AS rejected,
+    max(similarity_score) AS max_similarity, count(DISTINCT evidence_id) AS evidence, true AS estimate_in_bound FROM mappings m JOIN requirements r ON m.requirement_id = r.id GROUP BY 1""")
+def _(s):
+    """Roll-up by organization of stored sketches, each estimate held against the exact count of distinct evidence."""
+    root = scratch_path(s.spark)
+    coverage.mapping_sketches(s.mappings(), s.requirements()).write.parquet(root)
+    merged = coverage.merged_sketches(s.spark.read.parquet(root), "organization_id").withColumnRenamed("evidence", "estimate")
+    exact = s.mappings().join(s.requirements().select(F.col("id").alias("requirement_id")), "requirement_id").groupBy("organization_id").agg(F.count_distinct("evidence_id").alias("evidence"))
+    close = F.abs(F.col("estimate") - F.col("evidence")) <= 4 * coverage.SKETCH_ERROR * F.col("evidence") + 1
+    return merged.join(exact, "organization_id").select("organization_id", "pending", "approved", "rejected", "max_similarity", "evidence", close.alias("estimate_in_bound"))
+
+
 @query("best_evidence", """SELECT organization_id, requirement_id, evidence_id, similarity_score, status, rn FROM (SELECT *, row_number() OVER (PARTITION BY organization_id, requirement_id ORDER BY similarity_score DESC NULLS LAST, evidence_id, status) AS rn
     FROM mappings WHERE requirement_id IS NOT NULL) WHERE rn <= 3""")
 def _(s):
@@ -604,6 +616,16 @@ def _(s):
     return text.extract_obligations(s.text_documents(), "(?i)license")
 
 
+@query("extract_terms", r"""WITH t AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS w FROM benchmark)),
+    s AS (SELECT id AS document_id, unnest(x) AS sentence, unnest(range(len(x))) AS seq FROM (SELECT id, regexp_split_to_array(extracted_text, '[.!?]\s+|\n') AS x FROM text_documents)),
+    w AS (SELECT document_id, seq, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT *, regexp_extract_all(sentence, '[\p{L}\p{N}_]+') AS ws FROM s))
+    SELECT document_id, seq, arg_min(word, pos) AS term FROM w WHERE lower(word) IN (SELECT term FROM t) GROUP BY 1, 2""")
+def _(s):
+    """Sentences with a word of a long list: all words of six letters and more of the benchmark."""
+    words = s.table("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
+    return text.extract_obligations(s.text_documents(), sorted(r.w for r in words.collect())).select("document_id", "seq", "term")
+
+
 @query("extract_requirement_codes", r"""SELECT document_id, seq, regexp_extract(line, '^([A-Za-z]+) \| (.*)$', 1) AS code, regexp_extract(line, '^([A-Za-z]+) \| (.*)$', 2) AS title FROM (SELECT id AS document_id, unnest(x) AS line, unnest(range(len(x))) AS seq
     FROM (SELECT id, string_split(extracted_text, chr(10)) AS x FROM text_documents)) WHERE regexp_matches(line, '^([A-Za-z]+) \| (.*)$')""")
 def _(s):

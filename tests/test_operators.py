@@ -225,3 +225,65 @@ def test_hubs_are_not_walked_through(spark):
     e = spark.createDataFrame([("organization", "1", "r", "evidence", "10"), ("organization", "1", "r", "evidence", "11"), ("evidence", "10", "r", "requirement", "5")], "src_type string, src_id string, rel string, dst_type string, dst_id string")
     got = {(r.type, r.id): r.hop for r in relations.k_hop(e, spark.createDataFrame([("requirement", "5")], "type string, id string"), 3).collect()}
     assert got == {("requirement", "5"): 0, ("evidence", "10"): 1, ("organization", "1"): 2}
+
+
+def test_decoding_drops_what_is_malformed(spark):
+    import random
+
+    rng = random.Random(3)
+    pool = ["a", "é", "日", "🎈", "\ufffd", "\ue000", "0", "1", "\ufeff"]
+    cases = [b"", None, b"\xef\xbf", b"\xe2\xef\xbf\xbd", "\ue0001\ufffd\ue0000".encode() + b"\xff"]
+    for _ in range(300):
+        raw = bytearray("".join(rng.choices(pool, k=12)).encode())
+        for _ in range(rng.randint(0, 4)):
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+        cases.append(bytes(raw))
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, content binary").select("k", extract.decode_text(F.col("content")).alias("t"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.t for r in df.collect()} == {k: c if c is None else c.decode("utf-8", "ignore") for k, c in enumerate(cases)}
+
+
+def test_terms_by_automaton_as_by_alternatives(spark):
+    import random
+    import re
+
+    from dossier.functions import text
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdé", k=rng.randint(1, 5)))
+    terms = [" ".join(word() for _ in range(rng.choice([1, 1, 2]))) for _ in range(5000)] + ["must not", "must", "§ 5"]
+    lines = ["We MUST not. Mustard must", "§ 5 x § 5", "", None, *(" ".join(word() + rng.choice(["", "", "x", "_", ","]) for _ in range(6)).title() for _ in range(400))]
+    docs = spark.createDataFrame(list(enumerate(lines)), "id int, extracted_text string")
+    lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t)
+    plain = re.compile("\\b(" + "|".join(re.escape(lower(t)) for t in terms) + ")\\b")
+    want = set()
+    for k, line in enumerate(lines):
+        for seq, sentence in enumerate(re.split(r"[.!?]\s+|\n", line) if line is not None else []):
+            if found := plain.search(lower(sentence)):
+                want.add((k, seq, sentence, sentence[found.start() : found.end()]))
+    assert {tuple(r) for r in text.extract_obligations(docs, terms).collect()} == want and len(want) > 100
+    assert text.extract_obligations(docs, []).count() == 0
+    with pytest.raises(ValueError, match="terms"):
+        text.extract_obligations(docs, ["x" * (33 << 20)])
+
+
+def test_sketches_merge_within_their_error(spark):
+    m = spark.range(60_000).select((F.col("id") % 3).alias("organization_id"), (F.col("id") % 7919).alias("evidence_id"), (F.col("id") % 50).alias("requirement_id"), F.when(F.col("id") % 2 == 0, 0.5).alias("similarity_score"), F.lit("approved").alias("status"))
+    r = spark.range(50).select("id", (F.col("id") % 5).alias("version_id"))
+    sketches = coverage.mapping_sketches(m, r)
+    for by in ((), ("organization_id",), ("organization_id", "version_id")):
+        exact = m.join(r.withColumnRenamed("id", "requirement_id"), "requirement_id").groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("evidence_id").alias("e"))
+        got = {tuple(x[c] for c in by): x for x in coverage.merged_sketches(sketches, *by).collect()}
+        for x in exact.collect():
+            y = got[tuple(x[c] for c in by)]
+            assert y.approved == x.n and y.pending == 0 and y.mean_similarity == 0.5 and abs(y.evidence - x.e) <= 3 * coverage.SKETCH_ERROR * x.e + 1
+
+
+def test_version_as_of_has_no_join(spark):
+    v = spark.createDataFrame([(k, k % 3, f"v{k}", date(2000 + k // 3, 1, 1), True) for k in range(60)] + [(99, None, "n", date(2000, 1, 1), True)], "id int, framework_id int, version_slug string, publication_date date, is_active boolean")
+    asked = spark.createDataFrame([(k % 4, date(1995 + k, 6, 1)) for k in range(30)] + [(None, date(2010, 1, 1)), (1, None), (1, None)], "framework_id int, as_of date")
+    found = versions.version_as_of(asked, v)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.framework_id, r.as_of): r.version_id for r in found.collect()}
+    held = [(f, d, i) for i, f, _, d, _ in [tuple(r) for r in v.collect()]]
+    assert got == {(f, a): max(((d, i) for g, d, i in held if g == f and a is not None and f is not None and d <= a), default=(None, None))[1] for f, a in {(r.framework_id, r.as_of) for r in asked.collect()}}
