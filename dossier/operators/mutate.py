@@ -2,19 +2,78 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import exprs
 from dossier.schemas import HARD_LIMIT_SECONDS, RULES
+from dossier.sources.tables import scratch_path
+
+
+#: Folders of bit maps, by a hash of the file that they are about.
+SHELVES = 1024
 
 
 def land_objects(uploads: DataFrame, key: str = "file_path", at: str = "uploaded_at", upload_id: str = "upload_id") -> DataFrame:
-    """The last upload of each key, whoever sent it. Only keys and times are ranked; contents are joined back."""
-    last = uploads.groupBy(key).agg(F.max(F.struct(at, upload_id)).alias("last"))
-    last = last.select(F.col(key).alias("__key"), F.col(f"last.{at}").alias("__at"), F.col(f"last.{upload_id}").alias("__id"))
-    same = (uploads[key] == F.col("__key")) & uploads[at].eqNullSafe(F.col("__at")) & uploads[upload_id].eqNullSafe(F.col("__id"))
-    return uploads.join(last, same, "left_semi")
+    """The last upload of each key, whoever sent it: one row for each key that is not null.
+
+    Only keys, times and ids are ranked. Of rows from Parquet files the last ones are known by file and place; bit maps
+    of these places are written to the shared folder, and contents are picked where they lie: they are in no shuffle,
+    join or Python worker. Other rows have no place of their own: they are joined with what was ranked.
+    """
+    rows = uploads.where(F.col(key).isNotNull())
+    try:
+        placed = rows.select(*uploads.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # not from Parquet files
+        last = rows.groupBy(key).agg(F.max(F.struct(at, upload_id)).alias("last"))
+        last = last.select(F.col(key).alias("__key"), F.col(f"last.{at}").alias("__at"), F.col(f"last.{upload_id}").alias("__id"))
+        same = (rows[key] == F.col("__key")) & rows[at].eqNullSafe(F.col("__at")) & rows[upload_id].eqNullSafe(F.col("__id"))
+        return rows.join(last, same, "left_semi").dropDuplicates([key])
+    last = placed.groupBy(key).agg(F.max(F.struct(at, upload_id, "__file", "__row")).alias("last")).select("last.__file", (F.col("last.__row") + 1).alias("place"))
+    root = scratch_path(uploads.sparkSession)
+    maps = last.groupBy("__file", F.bitmap_bucket_number("place").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    maps.withColumn("shelf", _shelf()).repartition("shelf").write.partitionBy("shelf").parquet(root)
+    return placed.where(_stands(root)("__file", "__row", _shelf())).select(*uploads.columns)
+
+
+def _shelf() -> Column:
+    return F.pmod(F.xxhash64("__file"), F.lit(SHELVES)).cast("int")
+
+
+def _stands(root: str):
+    """Whether the bit of a row is set in the maps below ``root``. A task keeps the maps of one file, a bit for each of its rows."""
+    held: dict[str, dict[int, np.ndarray]] = {}
+
+    def maps_of(file: str, shelf: int) -> dict[int, np.ndarray]:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        if file not in held:
+            held.clear()
+            store, base = fs.FileSystem.from_uri(f"{root}/shelf={shelf}")
+            held[file] = {}
+            if store.get_file_info(base).type == fs.FileType.Directory:
+                found = ds.dataset(base, filesystem=store, format="parquet").to_table(["number", "bits"], filter=ds.field("__file") == file)
+                held[file] = {n: np.frombuffer(b, dtype=np.uint8) for n, b in zip(*(found.column(c).to_pylist() for c in ("number", "bits")), strict=True)}
+        return held[file]
+
+    @F.pandas_udf("boolean")
+    def stands(files: pd.Series, rows: pd.Series, shelves: pd.Series) -> pd.Series:
+        out = np.zeros(len(files), dtype=bool)
+        places = rows.to_numpy()
+        for file, at in files.groupby(files).indices.items():
+            maps, number = maps_of(file, int(shelves.iloc[at[0]])), 1 + places[at] // 32_768
+            for n in np.unique(number):
+                if n in maps:
+                    mine = at[number == n]
+                    bit = places[mine] % 32_768
+                    out[mine] = (maps[n][bit // 8] >> (bit % 8)) & 1
+        return pd.Series(out)
+
+    return stands
 
 
 def ingest_uploads(manifest: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

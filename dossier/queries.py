@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from dossier import schemas
 from dossier.functions import exprs, text
 from dossier.operators import audit, extract, lookup, mutate, relations, similarity
 from dossier.plans import coverage, versions
+from dossier.sources.database import read_entity, write_entity
 from dossier.sources.objects import read_objects, write_objects
 from dossier.sources.tables import read_table, scratch_path, write_table
 from dossier.standin import Standin, with_views
@@ -47,11 +49,12 @@ def now():
 
 # --- sources and lookups -------------------------------------------------------------------------------------
 
-@query("land_objects", """SELECT file_path, upload_id, uploaded_at FROM (SELECT o_custkey AS file_path, o_orderkey AS upload_id, o_orderdate AS uploaded_at,
+@query("land_objects", """SELECT file_path, upload_id, uploaded_at, md5(content) AS digest FROM (SELECT o_custkey AS file_path, o_orderkey AS upload_id, o_orderdate AS uploaded_at, CAST(o_orderkey AS VARCHAR) || o_orderstatus AS content,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
 def _(s):
-    uploads = s.table("orders").select(F.col("o_custkey").alias("file_path"), F.col("o_orderkey").alias("upload_id"), F.col("o_orderdate").alias("uploaded_at"))
-    return mutate.land_objects(uploads)
+    content = F.concat(F.col("o_orderkey").cast("string"), "o_orderstatus").cast("binary")
+    uploads = s.table("orders").select(F.col("o_custkey").alias("file_path"), F.col("o_orderkey").alias("upload_id"), F.col("o_orderdate").alias("uploaded_at"), content.alias("content"))
+    return mutate.land_objects(uploads).select("file_path", "upload_id", "uploaded_at", F.md5("content").alias("digest"))
 
 
 @query("entity_tables", "SELECT CAST(id AS VARCHAR) AS id, name, TIMESTAMP '2030-01-01' AS created_at, TIMESTAMP '2030-01-01' AS updated_at FROM organizations")
@@ -61,6 +64,17 @@ def _(s):
     return read_table(s.spark, root, "organizations")
 
 
+@query("entity_database", """SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 3 = 0 THEN 'renamed ' || name ELSE name END AS name, TIMESTAMP '2030-01-01' AS created_at, TIMESTAMP '2030-01-01' AS updated_at
+    FROM organizations WHERE id % 2 = 0""")
+def _(s):
+    """Organizations put into a database (the one that comes with Spark, in this process), a third of them put again, and read back by a pushed filter."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    rows = s.organizations().withColumns({"created_at": now(), "updated_at": now()})
+    write_entity(rows, url, "organizations")
+    write_entity(rows.where("id % 3 = 0").withColumn("name", F.concat(F.lit("renamed "), "name")), url, "organizations")
+    return read_entity(s.spark, url, "organizations").where(F.substring("id", -1, 1).isin(*"02468"))
+
+
 @query("document_response", """SELECT id, organization_id, file_path AS name, file_path, CAST(NULL AS INTEGER) AS file_size, mime_type, CAST(NULL AS VARCHAR) AS extracted_text,
     CAST(NULL AS INTEGER) AS page_count, CAST(NULL AS INTEGER) AS word_count, status, created_at, created_at AS updated_at FROM evidence""")
 def _(s):

@@ -1,4 +1,4 @@
-"""The entity tables at rest: Parquet with declared types, new snapshots beside old ones, and a database as a source."""
+"""The entity tables at rest: Parquet with declared types, new snapshots beside old ones. ``dossier.sources.database`` has them in a database."""
 
 from __future__ import annotations
 
@@ -44,9 +44,3 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "errorifexists"
     if missing:
         raise ValueError(f"{name} needs {', '.join(missing)}")
     df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)).write.mode(mode).parquet(f"{root}/{name}")
-
-
-def read_jdbc(spark: SparkSession, url: str, name: str, partition_column: str, lower: str, upper: str, partitions: int, **options: str) -> DataFrame:
-    """The table from a database, read in ranges of a column. Needs the database's driver on the class path."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions, **options)
-    return reader.load()

@@ -287,3 +287,28 @@ def test_version_as_of_has_no_join(spark):
     got = {(r.framework_id, r.as_of): r.version_id for r in found.collect()}
     held = [(f, d, i) for i, f, _, d, _ in [tuple(r) for r in v.collect()]]
     assert got == {(f, a): max(((d, i) for g, d, i in held if g == f and a is not None and f is not None and d <= a), default=(None, None))[1] for f, a in {(r.framework_id, r.as_of) for r in asked.collect()}}
+
+
+def test_contents_land_where_they_lie(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"k{rng.randint(0, 3000)}" if rng.random() > 0.01 else None, k, T0 if rng.random() < 0.5 else T1 if rng.random() < 0.9 else None, f"content {k}".encode()) for k in range(70_000)]
+    spark.createDataFrame(rows, "file_path string, upload_id int, uploaded_at timestamp, content binary").coalesce(2).write.parquet(str(tmp_path / "up"))
+    spark.createDataFrame([("k1", 10**6 + k, T1, b"tie") for k in (5, 5)], "file_path string, upload_id int, uploaded_at timestamp, content binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "up"))
+    uploads = spark.read.parquet(str(tmp_path / "up"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        landed = mutate.land_objects(uploads)
+        plan = landed._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        got = {r.file_path: (r.upload_id, bytes(r.content)) for r in landed.collect()}
+        assert landed.count() == len(got) and landed.columns == uploads.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = {}
+    for key, k, at, content in [*rows, ("k1", 10**6 + 5, T1, b"tie")]:
+        if key is not None and (key not in want or (at is not None, at or T0, k) > want[key][:3]):
+            want[key] = (at is not None, at or T0, k, content)
+    assert got == {key: v[2:] for key, v in want.items()}
