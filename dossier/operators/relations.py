@@ -68,33 +68,38 @@ RELATIONS = (
 )
 
 
-def entity_edges(tables: dict[str, DataFrame]) -> DataFrame:
-    """Distinct edges (src_type, src_id, rel, dst_type, dst_id) of all relations; ids as text, nulls left out."""
+def entity_edges(tables: dict[str, DataFrame], distinct: bool = True) -> DataFrame:
+    """Edges (src_type, src_id, rel, dst_type, dst_id) of all relations, each once if ``distinct``; ids as text, nulls left out."""
     parts = []
     for src, rel, dst, table, a, b in RELATIONS:
         e = tables[table].select(F.lit(src).alias("src_type"), F.col(a).cast("string").alias("src_id"), F.lit(rel).alias("rel"), F.lit(dst).alias("dst_type"), F.col(b).cast("string").alias("dst_id"))
-        parts.append(e.where("src_id IS NOT NULL AND dst_id IS NOT NULL").distinct())
+        parts.append(e.where("src_id IS NOT NULL AND dst_id IS NOT NULL"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.distinct() if distinct else out
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int, through_hubs: tuple[str, ...] = ("evidence", "requirement", "version", "framework")) -> DataFrame:
     """type, id and hop of the nodes within ``k`` undirected hops of the seeds (type, id), at their smallest hop.
 
     Only nodes of the types ``through_hubs`` are expanded (seeds always are), as an organization reaches all it
-    owns. The edges are checkpointed once, both ways, and so is each round's frontier.
+    owns. Edges may come more than once. Those that leave a node of these types are checkpointed once, dealt by that
+    node, and so is each round's frontier; edges that leave other nodes are read in the first round alone, if seeds are such.
     """
     forth = edges.select(F.col("src_type").alias("a_type"), F.col("src_id").alias("a_id"), F.col("dst_type").alias("type"), F.col("dst_id").alias("id"))
     back = edges.select(F.col("dst_type").alias("a_type"), F.col("dst_id").alias("a_id"), F.col("src_type").alias("type"), F.col("src_id").alias("id"))
-    both = checkpointed(forth.unionByName(back).repartition("a_type", "a_id"))  # once; every round joins by these two
-    seen = seeds.select("type", F.col("id").cast("string").alias("id")).distinct().withColumn("hop", F.lit(0))
+    both, hubs = forth.unionByName(back), F.col("a_type").isin(*through_hubs)
+    inner = checkpointed(both.where(hubs).repartition("a_type", "a_id"))  # every round joins by these two
+    seen = checkpointed(seeds.select("type", F.col("id").cast("string").alias("id")).distinct().withColumn("hop", F.lit(0)))
+    others = not seen.where(~F.col("type").isin(*through_hubs)).isEmpty()
     frontier = seen
     for hop in range(1, k + 1):
-        start = frontier if hop == 1 else frontier.where(F.col("type").isin(*through_hubs))
-        reached = start.select(F.col("type").alias("a_type"), F.col("id").alias("a_id")).join(both, ["a_type", "a_id"]).select("type", "id").distinct()
-        frontier = checkpointed(reached.join(seen, ["type", "id"], "left_anti").withColumn("hop", F.lit(hop)))
+        start = frontier.select(F.col("type").alias("a_type"), F.col("id").alias("a_id"))
+        reached = start.where(hubs).join(inner, ["a_type", "a_id"])
+        if hop == 1 and others:
+            reached = reached.unionByName(start.where(~hubs).join(both.where(~hubs), ["a_type", "a_id"]))
+        frontier = checkpointed(reached.select("type", "id").distinct().join(seen, ["type", "id"], "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -14,7 +14,7 @@ from dossier.operators import audit, extract, lookup, mutate, relations, similar
 from dossier.plans import coverage, versions
 from dossier.sources.database import read_entity, write_entity
 from dossier.sources.objects import read_objects, write_objects
-from dossier.sources.tables import read_table, scratch_path, write_table
+from dossier.sources.tables import read_table, scratch_path, write_bucketed, write_table
 from dossier.standin import Standin, with_views
 from dossier.streaming import jobs
 
@@ -433,6 +433,23 @@ def _(s):
     return relations.evidence_mappings(s.evidence(), s.mappings()).select("evidence_id", "evidence_status", "mapping_requirement_id", "mapping_status")
 
 
+def _facts(s: Standin) -> tuple[DataFrame, DataFrame]:
+    """Evidence and mappings as tables that are dealt alike."""
+    root, name = scratch_path(s.spark), f"dossier_{uuid.uuid4().hex}"
+    evidence = write_bucketed(s.evidence(), f"{name}_evidence", "id", 8, f"{root}/evidence")
+    return evidence, write_bucketed(s.mappings(), f"{name}_mappings", "evidence_id", 8, f"{root}/mappings")
+
+
+@query("bucketed_evidence_trace", """SELECT o.name AS organization_name, e.id AS evidence_id, e.status AS evidence_status, m.status AS mapping_status, r.code AS requirement_code, f.name AS framework_name
+    FROM mappings m LEFT JOIN evidence e ON m.evidence_id = e.id LEFT JOIN organizations o ON m.organization_id = o.id LEFT JOIN requirements r ON m.requirement_id = r.id
+    LEFT JOIN versions v ON r.version_id = v.id LEFT JOIN frameworks f ON v.framework_id = f.id""")
+def _(s):
+    """The trace over stored facts that need no shuffle to meet."""
+    evidence, mappings = _facts(s)
+    rows = relations.evidence_trace(s.organizations(), evidence, mappings, s.requirements(), s.versions(), s.frameworks())
+    return rows.select("organization_name", "evidence_id", "evidence_status", "mapping_status", "requirement_code", "framework_name")
+
+
 @query("requirement_mappings", "SELECT m.evidence_id AS mapping_evidence_id, m.requirement_id AS mapping_requirement_id, r.code AS requirement_code FROM mappings m LEFT JOIN requirements r ON m.requirement_id = r.id")
 def _(s):
     return relations.requirement_mappings(s.mappings(), s.requirements()).select("mapping_evidence_id", "mapping_requirement_id", "requirement_code")
@@ -454,8 +471,8 @@ _EDGES = """SELECT DISTINCT * FROM (SELECT 'organization' AS src_type, CAST(orga
     UNION ALL SELECT 'version', CAST(version_id AS VARCHAR), 'has_requirement', 'requirement', CAST(id AS VARCHAR) FROM requirements) WHERE src_id IS NOT NULL AND dst_id IS NOT NULL"""
 
 
-def _graph(s: Standin) -> DataFrame:
-    return relations.entity_edges({"evidence": s.evidence(), "mappings": s.mappings(), "versions": s.versions(), "requirements": s.requirements()})
+def _graph(s: Standin, distinct: bool = True) -> DataFrame:
+    return relations.entity_edges({"evidence": s.evidence(), "mappings": s.mappings(), "versions": s.versions(), "requirements": s.requirements()}, distinct)
 
 
 @query("entity_edges", _EDGES)
@@ -470,7 +487,7 @@ def _(s):
     SELECT t AS type, i AS id, 0 AS hop FROM h0 UNION ALL SELECT t, i, 1 FROM h1 UNION ALL SELECT t, i, 2 FROM h2 UNION ALL SELECT t, i, 3 FROM h3""")
 def _(s):
     seeds = s.versions().where("NOT is_active").select(F.lit("version").alias("type"), "id")
-    return relations.k_hop(_graph(s), seeds, 3)
+    return relations.k_hop(_graph(s, distinct=False), seeds, 3)
 
 
 # --- audits --------------------------------------------------------------------------------------------------

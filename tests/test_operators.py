@@ -312,3 +312,11 @@ def test_contents_land_where_they_lie(spark, tmp_path):
         if key is not None and (key not in want or (at is not None, at or T0, k) > want[key][:3]):
             want[key] = (at is not None, at or T0, k, content)
     assert got == {key: v[2:] for key, v in want.items()}
+
+
+def test_walk_from_a_hub(spark):
+    """A seed of a type that is not walked through is expanded all the same; repeated edges change nothing."""
+    e = spark.createDataFrame([("organization", "1", "r", "evidence", "10"), ("organization", "1", "r", "evidence", "10"), ("organization", "2", "r", "evidence", "11"), ("evidence", "10", "r", "requirement", "5"), ("evidence", "11", "r", "requirement", "5")], "src_type string, src_id string, rel string, dst_type string, dst_id string")
+    walk = lambda t, i, k: sorted((r.hop, r.type, r.id) for r in relations.k_hop(e, spark.createDataFrame([(t, i)], "type string, id string"), k).collect())
+    assert walk("organization", "1", 9) == [(0, "organization", "1"), (1, "evidence", "10"), (2, "requirement", "5"), (3, "evidence", "11"), (4, "organization", "2")]
+    assert walk("framework", "7", 2) == [(0, "framework", "7")]

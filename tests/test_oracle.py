@@ -52,3 +52,19 @@ def test_contents_are_read_once_and_stay(spark, small, tmp_path):
 def test_scans_are_pruned_and_filtered(spark, small):
     text = plan(Standin(spark, small).table("lineitem").where("l_returnflag = 'A'").select("l_orderkey"))
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,A)]" in text and "ReadSchema: struct<l_orderkey:bigint,l_returnflag:string>" in text
+
+
+def test_stored_facts_meet_without_a_shuffle(spark, small):
+    evidence, mappings = queries._facts(Standin(spark, small))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = relations.evidence_mappings(evidence, mappings)
+        rows.write.format("noop").mode("overwrite").save()
+        text = plan(rows)
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        s = Standin(spark, small)
+        text = plan(relations.evidence_trace(s.organizations(), evidence, mappings, s.requirements(), s.versions(), s.frameworks()))
+        assert "hashpartitioning(mapping_evidence_id" not in text and "hashpartitioning(evidence_id" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
