@@ -14,6 +14,7 @@ from dossier.operators import audit, extract, lookup, mutate, relations, similar
 from dossier.plans import coverage, versions
 from dossier.sources.database import read_entity, write_entity
 from dossier.sources.objects import read_objects, write_objects
+from dossier.sources.snapshots import Snapshots
 from dossier.sources.tables import read_table, scratch_path, write_bucketed, write_table
 from dossier.standin import Standin, with_views
 from dossier.streaming import jobs
@@ -309,12 +310,24 @@ _FOLD = """SELECT document_id AS id, last(status ORDER BY ts, event_id) AS s, la
     FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'text ' || CAST(event_id AS VARCHAR) WHEN event_id % 7 = 0 THEN '' END AS t, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 4 AS INTEGER) END AS p FROM status_log) GROUP BY 1"""
 
 
-@query("apply_status_updates", f"""SELECT d.id, coalesce(s, status) AS status, coalesce(t, file_path) AS extracted_text, p AS page_count, 7 AS word_count,
-    CASE WHEN (s IS NOT NULL AND s IS DISTINCT FROM status) OR t IS NOT NULL OR p IS NOT NULL THEN {NOW} ELSE TIMESTAMP '2000-01-01' END AS updated_at FROM text_documents d LEFT JOIN ({_FOLD}) u ON d.id = u.id""")
+_APPLIED = f"""SELECT d.id, coalesce(s, status) AS status, coalesce(t, file_path) AS extracted_text, p AS page_count, 7 AS word_count,
+    CASE WHEN (s IS NOT NULL AND s IS DISTINCT FROM status) OR t IS NOT NULL OR p IS NOT NULL THEN {NOW} ELSE TIMESTAMP '2000-01-01' END AS updated_at FROM text_documents d LEFT JOIN ({_FOLD}) u ON d.id = u.id"""
+
+
+@query("apply_status_updates", _APPLIED)
 def _(s):
     return mutate.apply_status_updates(_artifacts(s), _updates(s), now(), ("ts", "event_id"))[0]
 
 
+@query("snapshot_merge", _APPLIED)
+def _(s):
+    """The same updates merged into partitioned snapshots, texts stored by digest and read back."""
+    snaps = Snapshots(s.spark, f"{scratch_path(s.spark)}/artifacts", 16)
+    snaps.write(_artifacts(s), 0)
+    snaps.merge(snaps.put_texts(_updates(s), 1), 1, lambda rows, updates: mutate.apply_status_updates(rows, updates, now(), ("ts", "event_id"))[0])
+    return snaps.read()
+
+
 @query("unapplied_updates", "SELECT DISTINCT document_id AS id, document_id IN (SELECT id FROM text_documents) AS applied FROM status_log")
 def _(s):
     return mutate.apply_status_updates(_artifacts(s), _updates(s), now(), ("ts", "event_id"))[1]
@@ -743,13 +756,38 @@ def _(s):
     return _drained(jobs.stream_stuck_documents(log), "append").withColumn("since", F.col("since").cast(kind))
 
 
-@query("stream_process_documents", f"SELECT document_id AS id, status, page_count, word_count, digest FROM ({_PROCESSED})")
+def _pending(s: Standin, root: str) -> Snapshots:
+    artifacts = Snapshots(s.spark, f"{root}/artifacts", 16)
+    artifacts.write(s.text_documents().select("id", F.lit("PENDING").alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in (("extracted_text", "string"), ("page_count", "int"), ("word_count", "int"))), now().alias("updated_at")), 0)
+    return artifacts
+
+
+_OUTCOME = f"SELECT document_id AS id, status, page_count, word_count, digest FROM ({_PROCESSED})"
+
+
+def _outcome(artifacts: Snapshots) -> DataFrame:
+    return artifacts.read().select("id", "status", "page_count", "word_count", F.md5(F.col("extracted_text").cast("binary")).alias("digest"))
+
+
+@query("stream_process_documents", _OUTCOME)
 def _(s):
     tasks, objects = _tasks_and_objects(s)
     root = scratch_path(s.spark)
     tasks.write.parquet(f"{root}/queue")
-    artifacts = jobs.Snapshots(s.spark, f"{root}/artifacts")
-    artifacts.write(s.text_documents().select("id", F.lit("PENDING").alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in (("extracted_text", "string"), ("page_count", "int"), ("word_count", "int"))), now().alias("updated_at")), 0)
+    artifacts = _pending(s, root)
     queue = s.spark.readStream.schema(tasks.schema).parquet(f"{root}/queue")
     jobs.stream_process_documents(queue, lambda: objects, artifacts, f"{root}/checkpoint").awaitTermination()
-    return artifacts.read().select("id", "status", "page_count", "word_count", F.md5(F.col("extracted_text").cast("binary")).alias("digest"))
+    return _outcome(artifacts)
+
+
+@query("stream_repeated_tasks", _OUTCOME)
+def _(s):
+    """A queue that delivers every task again, in a batch of its own, when its object is gone: the repetition changes nothing."""
+    tasks, objects = _tasks_and_objects(s)
+    root, calls = scratch_path(s.spark), []
+    for minute in (0, 1):
+        tasks.withColumn("queued_at", now() + F.make_dt_interval(mins=F.lit(minute))).coalesce(1).write.mode("append").parquet(f"{root}/queue")
+    artifacts = _pending(s, root)
+    queue = s.spark.readStream.schema(s.spark.read.parquet(f"{root}/queue").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/queue")
+    jobs.stream_process_documents(queue, lambda: objects if calls.append(1) or len(calls) == 1 else objects.limit(0), artifacts, f"{root}/checkpoint", queued_at="queued_at").awaitTermination()
+    return _outcome(artifacts)
