@@ -322,7 +322,7 @@ def _(s):
 @query("snapshot_merge", _APPLIED)
 def _(s):
     """The same updates merged into partitioned snapshots, texts stored by digest and read back."""
-    snaps = Snapshots(s.spark, f"{scratch_path(s.spark)}/artifacts", 16)
+    snaps = Snapshots(s.spark, f"{scratch_path(s.spark)}/artifacts", 16, text_digits=1)
     snaps.write(_artifacts(s), 0)
     snaps.merge(snaps.put_texts(_updates(s), 1), 1, lambda rows, updates: mutate.apply_status_updates(rows, updates, now(), ("ts", "event_id"))[0])
     return snaps.read()
@@ -757,7 +757,7 @@ def _(s):
 
 
 def _pending(s: Standin, root: str) -> Snapshots:
-    artifacts = Snapshots(s.spark, f"{root}/artifacts", 16)
+    artifacts = Snapshots(s.spark, f"{root}/artifacts", 16, text_digits=1)
     artifacts.write(s.text_documents().select("id", F.lit("PENDING").alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in (("extracted_text", "string"), ("page_count", "int"), ("word_count", "int"))), now().alias("updated_at")), 0)
     return artifacts
 

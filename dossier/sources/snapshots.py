@@ -12,8 +12,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 #: Hash partitions of a new table. Small ones merge cheaply; a table of billions of rows wants thousands.
 PARTITIONS = 64
-#: Folders of texts, by the first two digits of their digest.
-TEXT_BUCKETS = 256
+#: Digits of a digest that name its text's folder: 16, 256 or 4096 folders for each version that brings texts.
+TEXT_DIGITS = 2
 
 
 class Snapshots:
@@ -22,11 +22,12 @@ class Snapshots:
     A manifest names, for each hash partition of ``id``, the version that wrote it last. A version is therefore whole at
     once when its manifest is renamed into place, and shares all partitions that it did not touch with those before.
     Rows are narrow: in place of ``extracted_text`` they have the text's SHA-256. Each text is stored once, below the
-    first digits of its digest.
+    first digits of its digest. ``partitions`` counts for a new table, as a table keeps its own; ``text_digits`` has to be
+    the same each time.
     """
 
-    def __init__(self, spark: SparkSession, root: str, partitions: int = PARTITIONS):
-        self.spark, self.root, self.partitions = spark, root.rstrip("/"), partitions
+    def __init__(self, spark: SparkSession, root: str, partitions: int = PARTITIONS, text_digits: int = TEXT_DIGITS):
+        self.spark, self.root, self.partitions, self.text_digits = spark, root.rstrip("/"), partitions, text_digits
 
     def _path(self, below: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{below}")
@@ -61,7 +62,7 @@ class Snapshots:
 
     def _write(self, rows: DataFrame, version: int) -> None:
         by = F.pmod(F.xxhash64("id"), F.lit(self.partitions)).cast("int")
-        rows.withColumn("part", by).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/data/{version:012d}")
+        rows.withColumn("part", by).hint("rebalance", F.col("part")).write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/data/{version:012d}")
 
     def _read(self, manifest: dict, parts: list[int] | None = None) -> DataFrame:
         schema = StructType.fromJson(manifest["schema"])
@@ -98,22 +99,27 @@ class Snapshots:
         staged = f"{self.root}/staged/{version:012d}"
         rows.withColumn("text", F.col("extracted_text")).withColumn("extracted_text", digest).write.mode("overwrite").parquet(staged)
         full = self.spark.read.schema(StructType([*rows.schema.fields, StructField("text", StringType())])).parquet(staged)
-        fresh = full.where("extracted_text IS NOT NULL").withColumn("bucket", F.substring("extracted_text", 1, 2))
-        asked = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # 256 at most
+        fresh = full.where("extracted_text IS NOT NULL").withColumn("bucket", F.substring("extracted_text", 1, self.text_digits))
+        asked = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # as many as there are folders at most
         known = self.texts(asked)
         if known is not None:
             fresh = fresh.join(known.select("extracted_text"), "extracted_text", "left_anti")
         fresh = fresh.select("extracted_text", "text", "bucket").dropDuplicates(["extracted_text"])
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/texts/{version:012d}")
+        # A task gets many small folders or a part of a large one.
+        fresh.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/texts/{version:012d}")
         return full.select(*rows.columns)
 
     def texts(self, buckets: list[str] | None = None) -> DataFrame | None:
         """(extracted_text, text): digests and their texts, of these folders or of all."""
-        store, paths = self._store(), []
-        for v in self._names("texts"):
-            if store.exists(self._path(f"texts/{v}/_SUCCESS")):
-                paths += [f"{self.root}/texts/{v}/{n}" for n in self._names(f"texts/{v}") if n.startswith("bucket=") and (buckets is None or n.removeprefix("bucket=") in buckets)]
-        return self.spark.read.schema("extracted_text string, text string").parquet(*paths) if paths else None
+        store = self._store()
+        paths = [f"{self.root}/texts/{v}" for v in self._names("texts") if store.exists(self._path(f"texts/{v}/_SUCCESS"))]
+        if not paths:
+            return None
+        parts = [self.spark.read.schema("extracted_text string, text string, bucket string").parquet(p) for p in paths]  # a version without new texts has no folders
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        return (rows if buckets is None else rows.where(F.col("bucket").isin(*buckets))).select("extracted_text", "text")
 
     def narrow(self, before: int | None = None) -> DataFrame:
         """The current version, or the last one before ``before``, with digests in place of texts."""

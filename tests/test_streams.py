@@ -74,7 +74,7 @@ def test_an_event_that_comes_late_changes_what_is_stuck(spark, tmp_path):
 
 
 def pending(spark, root, ids):
-    snaps = jobs.Snapshots(spark, root, partitions=8)
+    snaps = jobs.Snapshots(spark, root, partitions=8, text_digits=1)
     snaps.write(spark.createDataFrame([(i, "PENDING") for i in ids], "id string, status string").select("id", "status", *(F.lit(None).cast(t).alias(c) for c, t in (("extracted_text", "string"), ("page_count", "int"), ("word_count", "int"), ("updated_at", "timestamp")))), 0)
     return snaps
 
