@@ -21,6 +21,8 @@ from dossier.sources.tables import scratch_path
 
 #: Requirement vectors of a block, and query rows that a task compares with a block at once.
 BLOCK, CHUNK = 4096, 16_384
+#: Estimated bytes of requirements that are packed without counting them first: a block for each group.
+SMALL_BYTES = 4 << 20
 #: Vectors of which the centres of an index are taken, and most centres.
 SAMPLE, CELLS = 8192, 1024
 
@@ -68,8 +70,10 @@ def build_index(requirements: DataFrame, within: str | None = None, block: int =
     spark, root, id_kind = requirements.sparkSession, root or scratch_path(requirements.sparkSession), requirements.schema["requirement_id"].dataType
     group = F.col(within) if within else F.lit(0)
     held = requirements.where("v IS NOT NULL AND requirement_id IS NOT NULL").select(group.alias("g"), F.col("requirement_id").alias("id"), "v", F.size("v").alias("d")).where("g IS NOT NULL")
-    most, total = held.groupBy("g", "d").count().agg(F.max("count"), F.sum("count")).first()
-    if (most or 0) > block:
+    most, total = 0, 0
+    if block < BLOCK or int(str(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        most, total = held.groupBy("g", "d").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    if most > block:
         centres = _centres(held, total, -(-most // block))
         celled = _in_cells(held, centres)
         sizes = celled.groupBy("g", "d", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
