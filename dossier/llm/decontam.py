@@ -3,10 +3,13 @@
 Texts are lower-cased and split at white space and punctuation. Words are hashed to ``FEATURES`` features; their document frequencies are counted over all documents. The
 benchmark's passages, as TF-IDF rows, are factored by a randomised SVD whose passes over the rows are Spark jobs.
 Every window of every document is folded in the same space, and windows whose cosine to a passage reaches a low
-threshold are candidates. So are, whatever their cosine, the stretches of a document that hold enough of a passage's
-rarest words: the latent space keeps less of each passage as passages are added, and a window dilutes short ones. A
-candidate is confirmed in the words themselves: by the longest common subsequence with the passage, and for a
-paraphrase also by the passage's answer (its last sentence).
+threshold are candidates. A candidate is confirmed by the longest common subsequence with the passage, and for a
+paraphrase also by the passage's answer (its last sentence). Words that were exchanged are no part of a subsequence:
+a window near the passage in the latent space is a paraphrase with fewer words in order, endings aside.
+
+A passage that the space cannot hold is looked up by its rarest words instead. These are passages of which a copy of
+three quarters, amid words as rare as any, would stay below the threshold: short ones, which a window dilutes, and
+those of which the space keeps little.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ MIN_COSINE = 0.2
 COMMON_SHARE = 0.05
 #: Share of a passage's words in order that is a copy; that is a paraphrase, if the answer is there too.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
+#: Latent cosine from which this share of the stems in order is a paraphrase, if the answer is there; bytes of a stem.
+MEANT, EXCHANGED, STEM = 0.25, 0.45, 5
 SHORT = 8
 #: Rare words found in texts, each times the passages that have it, that are compared at a time.
 HITS_A_TIME = 1 << 20
@@ -154,13 +159,13 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 
 class Passage:
-    """A benchmark passage: its word hashes and those of its answer, the last sentence (or its last five words)."""
+    """A benchmark passage: hashes of its words, of its stems, and where its answer begins, the last sentence (or its last five words)."""
 
-    __slots__ = ("_counts", "answer", "item", "words")
+    __slots__ = ("_counts", "item", "last", "stems", "words")
 
-    def __init__(self, item, words: np.ndarray, last: int):
-        self.item, self.words, self._counts = item, words, None
-        self.answer = words[last:] if 0 < last <= len(words) - 3 else words[-5:]
+    def __init__(self, item, words: np.ndarray, stems: np.ndarray, last: int):
+        self.item, self.words, self.stems, self._counts = item, words, stems, None
+        self.last = last if 0 < last <= len(words) - 3 else max(0, len(words) - 5)
 
     def counts(self) -> Counter:
         """Its words in order of their first places, with their numbers; kept for passages that are ever compared."""
@@ -172,16 +177,33 @@ class Passage:
 def passages_of(block: list[tuple]) -> list[Passage]:
     """The passages that have words, of (item, text) pairs."""
     w = Words(pa.array([text.encode() for _, text in block], pa.large_binary()), apart=_APART)
-    hashes, out = hash_ranges(w.data, w.start, w.end), []
+    hashes, stems, out = hash_ranges(w.data, w.start, w.end), stems_of(w), []
     stop = np.isin(w.data[np.minimum(w.end, len(w.data) - 1)], np.frombuffer(b".!?", dtype=np.uint8)) if len(w.data) else np.empty(0, bool)
     for k, (item, _) in enumerate(block):
         a, z = int(w.first[k]), int(w.first[k + 1])
         if z > a:
             stops = np.flatnonzero(stop[a : z - 1])
-            out.append(Passage(item, hashes[a:z], int(stops[-1]) + 1 if len(stops) else 0))
+            out.append(Passage(item, hashes[a:z], stems[a:z], int(stops[-1]) + 1 if len(stops) else 0))
     return out
 
 
+def stems_of(w: Words) -> np.ndarray:
+    """A hash of the first ``STEM`` bytes of each word: words that differ in their endings only are one."""
+    return hash_ranges(w.data, w.start, np.minimum(w.end, w.start + STEM))
+
+
+def confirm_meant(passage: Passage, stems: list[int]) -> tuple[int, str] | None:
+    """The common subsequence of stems and ``paraphrase``, or None, for a window that is near the passage in the latent space."""
+    n, own, there = len(passage.stems), passage.stems.tolist(), set(stems)
+    if n < SHORT or sum(x in there for x in own) < EXCHANGED * n:
+        return None
+    common = common_subsequence(own, stems)
+    answer = own[passage.last :]
+    if common >= EXCHANGED * n and common_subsequence(answer, stems) >= ANSWER * len(answer):
+        return common, "paraphrase"
+    return None
+
+
 def confirm(passage: Passage, words: list[int]) -> tuple[int, str] | None:
     """The common subsequence and ``copy`` or ``paraphrase``, or None. Passages under eight words must stand there word for word."""
     n, there = len(passage.words), set(words)
@@ -194,13 +216,14 @@ def confirm(passage: Passage, words: list[int]) -> tuple[int, str] | None:
     common = common_subsequence(own, words)
     if common >= COPY * n:
         return common, "copy"
-    if common >= PARAPHRASE * n and common_subsequence(passage.answer.tolist(), words) >= ANSWER * len(passage.answer):
+    answer = own[passage.last :]
+    if common >= PARAPHRASE * n and common_subsequence(answer, words) >= ANSWER * len(answer):
         return common, "paraphrase"
     return None
 
 
 class Anchors:
-    """The rarest words of each passage, enough of them that a text without ``need`` of these cannot be confirmed.
+    """The rarest words of each passage that the space cannot hold, enough of them that a text without ``need`` of these cannot be confirmed.
 
     A confirmed text has at least the share ``PARAPHRASE`` of a passage's words, so ``spare`` words may be missing;
     of a passage under ``SHORT`` words none may.
@@ -208,10 +231,11 @@ class Anchors:
     leaving the others out.
     """
 
-    def __init__(self, known: list[Passage], idf: np.ndarray):
+    def __init__(self, known: list[Passage], held: np.ndarray, idf: np.ndarray):
         posts: list[tuple[int, int, int]] = []
         need, size = np.zeros(len(known), dtype=np.int64), np.array([len(p.words) for p in known], dtype=np.int64)
-        for k, p in enumerate(known):
+        for k in np.flatnonzero(~held).tolist():
+            p = known[k]
             n, taken = len(p.words), 0
             spare = n - math.ceil(PARAPHRASE * n - 1e-9) if n >= SHORT else 0
             words, first, count = np.unique(p.words, return_index=True, return_counts=True)
@@ -274,7 +298,7 @@ class Retrieval:
     def __init__(self, docs: DataFrame, text_col: str, bench: DataFrame, item_col: str, bench_text_col: str, min_cosine: float):
         from pyspark.sql.pandas.types import to_arrow_type
 
-        self.spark, self.min_cosine = docs.sparkSession, min_cosine
+        self.spark = docs.sparkSession
         self.item_kind = bench.schema[item_col].dataType
         self.item_type = to_arrow_type(self.item_kind)
         self.passages = bench.select(F.col(item_col).alias("item_id"), F.lower(bench_text_col).alias("text")).where(F.col("text").isNotNull())
@@ -284,6 +308,7 @@ class Retrieval:
         self.place = np.full(FEATURES, -1, dtype=np.int32)
         self.place[used] = np.arange(len(used))
         self.place[self.idf < self.common_below()] = -1
+        self.base = self.spark.sparkContext.broadcast((self.place, self.coordinates, self.idf.astype(np.float32), min_cosine))
 
     def common_below(self) -> float:
         """The greatest of some cuts of the inverse document frequency below which no passage has more than ``COMMON_SHARE``."""
@@ -314,21 +339,22 @@ class Retrieval:
         if block:
             yield self._shared(block)
 
-    def _shared(self, block: list):
-        return self.spark.sparkContext.broadcast((uuid.uuid4().hex, self.place, self.coordinates, self.idf.astype(np.float32), block, self.min_cosine))
+    def _shared(self, block: list) -> tuple:
+        return self.base, self.spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
 
 #: What a worker has made of the last block, for the tasks that follow in it.
 _prepared: dict[str, tuple] = {}
 
 
-def _searched(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.RecordBatch, list[Passage], list[tuple]]]:
+def _searched(batches: Iterator[pa.RecordBatch], shared: tuple) -> Iterator[tuple[pa.RecordBatch, list[Passage], list[tuple]]]:
     """Each piece with the passages and the confirmed pairs in it."""
-    name, place, coordinates, idf, block, min_cosine = shared.value
+    (place, coordinates, idf, min_cosine), (name, block) = (s.value for s in shared)
     if name not in _prepared:
         known = passages_of(block)
+        target, norms = latent(known, place, coordinates, idf)
         _prepared.clear()
-        _prepared[name] = (known, latent(known, place, coordinates, idf), Anchors(known, idf)) if known else ([], None, None)
+        _prepared[name] = (known, target, Anchors(known, held(known, norms, idf, min(min_cosine, MIN_COSINE)), idf)) if known else ([], None, None)
     known, target, rare = _prepared[name]
     for piece in pieces(batches, "text"):
         yield piece, known, search(piece.column("text"), known, rare, target, place, coordinates, idf, min_cosine) if known else []
@@ -340,8 +366,9 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     All windows of all documents are compared with all passages; up to ``PASSAGES_A_PASS`` of them take one pass over the documents. Passages
     without words and null texts match nothing. Rows are handled one by one whatever their ids, equal passages
     each match; other columns are ignored; with either table empty the result is empty. A passage longer than a
-    window is found by a window's cosine and then confirmed as a whole. What no window shows is found by the
-    passage's rarest words; its cosine is then that of the words confirmed.
+    window is found by a window's cosine and then confirmed as a whole. Passages that the space cannot hold (``held``) are
+    found by their rarest words too; the cosine is then that of the words confirmed. A ``min_cosine`` above ``MIN_COSINE``
+    finds less: what the space holds is looked for there alone.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).cast("binary").alias("text"))
     space = Retrieval(docs, text_col, bench, item_col, bench_text_col, min_cosine)
@@ -383,14 +410,28 @@ def drop_leaking(docs: DataFrame, bench: DataFrame, text_col: str = "text", item
     return kept
 
 
-def latent(known: list[Passage], place: np.ndarray, coordinates: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Latent coordinates of the passages, of norm one."""
+def latent(known: list[Passage], place: np.ndarray, coordinates: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latent coordinates of the passages, of norm one, and the norms that they had."""
     out = np.zeros((len(known), coordinates.shape[1]), dtype=np.float32)
     for k, p in enumerate(known):
         feature = _features(p.words)
         feature = feature[place[feature] >= 0]
         out[k] = (idf[feature, None] * coordinates[place[feature]]).sum(axis=0)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    norms = np.linalg.norm(out, axis=1)
+    return out / np.maximum(norms[:, None], 1e-9), norms
+
+
+def held(known: list[Passage], norms: np.ndarray, idf: np.ndarray, min_cosine: float) -> np.ndarray:
+    """Which passages a window shows: the cosine of a copy of ``COPY`` of one, in its best window and amid the rarest of words, is above the threshold.
+
+    A copy of n words may be cut by windows; of n up to 33 one window has all, of up to 64 one has at least 16 + n / 2
+    (of more, 48).
+    """
+    size = np.array([len(p.words) for p in known])
+    there = COPY * np.where(size <= BLOCK + 1, 1.0, np.minimum(16 + size / 2, 1.5 * BLOCK) / np.maximum(size, 1))
+    mass = np.array([float((idf[_features(p.words)] ** 2).sum()) for p in known])
+    others = np.maximum(2 * BLOCK - there * size, 0) * float(idf.max()) ** 2
+    return (size >= SHORT) & (there * norms >= min_cosine * np.sqrt(there * mass + others))
 
 
 def search(texts: pa.Array, known: list[Passage], rare: Anchors, target: np.ndarray, place: np.ndarray, coordinates: np.ndarray, idf: np.ndarray, min_cosine: float) -> list[tuple]:
@@ -399,7 +440,7 @@ def search(texts: pa.Array, known: list[Passage], rare: Anchors, target: np.ndar
     if not len(w.start):
         return []
     hashes = hash_ranges(w.data, w.start, w.end)
-    out, more = by_windows(w, hashes, known, target, place, coordinates, idf, min_cosine), {}
+    out, more = by_windows(w, hashes, stems_of(w), known, target, place, coordinates, idf, min_cosine), {}
     for d, k, a, z in rare.candidates(w, hashes):
         if (d, k) in out or more.get((d, k), (0,))[0] == len(known[k].words):
             continue
@@ -415,7 +456,7 @@ def _cosine(a: Counter, b: Counter, idf: np.ndarray) -> float:
     return sum(weight[x] * n * b[x] for x, n in a.items()) / max(norm, 1e-12)
 
 
-def by_windows(w: Words, hashes: np.ndarray, known: list[Passage], target: np.ndarray, place: np.ndarray, coordinates: np.ndarray, idf: np.ndarray, min_cosine: float) -> dict[tuple[int, int], tuple]:
+def by_windows(w: Words, hashes: np.ndarray, stems: np.ndarray, known: list[Passage], target: np.ndarray, place: np.ndarray, coordinates: np.ndarray, idf: np.ndarray, min_cosine: float) -> dict[tuple[int, int], tuple]:
     """Common words, cosine and verdict of confirmed pairs (text, passage) by the latent cosine of their windows."""
     feature = _features(hashes)
     doc = w.doc()
@@ -460,6 +501,9 @@ def by_windows(w: Words, hashes: np.ndarray, known: list[Passage], target: np.nd
             b, p = int(likely[cut + i]), known[k]
             d, span = int(block_doc[b]), max(16, len(p.words) // 2)
             a, z = max(int(w.first[d]), int(begins[b]) - span), min(int(w.first[d + 1]), int(begins[b]) + 2 * BLOCK + max(span, len(p.words) - BLOCK))
-            if verdict := confirm(p, hashes[a:z].tolist()):
+            verdict = confirm(p, hashes[a:z].tolist())
+            if not verdict and cosine[i, k] >= MEANT:
+                verdict = confirm_meant(p, stems[a:z].tolist())
+            if verdict:
                 out[d, k] = max(out.get((d, k), (0,)), (verdict[0], float(cosine[i, k]), verdict[1]))
     return out

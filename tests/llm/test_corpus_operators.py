@@ -426,6 +426,38 @@ def test_leaks(spark):
     assert decontam.drop_leaking(made(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+def paraphrased(draw, text, share, other):
+    """The text with this share of its words exchanged by ``other(word)``, those of its last sentence left as they are."""
+    w = text.split()
+    last = max((i for i in range(len(w) - 1) if w[i][-1] in ".!?"), default=-1) + 1
+    last = last if 0 < last <= len(w) - 3 else len(w) - 5
+    some = draw.sample(range(last), min(last, round(share * len(w))))
+    return " ".join(other(x) if i in some else x for i, x in enumerate(w))
+
+
+@pytest.mark.parametrize(("share", "endings", "recall"), [(0.3, False, 0.9), (0.38, False, 0.9), (0.45, False, 0.9), (0.52, False, 0.85), (0.5, True, 0.9)])
+def test_paraphrases_are_found_in_the_latent_space(spark, share, endings, recall):
+    draw = random.Random(f"{share}{endings}")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").where(F.regexp_count("text", F.lit(" ")) > 30)
+    eights = lambda t: {tuple(t.split()[i : i + 8]) for i in range(len(t.split()) - 7)}
+    taken = {x for r in bench.collect() for x in eights(r.text)}
+    clean = [r for r in docs.where("lang = 'en' AND n_chars > 1500").orderBy("doc_id").limit(150).collect() if not eights(r.text) & taken]
+    vocabulary = sorted({x for r in clean for x in r.text.split()})
+    rows, put = [(5000 + k, r.text, "s") for k, r in enumerate(clean)], set()
+    for k, (item, t) in enumerate(sorted((r.item_id, r.text) for r in bench.collect())):
+        w, body = paraphrased(draw, t, share, lambda x: x.rstrip(".,") + "ings" if endings else draw.choice(vocabulary)).split(), clean[k % len(clean)].text.split()
+        spot = draw.randrange(len(body))
+        rows.append((k, " ".join(body[:spot] + w + body[spot:]), "s"))
+        put.add((k, item))
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(made(spark, rows), bench).collect()}
+    assert len(put) > 80 and len(got & put) >= recall * len(put)
+    assert len(clean) > 100 and not {d for d, _ in got if d >= 5000}
+    if share == 0.38:  # without the latent space they are lost
+        blind = {(r.doc_id, r.item_id) for r in decontam.find_leaks(made(spark, rows), bench, min_cosine=2.0).collect()}
+        assert len(blind & put) < 0.5 * len(put)
+
+
 def test_leaks_of_whole_table(spark):
     got = {(r.doc_id, r.item_id) for r in q.op10_decontaminate(spark, "/root/testdata/sf0.01").collect()}
     docs = {r.doc_id: words(r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
