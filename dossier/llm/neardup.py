@@ -13,6 +13,10 @@ with the smallest one in each of its buckets, and components are found. What is
 components meet. There, by the packed bits, only classes stay that may be alike to one of another component; these
 get their full sets and are confirmed inside the join, which lets only links between components through, each
 once. Links within a component would change nothing.
+
+A key with more than ``COMPARED`` rows, such as that of pages made from one template, is not compared pair by pair.
+Its classes get their full sets, and all classes of such keys are compared by their rarest shingles, which is exact:
+two sets linked share one among the rarest seventh (and one more) of the smaller and the rarest quarter (and one more) of the larger.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ SIGNATURE = ("s0", "s1", "s2", "s3")
 MOST_DIFFERENT = 45
 #: Bits of the map that tells which texts are looked at again: 8 MB.
 MAP_BITS = 26
+#: Rows of a key, where components meet, that are compared pair by pair at most; classes of larger keys meet by their rarest shingles.
+COMPARED = 512
 
 _LONG = pa.int64()
 
@@ -161,6 +167,43 @@ def _alike(a: F.Column, b: F.Column) -> F.Column:
     return 7 * F.size(F.array_intersect(a, b)) >= 3 * (F.size(a) + F.size(b))
 
 
+def _by_rarest(nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) of roots by which all components meet that linked classes (node, root, n_shingles, packed bits) connect.
+
+    If x is no larger than y and they are linked, they share 6/7 of x and 3/4 of y at least. So of x's shingles in any
+    order common to all sets one of the first n // 7 + 1 is among the first n // 4 + 1 of y's. The rarest come first;
+    what only one set has comes before all and meets nothing, so that only its number is needed.
+    """
+    own = scratch.written(nodes.join(sets.select("node", "shingles"), "node").select("node", F.explode("shingles").alias("shingle")), "shingles")
+    shared = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    ranked = own.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
+    ranked = nodes.join(ranked, "node").withColumn("before", F.col("n_shingles") - F.size("shared"))
+    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.expr("n_shingles div 4 + 1 - before")).cast("int"))
+    rare = ranked.select(*nodes.columns, "before", F.posexplode(first).alias("at", "shingle"))
+    rare = scratch.written(rare.select(*nodes.columns, F.col("shingle.shingle").alias("shingle"), F.expr("before + at <= n_shingles div 7").alias("early")), "rarest")
+    ordered = F.struct("x.n_shingles", "x.node") < F.struct("y.n_shingles", "y.node")
+    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & ordered & _may_be_alike("x", "y")
+    pairs = rare.where("early").alias("x").join(rare.alias("y"), meets)
+    pairs = scratch.written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.root", "y.root").alias("low"), F.greatest("x.root", "y.root").alias("high")).distinct(), "pairs")
+
+    # One pair for each two components first; then the pairs between what is still apart.
+    root_of = nodes.select("node", "root")
+    one = pairs.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+    some = scratch.written(_roots(_confirmed(one, sets), root_of), "edges")
+    joined = connected_components(some)
+    for c in ("low", "high"):
+        pairs = pairs.join(joined.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    rest = pairs.where("low_root != high_root").select("a", "b")
+    return some.union(_roots(_confirmed(rest, sets), root_of))
+
+
+def _roots(links: DataFrame, root_of: DataFrame) -> DataFrame:
+    """The links of nodes as links of their roots."""
+    for c in ("a", "b"):
+        links = links.join(root_of.withColumnRenamed("node", c).withColumnRenamed("root", f"{c}_root"), c)
+    return links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, row_col: str | None = None) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
@@ -201,16 +244,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Buckets in which components meet. Rows that the packed bits compare with a row of another component stay,
     # get their full sets, and are confirmed where they meet: what leaves the join are links only, each once.
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(narrow, "node")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "node").alias("head_root")).where("low < high")
-    rows = brief.written(rows.join(mixed.select("key", "head_root"), "key"), "mixed")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "node").alias("head_root"), F.count(F.lit(1)).alias("many")).where("low < high")
+    rows = brief.written(rows.join(mixed.select("key", "head_root", "many"), "key"), "mixed")
+    large = rows.where(F.col("many") > COMPARED).select("node", "root", "n_shingles", *SIGNATURE).distinct()
+    rows = rows.where(F.col("many") <= COMPARED)
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _may_be_alike("x", "y")
     some = brief.written(rows.alias("x").join(rows.alias("y"), meets, "left_semi"), "candidates")
-    full = brief.written(some.join(sets_of(some.select("node")), "node"), "candidates")
+    hot = not large.isEmpty()
+    large = brief.written(large, "large") if hot else large
+    sets = sets_of(some.select("node").union(large.select("node")) if hot else some.select("node"))
+    full = brief.written(some.join(sets, "node"), "candidates")
     x, y = full.where("root != head_root").alias("x"), full.where("node != head").alias("y")
     once = (F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("y.head_root"))
     equal = F.zip_with(F.slice("x.bands", 1, F.col("x.band")), F.slice("y.bands", 1, F.col("x.band")), lambda p, q: p == q)
     again = x.join(y, meets & once & ~F.exists(equal, lambda e: e) & _alike(F.col("x.shingles"), F.col("y.shingles")))
-    higher = connected_components(again.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")))
+    edges = again.select(F.col("x.root").alias("a"), F.col("y.root").alias("b"))
+    higher = connected_components(edges.union(_by_rarest(large, sets, brief)) if hot else edges)
     brief.clear()
 
     joined = classes.select("fp0", "fp1", "node", "rep", "best").join(roots, "node", "left").withColumn("low", F.coalesce("root", "node")).drop("root")

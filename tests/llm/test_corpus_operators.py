@@ -204,14 +204,30 @@ def near_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates(spark, seed):
+@pytest.mark.parametrize(("seed", "compared"), [(1, neardup.COMPARED), (2, neardup.COMPARED), (3, 4)])
+def test_near_duplicates(spark, monkeypatch, seed, compared):
+    monkeypatch.setattr(neardup, "COMPARED", compared)
     rows = near_rows(seed)
     got = neardup.near_duplicates(made(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(plain_components(rows), key=str)
     assert all(r.kept == ((r.doc_id == r.component_id) if r.component_id is not None and r.doc_id is not None else r.component_id is None) for r in got)
 
 
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COMPARED", 16)
+    draw = random.Random(5)
+    template = [f"t{k}" for k in range(154)]
+    pages = [template + [f"w{draw.randrange(40_000)}" for _ in range(50)] for _ in range(300)]
+    near = [p[:-k] for p in pages[:40] for k in (3, 9)] + [p[:154] + p[160:] for p in pages[20:60]]
+    # Pages alike through their own words, and pages so little apart that the template alone nearly links them.
+    short = [template + [f"v{draw.randrange(40_000)}" for _ in range(n)] for n in range(18, 34) for _ in range(6)]
+    texts = [" ".join(x) for x in pages + near + short]
+    draw.shuffle(texts)
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    got = neardup.near_duplicates(made(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_components(rows))
+
+
 def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(made(spark, []).limit(0)).count() == 0
     got = neardup.near_duplicates(made(spark, [(None, "a b c", "s"), (8, "A b c", "s"), (None, "alone here", "s"), (9, "x " * 200_000, "s")])).collect()
@@ -554,6 +570,9 @@ def test_near_duplicate_stage_decides_by_row(spark):
     left = corpus_pipeline.near_duplicate_stage(spark, made(spark, [(d, t, "s") for d, t in rows]), "")
     want = [(3, one), (None, "unique without an id"), (7, "unique under an id that repeats"), (None, two), (5, three), (None, None), (None, ""), (5, "")]
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+    named = made(spark, [(1, one, "s"), (2, two, "s"), (3, one, "s")]).withColumn("__row", F.lit("mine"))
+    left = corpus_pipeline.near_duplicate_stage(spark, named, "")
+    assert left.columns == named.columns and sorted((r.doc_id, r["__row"]) for r in left.collect()) == [(1, "mine"), (2, "mine")]
 
 
 def test_stages_take_odd_rows(spark):
