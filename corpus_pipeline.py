@@ -30,9 +30,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are numbered in a copy in the shared folder, so that the number stays when a task runs again.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    gone = near_duplicates(rows, row_col="__row").where(~F.col("kept")).select("__row")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    number = "_" * max(map(len, docs.columns)) + "_row"  # longer than any column, so that it has no namesake
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    gone = near_duplicates(rows, row_col=number).where(~F.col("kept")).select(number)
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
