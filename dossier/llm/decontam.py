@@ -32,7 +32,9 @@ BLOCK = 32
 #: Latent dimensions at most, extra ones while factoring, and power rounds.
 RANK, EXTRA, ROUNDS = 160, 16, 2
 #: Benchmark passages that one pass over the documents compares (about 100 MB in a task), and cosines computed at a time.
-PASSAGES_A_PASS, COSINES = 1 << 16, 1 << 22
+PASSAGES_A_PASS, COSINES = 1 << 16, 1 << 20
+#: Bytes of texts that are searched at a time.
+SEARCHED_BYTES = 1 << 20
 MIN_COSINE = 0.2
 #: Features of many documents are left out of a window's coordinates as long as no passage has more than this share
 #: of its squared norm in them; a cosine changes by no more than that.
@@ -356,7 +358,7 @@ def _searched(batches: Iterator[pa.RecordBatch], shared: tuple) -> Iterator[tupl
         _prepared.clear()
         _prepared[name] = (known, target, Anchors(known, held(known, norms, idf, min(min_cosine, MIN_COSINE)), idf)) if known else ([], None, None)
     known, target, rare = _prepared[name]
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "text", SEARCHED_BYTES):
         yield piece, known, search(piece.column("text"), known, rare, target, place, coordinates, idf, min_cosine) if known else []
 
 
