@@ -17,3 +17,42 @@ def test_gaps_neither_shuffle_nor_join_the_grid(spark):
     plan = plan_of(got)
     above = plan[plan.index("Final Plan") : plan.index("BroadcastHashJoin")] if "Final Plan" in plan else plan[: plan.index("BroadcastHashJoin")]
     assert "LeftAnti" not in plan and "Exchange" not in above and "Sort" not in above
+
+
+EMBEDDED = """
+import sys, tempfile
+sys.path[:0] = [{root!r}, {here!r}]
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from dossier.schemas import SCHEMAS
+from dossier.sources import database
+from test_database import ROWS
+
+folder = tempfile.mkdtemp(prefix="spark-tests-")
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1g").config("spark.executorEnv.PYTHONPATH", {root!r}).config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.driver.host", "127.0.0.1").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{{folder}}").getOrCreate()
+url = f"jdbc:derby:{{folder}}/db;create=true"
+for name in ("evidence_artifacts", "regulatory_requirements", "compliance_mappings"):
+    df = spark.createDataFrame([ROWS[name](k) for k in range(40)], SCHEMAS[name])
+    odd = ['a "quoted", text', " spaces ", "two\\nlines\\r\\n", "", None, "back\\\\slash é"]
+    if "description" in df.columns or "extracted_text" in df.columns:
+        c = "description" if "description" in df.columns else "extracted_text"
+        df = spark.createDataFrame([r[: df.columns.index(c)] + (odd[k % 6],) + r[df.columns.index(c) + 1 :] for k, r in enumerate(map(tuple, df.collect()))], SCHEMAS[name])
+    assert database.write_entity(df, url, name) == 40
+    assert database.write_entity(df.where("id < '00000005'"), url, name) == 5
+    got = database.read_entity(spark, url, name, parts=4)
+    assert got.schema.names == SCHEMAS[name].names and [f.dataType for f in got.schema] == [f.dataType for f in SCHEMAS[name]]
+    assert {{tuple(r) for r in got.collect()}} == {{tuple(r) for r in df.collect()}}, name
+print("ROUND TRIP")
+"""
+
+
+def test_embedded_database_of_a_cluster():
+    """The database is in the driver's process; executors are processes of their own."""
+    import os
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    env = {k: v for k, v in os.environ.items() if k == "SPARK_HOME" or "SPARK" not in k} | {"PYTHONPATH": os.path.dirname(here)}
+    done = subprocess.run([sys.executable, "-c", EMBEDDED.format(root=os.path.dirname(here), here=here)], capture_output=True, text=True, timeout=300, env=env)
+    assert "ROUND TRIP" in done.stdout, done.stderr[-3000:]
