@@ -1,5 +1,6 @@
 """Plans that must not grow faster than their tables, and jobs whose executors share nothing but folders."""
 
+from dossier import standin
 from dossier.plans import coverage
 
 
@@ -19,6 +20,22 @@ def test_gaps_neither_shuffle_nor_join_the_grid(spark):
     assert "LeftAnti" not in plan and "Exchange" not in above and "Sort" not in above
 
 
+def test_shuffles_are_dealt_by_the_size_of_tables(spark, small, monkeypatch):
+    target, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    standin.Standin(spark, small)
+    few = int(spark.conf.get(parts))
+    assert int(spark.conf.get(target)) == standin.TASK_BYTES
+    monkeypatch.setattr(standin, "TASK_BYTES", 4096)
+    s = standin.Standin(spark, small)
+    many = int(spark.conf.get(parts))
+    assert many >= 10 * few
+    counted = s.mappings().groupBy("status").count()
+    assert "hashpartitioning(status#" in (plan := counted._jdf.queryExecution().executedPlan().toString()) and f", {many})" in plan
+    monkeypatch.undo()
+    standin.Standin(spark, small)
+    assert int(spark.conf.get(parts)) == few
+
+
 EMBEDDED = """
 import sys, tempfile
 sys.path[:0] = [{root!r}, {here!r}]
