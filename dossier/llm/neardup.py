@@ -34,6 +34,8 @@ from dossier.llm.shared import Scratch, Words, mix64, pieces, removed, windows_h
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 SIGNATURE = ("s0", "s1", "s2", "s3")
+#: The map of a set's shingles that other sets of large keys have too: 1024 places, 64 in each of these numbers.
+PLACES = tuple(f"m{k}" for k in range(16))
 #: Minima that may differ at most: an estimate of 0.53 (1 - 45 / 128 = 0.25 + 0.75 * 0.53), 4.7 standard deviations below 0.75.
 MOST_DIFFERENT = 45
 #: Bits of the map that tells which texts are looked at again: 8 MB.
@@ -173,28 +175,52 @@ def _by_rarest(nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame
     If x is no larger than y and they are linked, they share 6/7 of x and 3/4 of y at least. So of x's shingles in any
     order common to all sets one of the first n // 7 + 1 is among the first n // 4 + 1 of y's. The rarest come first;
     what only one set has comes before all and meets nothing, so that only its number is needed.
+
+    Each class is first compared with one class at each of its rarest shingles, that with the fewest shingles of its own,
+    and components are joined. Then classes of different components are compared, if they can share enough (``_can_share``).
     """
     own = scratch.written(nodes.join(sets.select("node", "shingles"), "node").select("node", F.explode("shingles").alias("shingle")), "shingles")
     shared = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    ranked = own.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
+    bit, place = F.expr("shiftleft(1L, cast(shingle & 63 AS int))"), F.shiftrightunsigned("shingle", 60)
+    places = [F.bit_or(F.when(place == k, bit).otherwise(F.lit(0).cast("long"))).alias(c) for k, c in enumerate(PLACES)]
+    ranked = own.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("shared"), *places)
     ranked = nodes.join(ranked, "node").withColumn("before", F.col("n_shingles") - F.size("shared"))
     first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.expr("n_shingles div 4 + 1 - before")).cast("int"))
-    rare = ranked.select(*nodes.columns, "before", F.posexplode(first).alias("at", "shingle"))
-    rare = scratch.written(rare.select(*nodes.columns, F.col("shingle.shingle").alias("shingle"), F.expr("before + at <= n_shingles div 7").alias("early")), "rarest")
-    ordered = F.struct("x.n_shingles", "x.node") < F.struct("y.n_shingles", "y.node")
-    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & ordered & _may_be_alike("x", "y")
-    pairs = rare.where("early").alias("x").join(rare.alias("y"), meets)
-    pairs = scratch.written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.root", "y.root").alias("low"), F.greatest("x.root", "y.root").alias("high")).distinct(), "pairs")
+    rare = ranked.select(*nodes.columns, *PLACES, "before", F.posexplode(first).alias("at", "shingle"))
+    rare = scratch.written(rare.select(*nodes.columns, *PLACES, "before", F.col("shingle.shingle").alias("shingle"), (F.col("before") + F.col("at")).alias("spot")), "rarest")
 
-    # One pair for each two components first; then the pairs between what is still apart.
     root_of = nodes.select("node", "root")
-    one = pairs.groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
-    some = scratch.written(_roots(_confirmed(one, sets), root_of), "edges")
-    joined = connected_components(some)
-    for c in ("low", "high"):
-        pairs = pairs.join(joined.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    rest = pairs.where("low_root != high_root").select("a", "b")
-    return some.union(_roots(_confirmed(rest, sets), root_of))
+    heads = rare.groupBy("shingle").agg(F.min(F.struct("before", "node", "root", "n_shingles", *SIGNATURE, *PLACES)).alias("head")).select("shingle", "head.*")
+    stars = rare.alias("x").join(heads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & _may_be_alike("x", "y") & _can_share("x", "y"))
+    stars = scratch.written(stars.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "pairs")
+    some = scratch.written(_roots(_confirmed(stars, sets), root_of), "edges")
+    joined = connected_components(some).select(F.col("node").alias("root"), F.col("root").alias("higher"))
+    rare = rare.join(joined, "root", "left").withColumn("root", F.coalesce("higher", "root"))
+
+    # Whatever two sets share comes no earlier than the first shingle that they share, so that tells how much it is at most.
+    ordered = F.struct("x.n_shingles", "x.node") < F.struct("y.n_shingles", "y.node")
+    left = F.least(F.col("x.n_shingles") - F.col("x.spot"), F.col("y.n_shingles") - F.col("y.spot"))
+    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & ordered & _enough(left, "x", "y") & _may_be_alike("x", "y") & _can_share("x", "y")
+    pairs = rare.where("spot <= n_shingles div 7").alias("x").join(rare.alias("y"), meets)
+    pairs = scratch.written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    return some.union(_roots(_confirmed(pairs, sets), root_of))
+
+
+def _enough(shared: F.Column, x: str, y: str) -> F.Column:
+    """So many shared shingles make a link: 100 * intersection >= 75 * union."""
+    return 7 * shared >= 3 * (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles"))
+
+
+def _can_share(x: str, y: str) -> F.Column:
+    """Two sets can share enough for a link. Exact: a shingle that no other set has is not shared, and one whose place the other set's map leaves empty is not."""
+
+    def at_most(p: str, q: str) -> F.Column:
+        alone = F.col(f"{p}.before")
+        for c in PLACES:
+            alone = alone + F.bit_count(F.col(f"{p}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{q}.{c}"))))
+        return F.col(f"{p}.n_shingles") - alone
+
+    return _enough(F.least(at_most(x, y), at_most(y, x)), x, y)
 
 
 def _roots(links: DataFrame, root_of: DataFrame) -> DataFrame:
