@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.components import connected_components
-from dossier.llm.shared import Scratch, Words, mix64, pieces, removed, windows_hash
+from dossier.llm.shared import Scratch, Words, mix64, pieces, removed, small_batches, windows_hash
 
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
@@ -38,6 +38,8 @@ SIGNATURE = ("s0", "s1", "s2", "s3")
 PLACES = tuple(f"m{k}" for k in range(16))
 #: Minima that may differ at most: an estimate of 0.53 (1 - 45 / 128 = 0.25 + 0.75 * 0.53), 4.7 standard deviations below 0.75.
 MOST_DIFFERENT = 45
+#: Bytes of texts that one numpy pass handles: its arrays take some 25 times that.
+TEXTS_AT_ONCE = 1 << 20
 #: Bits of the map that tells which texts are looked at again: 8 MB.
 MAP_BITS = 26
 #: Rows of a key, where components meet, that are compared pair by pair at most; classes of larger keys meet by their rarest shingles.
@@ -98,7 +100,7 @@ def signatures(rows: DataFrame, size: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _families()
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", TEXTS_AT_ONCE):
             counts, prints, low = [], [], []
             for values in shingle_sets(piece.column("text"), size):
                 counts.append(len(values))
@@ -135,7 +137,7 @@ def full_sets(rows: DataFrame, nodes: DataFrame, size: int = 5) -> DataFrame:
         for batch in batches:
             at = batch.column("at").to_numpy()
             batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
-            for piece in pieces([batch], "text"):
+            for piece in pieces([batch], "text", TEXTS_AT_ONCE):
                 sets = list(shingle_sets(piece.column("text"), size))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64), type=_LONG))
@@ -244,6 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every row without a shingle.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     brief, kept = Scratch(spark), Scratch(spark)  # what is deleted at the end, and what the result reads
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row_col).alias("uid") if row_col else F.monotonically_increasing_id().alias("uid"))
     source = source if row_col else brief.written(source, "rows")  # numbered once, so that the number stays

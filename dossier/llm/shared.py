@@ -22,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass handles at most (one longer text is a pass of its own).
 PIECE_BYTES = 4 << 20
 
+#: Bytes of rows that go to a Python worker at once, where a job keeps batches small.
+BATCH_BYTES = 4 << 20
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,6 +82,13 @@ class Scratch:
         self.paths = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers ``BATCH_BYTES`` at a time, not 10,000 of them however long; what the session sets itself stays."""
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(most, None) is None:
+        spark.conf.set(most, BATCH_BYTES)
+
+
 def word_count(text) -> F.Column:
     """Words of a text as a column; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -154,7 +164,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return _powers[name]
 
 
-def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of each byte range ``start:end`` (in order): a polynomial modulo 2**64, taken from running sums, then mixed.
 
     It depends on the bytes only, and so is the same in every task.
