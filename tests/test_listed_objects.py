@@ -63,3 +63,10 @@ def test_a_stream_finds_each_new_object_once(spark, tmp_path):
     drain()
     drain()
     assert [r.file_path for r in seen[4:]] == ["x/late.txt"]
+
+
+def test_a_stream_keeps_no_paths_on_the_driver(spark, tmp_path):
+    bucket(tmp_path / "in")
+    jobs.stream_landing(spark, f"file://{tmp_path}/in").writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/checkpoint").start().awaitTermination()
+    kept = [p.read_text() for part in ("sources", "offsets", "commits") for p in (tmp_path / "checkpoint" / part).rglob("*") if p.is_file() and not p.name.startswith(".")]
+    assert kept and not any("a.txt" in text for text in kept)
